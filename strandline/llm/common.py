@@ -74,7 +74,7 @@ def with_arrow_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict[str,
     small_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name not in kinds])
     for name, kind in kinds.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(T.StructType.fromDDL(f"`{name}` {kind}").fields[0])
     kept = [f.name for f in df.schema.fields if f.name not in kinds]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

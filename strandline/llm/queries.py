@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash
+from . import mixing, packing, pii, quality, simhash, toxicity, winnowing
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,11 +19,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.query(table(spark, sf_dir, "documents"), gram=5, window=8)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), reject=0.7)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=0.3)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -35,9 +49,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), share=0.6, max_epochs=2, seed=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.sql(share=0.6, max_epochs=2, seed=7)}
