@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, toxicity, winnowing
+from . import media, mixing, packing, pii, quality, simhash, toxicity, warc, winnowing
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return media.query(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pii.digest(table(spark, sf_dir, "documents"))
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
+    "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
