@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, pii, quality, simhash, toxicity, warc, winnowing
+from . import media, mixing, packing, pii, quality, simhash, substrings, toxicity, warc, winnowing
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), reject=0.7)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.deduplicated(table(spark, sf_dir, "documents"), window=35)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=0.3)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
