@@ -1,13 +1,736 @@
-"""All queries of the time-series engine."""
+"""Every query of the time-series engine by name, and DuckDB SQL for those that SQL can express.
 
+All read the events table: its values by event_id are the series, cut to a dyadic length and into windows of SIZE.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import wavelets
+from ..operators import compression, metrics, series, spectral, stats, training
+from ..operators.transforms import coefficients, dwt, idwt, two_tap_analyze, two_tap_synthesize
+from ..sources.tables import events_trace, numeric_trace, table, union_results
+from . import reports
 
-def oracle_sql():
-    return {}
+SIZE, LEVELS, BANK = 1024, 10, 5
+RETAINS = compression.RETAINS
+SMALL = (0.01, 0.1, 0.4)
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def tidy(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """columns of df with doubles rounded to six places, minus zero made zero and NaN null."""
+    df = df.select(*columns) if columns else df
+    return df.select(*(F.nanvl(F.round(f.name, 6) + 0.0, F.lit(None).cast("double")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = BASE + sql
+        return f
+
+    return add
+
+
+def r6(*names: str) -> str:
+    return ", ".join(f"round({n.split(' AS ')[0]}, 6) + 0.0 AS {n.split(' AS ')[-1]}" for n in names)
+
+
+def retain_list(retains: tuple[float, ...]) -> str:
+    return "SELECT unnest(CAST([" + ", ".join(map(str, retains)) + "] AS DOUBLE[])) AS retain"
+
+
+HAAR_SIGN = "CASE WHEN (i >> (level - 1)) % 2 = 0 THEN {x} ELSE -({x}) END"
+BASE = f"""WITH tr AS (SELECT event_id AS pos, value FROM events),
+dy AS (SELECT count(*) AS n, CAST(1 AS BIGINT) << (length(bin(count(*))) - 1) AS n2 FROM tr),
+cut AS (SELECT pos, value FROM tr, dy WHERE pos < n2),
+raw AS (SELECT CAST(pos // {SIZE} + 1 AS INTEGER) AS window_id, pos % {SIZE} AS i, value FROM cut, dy WHERE pos // {SIZE} < n2 // {SIZE}),
+st AS (SELECT window_id, avg(value) AS mu, CASE WHEN coalesce(stddev_samp(value), 0) < {series.EPS} THEN 1.0 ELSE stddev_samp(value) END AS sigma FROM raw GROUP BY window_id),
+win AS (SELECT window_id, i, (value - mu) / sigma AS x FROM raw JOIN st USING (window_id)),
+lev AS (SELECT unnest(range(1, {LEVELS + 1})) AS level),
+coef AS (SELECT window_id, level, i >> level AS k, sum({HAAR_SIGN.format(x='x')}) / sqrt(CAST(1 << level AS DOUBLE)) AS d FROM win, lev GROUP BY window_id, level, i >> level),
+en AS (SELECT window_id, level, avg(d * d) AS e FROM coef GROUP BY ALL),
+fit AS (SELECT window_id, regr_slope(log2(e), level) AS slope, regr_intercept(log2(e), level) AS intercept, regr_sxx(log2(e), level) AS sxx, regr_syy(log2(e), level) AS syy, regr_sxy(log2(e), level) AS sxy, count(*) AS m FROM en WHERE level >= 2 AND e > 0 GROUP BY window_id),
+hw AS (SELECT window_id, (slope + 1) / 2 AS H FROM fit),
+ret AS ({retain_list(RETAINS)}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY window_id, level ORDER BY abs(d) DESC, k) AS r, count(*) OVER (PARTITION BY window_id, level) AS n FROM coef),
+rg AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY abs(d) DESC, level, k) AS r, count(*) OVER (PARTITION BY window_id) AS n FROM coef),
+th AS (SELECT 'haar' AS method, window_id, retain, level, k, CASE WHEN r <= ceil(retain * n) THEN d ELSE 0.0 END AS d, r <= ceil(retain * n) AS kept FROM rk, ret
+  UNION ALL SELECT 'haar_bank', window_id, retain, level, k, CASE WHEN level > {BANK} OR r <= ceil(retain * n) THEN d ELSE 0.0 END, level <= {BANK} AND r <= ceil(retain * n) FROM rk, ret
+  UNION ALL SELECT 'haar_pool', window_id, retain, level, k, CASE WHEN retain >= 1 OR r <= greatest(1, round_even(retain * n, 0)) THEN d ELSE 0.0 END, retain >= 1 OR r <= greatest(1, round_even(retain * n, 0)) FROM rg, ret),
+top AS (SELECT window_id, sum(x) / sqrt({SIZE}.0) AS a FROM win GROUP BY window_id),
+rec AS (SELECT method, window_id, retain, i, any_value(w.x) AS x, any_value(a) / sqrt({SIZE}.0) + sum({HAAR_SIGN.format(x='d')} / sqrt(CAST(1 << level AS DOUBLE))) AS y
+  FROM th JOIN win w USING (window_id) JOIN top USING (window_id) WHERE k = w.i >> level GROUP BY method, window_id, retain, i),
+ps AS (SELECT method, window_id, retain, CASE WHEN avg(power(y - x, 2)) >= {series.EPS} AND max(abs(x)) > 0 THEN 10 * log10(power(max(abs(x)), 2) / avg(power(y - x, 2))) END AS psnr FROM rec GROUP BY ALL),
+bud AS (SELECT method, window_id, retain, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE method <> 'haar_bank' OR level <= {BANK}) AS total FROM th GROUP BY ALL),
+hr AS (SELECT method, window_id, retain, (regr_slope(log2(e), level) + 1) / 2 AS H FROM (SELECT method, window_id, retain, level, avg(d * d) AS e FROM th GROUP BY ALL) WHERE level >= 2 AND e > 0 GROUP BY ALL),
+res AS (SELECT ps.method, window_id, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, psnr, CAST(kept AS INTEGER) AS kept, CAST(total AS INTEGER) AS total, hr.H, hr.H - hw.H AS deltaH FROM ps JOIN bud USING (method, window_id, retain) JOIN hr USING (method, window_id, retain) JOIN hw USING (window_id)),
+qs AS (SELECT CAST(unnest(range(-5, 6)) AS DOUBLE) AS q),
+sq AS (SELECT window_id, level, q, CASE WHEN q = 0 THEN avg(ln(abs(d) + 1e-12)) / ln(2.0) ELSE log2(avg(power(abs(d) + 1e-12, q))) END AS y FROM coef, qs WHERE level >= 2 GROUP BY window_id, level, q),
+zt AS (SELECT window_id, q, -regr_slope(y, level) AS zeta FROM sq GROUP BY ALL),
+al AS (SELECT window_id, q, zeta, (coalesce(lead(zeta) OVER s, zeta) - coalesce(lag(zeta) OVER s, zeta)) / (coalesce(lead(q) OVER s, q) - coalesce(lag(q) OVER s, q)) AS alpha FROM zt WINDOW s AS (PARTITION BY window_id ORDER BY q)),
+mf AS (SELECT window_id, min(alpha) AS alpha_min, max(alpha) AS alpha_max, max(alpha) - min(alpha) AS alpha_width, arg_max(alpha, q * alpha - zeta + 1) AS alpha_peak, max(q * alpha - zeta + 1) AS f_alpha_peak FROM al GROUP BY window_id)
+"""
+
+
+def raw_windows(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    return series.prepare_window_dataset(events_trace(spark, sf_dir), size, normalize=False)
+
+
+def windows(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    return series.prepare_window_dataset(events_trace(spark, sf_dir), size)
+
+
+def haar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dwt(windows(spark, sf_dir), "haar", LEVELS)
+
+
+def flagship(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """Hurst exponent per window, end to end."""
+    found = metrics.hurst_wavelet(dwt(windows(spark, sf_dir, size), "haar", wavelets.levels_of(size)))
+    return found.select("series_id", "window_id", "mu", "sigma", "H")
+
+
+def results(spark: SparkSession, sf_dir: str, retains: tuple[float, ...] = RETAINS) -> DataFrame:
+    """Haar at full depth, a Haar bank of BANK levels, and Haar with one pool, for every window and share."""
+    base = reports.with_originals(windows(spark, sf_dir), SIZE)
+    pool = reports.fixed_method(base, "haar", SIZE, retains, pool=True).withColumn("method", F.lit("haar_pool"))
+    return reports.fixed_method(base, "haar", SIZE, retains).unionByName(reports.bank_method(base, SIZE, retains, BANK, None, "haar_bank")).unionByName(pool)
+
+
+# Series and windows
+
+
+@query("scan_trace", "SELECT pos, value FROM tr")
+def _(spark, sf_dir):
+    return events_trace(spark, sf_dir).select("pos", "value")
+
+
+@query("first_numeric_column", "SELECT event_id AS pos, CAST(user_id AS DOUBLE) AS value FROM events WHERE user_id IS NOT NULL")
+def _(spark, sf_dir):
+    return numeric_trace(table(spark, sf_dir, "events"), "event_id").select("pos", "value")
+
+
+@query("finite_filter", "SELECT event_id AS pos, 1.0 / nullif(value - round(value, 0), 0) AS value FROM events WHERE value - round(value, 0) <> 0")
+def _(spark, sf_dir):
+    t = events_trace(spark, sf_dir)
+    return series.finite_filter(t.withColumn("value", F.try_divide(F.lit(1.0), F.col("value") - F.round("value", 0)))).select("pos", "value")
+
+
+@query("truncate_dyadic", "SELECT count(*) AS rows, max(pos) AS last_pos, round(sum(value), 4) AS total, any_value(dy.n - dy.n2) AS removed FROM cut, dy")
+def _(spark, sf_dir):
+    t = events_trace(spark, sf_dir)
+    kept = series.truncate_dyadic(t).groupBy("series_id").agg(F.count("*").alias("rows"), F.max("pos").alias("last_pos"), F.round(F.sum("value"), 4).alias("total"))
+    return kept.join(series.dyadic_lengths(t).select("series_id", "removed"), "series_id").drop("series_id")
+
+
+def window_facts(df: DataFrame) -> DataFrame:
+    return tidy(df, "window_id", F.size("x").alias("n"), F.get("x", 0).alias("first_x"), F.element_at("x", -1).alias("last_x"), (series.total(F.col("x")) / F.size("x")).alias("mean_x"))
+
+
+def window_sql(size: int, step: int, source: str = "cut", where: str = "") -> str:
+    return f"""SELECT CAST(w + 1 AS INTEGER) AS window_id, CAST(count(*) AS INTEGER) AS n, {r6('arg_min(value, pos) AS first_x', 'arg_max(value, pos) AS last_x', 'avg(value) AS mean_x')}
+FROM (SELECT pos, value, unnest(range(greatest(0, CAST(ceil((pos - {size} + 1) / {step}.0) AS BIGINT)), pos // {step} + 1)) AS w FROM {source}) {where} GROUP BY w HAVING count(*) = {size}"""
+
+
+@query("window_series", window_sql(1024, 1024))
+def _(spark, sf_dir):
+    return window_facts(raw_windows(spark, sf_dir))
+
+
+@query("window_series_sparse", window_sql(256, 700))
+def _(spark, sf_dir):
+    return window_facts(series.window_series(series.truncate_dyadic(events_trace(spark, sf_dir)), 256, 700))
+
+
+@query("overlap_windows", window_sql(512, 128))
+def _(spark, sf_dir):
+    return window_facts(series.overlap_windows(series.truncate_dyadic(events_trace(spark, sf_dir)), 512, 0.75))
+
+
+@query("make_windows", window_sql(512, 256, where="WHERE w < 12"))
+def _(spark, sf_dir):
+    return window_facts(series.make_windows(series.truncate_dyadic(events_trace(spark, sf_dir)), 512, 256, 12))
+
+
+@query("window_slice", window_sql(1024, 1024, where="WHERE w >= 2 AND w < 6"))
+def _(spark, sf_dir):
+    return window_facts(series.window_slice(raw_windows(spark, sf_dir), 3, 4))
+
+
+@query("normalize_windows", f"SELECT window_id, i, {r6('x', 'mu', 'sigma')} FROM win JOIN st USING (window_id)")
+def _(spark, sf_dir):
+    return tidy(windows(spark, sf_dir).select("window_id", "mu", "sigma", F.posexplode("x").alias("i", "x")), "window_id", F.col("i").cast("long").alias("i"), "x", "mu", "sigma")
+
+
+@query("zscore", f"SELECT pos, {r6('(value - (SELECT avg(value) FROM tr)) / (SELECT stddev_samp(value) FROM tr) AS z')} FROM tr")
+def _(spark, sf_dir):
+    return tidy(series.zscore(events_trace(spark, sf_dir)), "pos", "z")
+
+
+@query("prepare_window_dataset", f"SELECT window_id, count(*) AS n, {r6('sum(x * x) AS energy', 'min(x) AS min_x', 'max(x) AS max_x')} FROM win GROUP BY window_id")
+def _(spark, sf_dir):
+    return tidy(windows(spark, sf_dir), "window_id", F.size("x").cast("long").alias("n"), metrics.energy(F.col("x")).alias("energy"), F.array_min("x").alias("min_x"), F.array_max("x").alias("max_x"))
+
+
+@query("aggregate_series", f"SELECT pos // 100 AS pos, {r6('sum(value) AS value')} FROM tr, dy WHERE pos < n - n % 100 GROUP BY pos // 100")
+def _(spark, sf_dir):
+    return tidy(series.aggregate_series(events_trace(spark, sf_dir), 100, "sum"), "pos", "value")
+
+
+@query("multiscale_factors", f"SELECT CAST(f AS INTEGER) AS factor, pos // f AS pos, {r6('avg(value) AS value')} FROM tr, dy, (SELECT unnest([1, 10, 64, 1000]) AS f) WHERE pos < n - n % f GROUP BY f, pos // f")
+def _(spark, sf_dir):
+    return tidy(series.multiscale(events_trace(spark, sf_dir), series.multiscale_factors(1000.0, [0.4, 10, 64, 1000, 10])), "factor", "pos", "value")
+
+
+@query("downsample", "SELECT pos, value FROM tr WHERE pos IN (SELECT CAST(round_even(i * (n - 1) / 499.0, 0) AS BIGINT) FROM dy, (SELECT unnest(range(0, 500)) AS i))")
+def _(spark, sf_dir):
+    return series.downsample(events_trace(spark, sf_dir), 500).select("pos", "value")
+
+
+@query("multiscale_view", f"SELECT CAST(f AS INTEGER) AS factor, pos, {r6('(v - avg(v) OVER (PARTITION BY f)) / stddev_samp(v) OVER (PARTITION BY f) AS z')} FROM (SELECT f, pos // f AS pos, avg(value) AS v FROM tr, dy, (SELECT unnest([10, 100]) AS f) WHERE pos < n - n % f GROUP BY f, pos // f)")
+def _(spark, sf_dir):
+    rows = series.multiscale(events_trace(spark, sf_dir), [10, 100])
+    return tidy(series.zscore(rows.withColumn("series_id", F.col("factor").cast("string"))), "factor", "pos", "z")
+
+
+# Wavelets
+
+
+@query("wavelet_alias", "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'haar' ELSE 'c3' END AS family FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    """Spellings by event type, mapped to families in a column expression."""
+    spelled = F.when(F.col("event_type").isin("click", "view"), " Daubechies-1 ").otherwise("Coif.6")
+    table_ = F.create_map(*(F.lit(x) for family, names in wavelets.ALIASES.items() for n in names for x in (n, family)))
+    family = F.element_at(table_, F.regexp_replace(F.lower(F.trim(spelled)), "[ .-]", ""))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.first(family).alias("family"))
+
+
+@query("baseline_list")
+def _(spark, sf_dir):
+    """Coefficient energy of every family of the list, by window."""
+    parts = [dwt(windows(spark, sf_dir), f, LEVELS).select("window_id", "wavelet", metrics.sparsity_loss().alias("mean_abs")) for f in wavelets.baseline_list("haar, db4,Daubechies4")]
+    return tidy(union_results(*parts))
+
+
+@query("dwt", f"SELECT window_id, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS k, {r6('d')} FROM coef")
+def _(spark, sf_dir):
+    return tidy(coefficients(haar(spark, sf_dir)), "window_id", "level", "k", "d")
+
+
+@query("idwt", f"SELECT window_id, CAST(i AS INTEGER) AS i, {r6('x')} FROM win")
+def _(spark, sf_dir):
+    out = idwt(haar(spark, sf_dir), "haar", LEVELS)
+    return tidy(out.select("window_id", F.posexplode("recon").alias("i", "x")))
+
+
+@query("detail_band", f"SELECT window_id, CAST(level AS INTEGER) AS level, CAST(count(*) AS INTEGER) AS n, {r6('sum(d) AS total')} FROM coef GROUP BY ALL")
+def _(spark, sf_dir):
+    rows = haar(spark, sf_dir).select("window_id", F.posexplode("details").alias("j", "d"))
+    return tidy(rows, "window_id", (F.col("j") + 1).alias("level"), F.size("d").alias("n"), series.total(F.col("d")).alias("total"))
+
+
+def banked(spark: SparkSession, sf_dir: str, theta: float = 0.6) -> DataFrame:
+    """Windows with a bank of reflections at angles theta, theta / 2, ... by level."""
+    banks = F.array(*(F.struct(F.array(F.lit(math.cos(theta / j)), F.lit(math.sin(theta / j))).alias("h"), F.array(F.lit(math.sin(theta / j)), F.lit(-math.cos(theta / j))).alias("g")) for j in (1, 2)))
+    return windows(spark, sf_dir).withColumn("filters", banks)
+
+
+def bank_sql(theta: float = 0.6) -> str:
+    c1, s1, c2, s2 = math.cos(theta), math.sin(theta), math.cos(theta / 2), math.sin(theta / 2)
+    return f"""SELECT window_id, 1 AS level, CAST(i // 2 AS INTEGER) AS k, {r6(f'sum(CASE WHEN i % 2 = 0 THEN {s1!r} * x ELSE -{c1!r} * x END) AS d')} FROM win GROUP BY window_id, i // 2
+UNION ALL SELECT window_id, 2, CAST(i // 2 AS INTEGER), {r6(f'sum(CASE WHEN i % 2 = 0 THEN {s2!r} * a ELSE -{c2!r} * a END) AS d')} FROM (SELECT window_id, i // 2 AS i, sum(CASE WHEN i % 2 = 0 THEN {c1!r} * x ELSE {s1!r} * x END) AS a FROM win GROUP BY window_id, i // 2) GROUP BY window_id, i // 2"""
+
+
+@query("mera_analyze", bank_sql())
+def _(spark, sf_dir):
+    return tidy(coefficients(two_tap_analyze(banked(spark, sf_dir), 2, "filters")), "window_id", "level", "k", "d")
+
+
+@query("mera_synthesize", f"SELECT window_id, CAST(i AS INTEGER) AS i, {r6('x')} FROM win")
+def _(spark, sf_dir):
+    out = two_tap_synthesize(two_tap_analyze(banked(spark, sf_dir), 2, "filters"), 2, "filters")
+    return tidy(out.select("window_id", F.posexplode("recon").alias("i", "x")))
+
+
+@query("extract_filters", f"SELECT window_id, {r6('h0', 'h1', '-h1 AS g0', 'h0 AS g1')} FROM (SELECT window_id, mu / sqrt(mu * mu + sigma * sigma) AS h0, sigma / sqrt(mu * mu + sigma * sigma) AS h1 FROM st)")
+def _(spark, sf_dir):
+    """A block's filters by Gram-Schmidt; the block's first row is (mu, sigma) of a window, its second (-sigma, mu)."""
+    w = windows(spark, sf_dir).withColumn("a", F.array("mu", "sigma")).withColumn("b", F.array(-F.col("sigma"), F.col("mu")))
+    norm = lambda c: F.sqrt(metrics.energy(c))
+    w = w.withColumn("h", F.transform("a", lambda v: v / norm(F.col("a")))).withColumn("p", F.aggregate(F.zip_with("b", "h", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v))
+    w = w.withColumn("u", F.zip_with("b", "h", lambda x, y: x - F.col("p") * y)).withColumn("g", F.transform("u", lambda v: v / norm(F.col("u"))))
+    return tidy(w, "window_id", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"))
+
+
+@query("quadrature_mirror", f"SELECT window_id, {r6('sigma AS g0', '-mu AS g1')} FROM st")
+def _(spark, sf_dir):
+    mirror = F.transform(F.reverse(F.array("mu", "sigma")), lambda v, i: F.when(i % 2 == 0, v).otherwise(-v))
+    return tidy(windows(spark, sf_dir).withColumn("g", mirror), "window_id", F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"))
+
+
+# Compression
+
+
+@query("threshold_per_level", f"SELECT window_id, retain_ppm, kept, total, {r6('psnr')} FROM res WHERE method = 'haar'")
+def _(spark, sf_dir):
+    out = idwt(compression.threshold_per_level(haar(spark, sf_dir)), "haar", LEVELS, "kept_details")
+    return tidy(out, "window_id", "retain_ppm", "kept", "total", metrics.psnr().alias("psnr"))
+
+
+@query("threshold_global", f"SELECT window_id, retain_ppm, kept, total, {r6('psnr')} FROM res WHERE method = 'haar_pool'")
+def _(spark, sf_dir):
+    out = idwt(compression.threshold_global(haar(spark, sf_dir)), "haar", LEVELS, "kept_details")
+    return tidy(out, "window_id", "retain_ppm", "kept", "total", metrics.psnr().alias("psnr"))
+
+
+@query("retain_sweep", "SELECT retain_ppm, count(*) AS windows, sum(kept) AS kept, sum(total) AS total FROM res WHERE method = 'haar_bank' GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    out = compression.threshold_per_level(two_tap_analyze(windows(spark, sf_dir), BANK))
+    return out.groupBy("retain_ppm").agg(F.count("*").alias("windows"), F.sum("kept").alias("kept"), F.sum("total").alias("total"))
+
+
+# Measures of a window
+
+
+@query("psnr", f"SELECT window_id, retain_ppm, {r6('psnr')} FROM res WHERE method = 'haar_bank'")
+def _(spark, sf_dir):
+    out = compression.threshold_per_level(two_tap_analyze(windows(spark, sf_dir), BANK))
+    return tidy(two_tap_synthesize(out, BANK, None, "kept_details"), "window_id", "retain_ppm", metrics.psnr().alias("psnr"))
+
+
+@query("pr_check", "SELECT DISTINCT window_id, true AS mse_ok, true AS error_ok, true AS l2_ok, true AS parseval_ok FROM win")
+def _(spark, sf_dir):
+    r = reports.pr_report(windows(spark, sf_dir), BANK)
+    return r.select("window_id", (F.col("pr_mse") < 1e-24).alias("mse_ok"), (F.col("pr_relative_error") < 1e-12).alias("error_ok"), (F.col("rel_l2_error") < 1e-12).alias("l2_ok"), (F.col("parseval_error") < 1e-12).alias("parseval_ok"))
+
+
+@query("parseval_error", f"SELECT window_id, {r6('sum(e0) AS energy', 'sum(ed) AS parts')} FROM (SELECT window_id, sum(x * x) AS e0, 0.0 AS ed FROM win GROUP BY window_id UNION ALL SELECT window_id, 0.0, sum(d * d) FROM coef GROUP BY window_id UNION ALL SELECT window_id, 0.0, a * a FROM top) GROUP BY window_id")
+def _(spark, sf_dir):
+    parts = metrics.energy(F.col("approx")) + F.aggregate("details", F.lit(0.0), lambda acc, d: acc + metrics.energy(d))
+    return tidy(haar(spark, sf_dir), "window_id", metrics.energy(F.col("x")).alias("energy"), parts.alias("parts"))
+
+
+@query("rel_l2_error", f"SELECT window_id, retain_ppm, {r6('sqrt(sum(power(y - x, 2))) / sqrt(sum(x * x)) AS rel_l2')} FROM rec JOIN (SELECT retain, any_value(retain_ppm) AS retain_ppm FROM res GROUP BY retain) USING (retain) WHERE method = 'haar' GROUP BY window_id, retain_ppm")
+def _(spark, sf_dir):
+    out = idwt(compression.threshold_per_level(haar(spark, sf_dir)), "haar", LEVELS, "kept_details")
+    return tidy(out, "window_id", "retain_ppm", metrics.rel_l2_error().alias("rel_l2"))
+
+
+@query("sparsity_loss", f"SELECT window_id, {r6('avg(abs(d)) AS loss')} FROM coef WHERE level <= {BANK} GROUP BY window_id")
+def _(spark, sf_dir):
+    return tidy(two_tap_analyze(windows(spark, sf_dir), BANK), "window_id", metrics.sparsity_loss().alias("loss"))
+
+
+@query("delta_metric", f"SELECT window_id, retain_ppm, {r6('H', 'deltaH')} FROM res WHERE method = 'haar'")
+def _(spark, sf_dir):
+    base = reports.with_originals(windows(spark, sf_dir), SIZE)
+    return tidy(reports.fixed_method(base, "haar", SIZE, RETAINS), "window_id", "retain_ppm", "H", "deltaH")
+
+
+@query("level_energy", f"SELECT window_id, CAST(level AS INTEGER) AS level, {r6('log2(e) AS log2_energy')} FROM en WHERE e > 0")
+def _(spark, sf_dir):
+    points = haar(spark, sf_dir).select("window_id", F.explode(metrics.level_energies(low=1)).alias("p"))
+    return tidy(points, "window_id", F.col("p.x").cast("int").alias("level"), F.col("p.y").alias("log2_energy"))
+
+
+@query("ols_slope", f"SELECT window_id, {r6('slope', 'intercept')}, CAST(m AS INTEGER) AS n FROM fit")
+def _(spark, sf_dir):
+    out = metrics.with_fit(haar(spark, sf_dir), metrics.level_energies(), "fit")
+    return tidy(out, "window_id", F.col("fit.slope").alias("slope"), F.col("fit.intercept").alias("intercept"), F.col("fit.n").alias("n"))
+
+
+@query("hurst_wavelet", f"SELECT window_id, {r6('H')} FROM hw")
+def _(spark, sf_dir):
+    return tidy(metrics.hurst_wavelet(haar(spark, sf_dir)), "window_id", "H")
+
+
+@query("hurst_wavelet_ci", f"""SELECT window_id, {r6('H', 'slope', 'intercept', 'v AS residual_variance', 'sqrt(v / sxx) AS se_slope', 'sqrt(v / sxx) / 2 AS se_H', 'greatest(0, least(1, H - 1.959963984540054 * sqrt(v / sxx) / 2)) AS ci_low', 'greatest(0, least(1, H + 1.959963984540054 * sqrt(v / sxx) / 2)) AS ci_high')}
+FROM (SELECT *, (slope + 1) / 2 AS H, greatest(0, syy - slope * sxy) / (m - 2) AS v FROM fit)""")
+def _(spark, sf_dir):
+    return tidy(metrics.hurst_wavelet_ci(haar(spark, sf_dir)), "window_id", "H", "slope", "intercept", "residual_variance", "se_slope", "se_H", "ci_low", "ci_high")
+
+
+@query("multifractal", f"SELECT window_id, {r6('alpha_min', 'alpha_max', 'alpha_width', 'alpha_peak', 'f_alpha_peak')} FROM mf")
+def _(spark, sf_dir):
+    return tidy(metrics.multifractal(haar(spark, sf_dir)), "window_id", "alpha_min", "alpha_max", "alpha_width", "alpha_peak", "f_alpha_peak")
+
+
+@query("multifractal_spectrum", f"SELECT window_id, q, {r6('zeta', 'alpha', 'q * alpha - zeta + 1 AS f')} FROM al")
+def _(spark, sf_dir):
+    return tidy(metrics.multifractal(haar(spark, sf_dir)).select("window_id", F.explode("spectrum").alias("p")).select("window_id", "p.*"))
+
+
+@query("multifractal_diag", f"""SELECT n, {r6('m AS mean', 's AS std', 'm - 1.959963984540054 * s / sqrt(n) AS ci_low', 'm + 1.959963984540054 * s / sqrt(n) AS ci_high')}, CASE WHEN m > 0.1 AND m - 1.959963984540054 * s / sqrt(n) > 0 THEN 'multifractal' ELSE 'monofractal' END AS diagnosis
+FROM (SELECT count(*) AS n, avg(alpha_width) AS m, coalesce(stddev_samp(alpha_width), 0) AS s FROM mf)""")
+def _(spark, sf_dir):
+    return tidy(reports.multifractal_diag(metrics.multifractal(haar(spark, sf_dir))), "n", "mean", "std", "ci_low", "ci_high", "diagnosis")
+
+
+@query("hurst_loglog_level", f"SELECT window_id, {r6('regr_slope(log2(e), log2(level)) - 0.5 AS H_loglog')} FROM en WHERE e > 0 GROUP BY window_id")
+def _(spark, sf_dir):
+    return tidy(metrics.hurst_loglog_level(haar(spark, sf_dir)), "window_id", "H_loglog")
+
+
+DFA_SQL = f"""SELECT window_id, {r6('regr_slope(ln(f2) / 2, ln(s)) AS H_dfa')} FROM (
+  SELECT window_id, s, avg(r) AS f2 FROM (
+    SELECT window_id, s, i // s AS seg, (regr_syy(y, i) - power(regr_sxy(y, i), 2) / regr_sxx(y, i)) / s AS r
+    FROM (SELECT window_id, i, sum(x) OVER (PARTITION BY window_id ORDER BY i) AS y FROM (SELECT window_id, i, x - avg(x) OVER (PARTITION BY window_id) AS x FROM win)),
+      (SELECT unnest({[s for s in metrics.dfa_scales(SIZE) if SIZE // s >= 4]}) AS s) WHERE i // s < {SIZE} // s GROUP BY window_id, s, i // s)
+  GROUP BY window_id, s) WHERE f2 > 0 GROUP BY window_id"""
+
+
+@query("dfa", DFA_SQL)
+def _(spark, sf_dir):
+    return tidy(metrics.dfa(windows(spark, sf_dir), SIZE), "window_id", "H_dfa")
+
+
+@query("hurst_rs", f"""SELECT window_id, {r6('regr_slope(ln(rs), ln(s)) AS H_rs')} FROM (
+  SELECT window_id, s, avg((hi - lo) / sd) AS rs FROM (
+    SELECT window_id, s, seg, max(y) AS hi, min(y) AS lo, any_value(sd) AS sd FROM (
+      SELECT window_id, s, seg, sum(x - m) OVER (PARTITION BY window_id, s, seg ORDER BY i) AS y, sd FROM (
+        SELECT window_id, s, i // s AS seg, i, x, avg(x) OVER p AS m, stddev_samp(x) OVER p AS sd FROM win, (SELECT unnest([8, 16, 32, 64, 128]) AS s) WINDOW p AS (PARTITION BY window_id, s, i // s)))
+    GROUP BY window_id, s, seg) WHERE sd > 0 GROUP BY window_id, s) GROUP BY window_id""")
+def _(spark, sf_dir):
+    return tidy(metrics.hurst_rs(windows(spark, sf_dir), SIZE), "window_id", "H_rs")
+
+
+@query("local_whittle")
+def _(spark, sf_dir):
+    return tidy(metrics.local_whittle(windows(spark, sf_dir)), "window_id", "H_lw", "H_lw_se", "H_lw_m")
+
+
+# Spectra
+
+PSD_SIZE, PSD_STEP = 64, 32
+PSD = f"""psd AS (SELECT bin, avg(p) AS p, bin * {1000 / 2 / (PSD_SIZE // 2)} AS f FROM (
+  SELECT w, bin, (power(sum(v * cos(2 * pi() * bin * i / {PSD_SIZE})), 2) + power(sum(v * sin(2 * pi() * bin * i / {PSD_SIZE})), 2)) / (1000.0 * (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / {PSD_SIZE - 1}), 2)) FROM (SELECT unnest(range(0, {PSD_SIZE})) AS j))) AS p
+  FROM (SELECT w, pos - w * {PSD_STEP} AS i, (value - (SELECT avg(value) FROM cut)) * (0.5 - 0.5 * cos(2 * pi() * (pos - w * {PSD_STEP}) / {PSD_SIZE - 1})) AS v
+    FROM (SELECT pos, value, unnest(range(greatest(0, CAST(ceil((pos - {PSD_SIZE} + 1) / {PSD_STEP}.0) AS BIGINT)), pos // {PSD_STEP} + 1)) AS w FROM cut) WHERE w <= (SELECT (n2 - {PSD_SIZE}) // {PSD_STEP} FROM dy)),
+    (SELECT unnest(range(0, {PSD_SIZE // 2 + 1})) AS bin) GROUP BY w, bin) GROUP BY bin)
+"""
+
+
+def psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.welch_psd(series.truncate_dyadic(events_trace(spark, sf_dir)), PSD_SIZE)
+
+
+@query("taper", f"SELECT window_id, {r6('sum(x * (0.54 - 0.46 * cos(2 * pi() * i / 1023))) AS hamming', 'sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 1023))) AS hann')} FROM win GROUP BY window_id")
+def _(spark, sf_dir):
+    tapered = lambda kind: series.total(F.transform("x", lambda v, i: v * spectral.taper_expr(kind, i, SIZE)))
+    return tidy(windows(spark, sf_dir), "window_id", tapered("hamming").alias("hamming"), tapered("hann").alias("hann"))
+
+
+@query("welch_psd", f", {PSD} SELECT CAST(bin AS INTEGER) AS bin, {r6('f', 'p')} FROM psd")
+def _(spark, sf_dir):
+    return tidy(psd(spark, sf_dir), "bin", "f", "p")
+
+
+@query("daniell_psd", f", {PSD} SELECT CAST(bin AS INTEGER) AS bin, {r6('f', 'avg(p) OVER (ORDER BY bin ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS p')} FROM psd")
+def _(spark, sf_dir):
+    return tidy(spectral.daniell_psd(psd(spark, sf_dir)), "bin", "f", "p")
+
+
+@query("logbin_psd", f", {PSD} SELECT CAST(b AS INTEGER) AS bin, {r6('power(10.0, avg(lf)) AS f', 'quantile_cont(p, 0.5) AS p')} FROM (SELECT log10(f) AS lf, p, floor((log10(f) - (SELECT min(log10(f)) FROM psd WHERE f > 0)) / (((SELECT max(log10(f)) FROM psd) - (SELECT min(log10(f)) FROM psd WHERE f > 0)) / 7)) AS b FROM psd WHERE f > 0) WHERE b < 7 GROUP BY b")
+def _(spark, sf_dir):
+    return tidy(spectral.logbin_psd(psd(spark, sf_dir), 7), "bin", "f", "p")
+
+
+@query("spectral_slope", f", {PSD} SELECT {r6('b AS beta', 'y0 - b * x0 AS intercept')}, n FROM (SELECT regr_slope(log10(p), log10(f)) AS b, min(log10(f)) AS x0, arg_min(log10(p), f) AS y0, count(*) AS n FROM psd WHERE f > 0 AND bin <= 10)")
+def _(spark, sf_dir):
+    return tidy(spectral.spectral_slope(psd(spark, sf_dir), 0.3), "beta", "intercept", "n")
+
+
+@query("periodogram_report", f", {PSD} SELECT CAST(bin AS INTEGER) AS bin, {r6('f', 'p', 'power(10.0, y0 - b * x0 + b * log10(f)) AS guide')} FROM psd, (SELECT regr_slope(log10(p), log10(f)) AS b, min(log10(f)) AS x0, arg_min(log10(p), f) AS y0 FROM psd WHERE f > 0 AND bin <= 10) WHERE f > 0")
+def _(spark, sf_dir):
+    p = psd(spark, sf_dir)
+    out = p.join(spectral.spectral_slope(p, 0.3), "series_id").where("f > 0")
+    return tidy(out, "bin", "f", "p", F.pow(F.lit(10.0), F.col("intercept") + F.col("beta") * F.log10("f")).alias("guide"))
+
+
+@query("simple_periodogram")
+def _(spark, sf_dir):
+    return tidy(spectral.simple_periodogram(windows(spark, sf_dir)).select("window_id", F.posexplode("power").alias("k", "power")))
+
+
+# Statistics of results
+
+Z = 1.959963984540054
+
+
+def ci_sql(keys: str, value: str, source: str) -> str:
+    inner = f"SELECT {keys}, count(*) AS n, avg({value}) AS m, coalesce(stddev_samp({value}), 0) AS s FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys}"
+    return f"SELECT {keys}, n, {r6('m AS mean', 's AS std', f'm - {Z} * s / sqrt(n) AS ci_low', f'm + {Z} * s / sqrt(n) AS ci_high')} FROM ({inner})"
+
+
+@query("block_bootstrap_ci", ci_sql("method, retain_ppm", "psnr", "res"))
+def _(spark, sf_dir):
+    return tidy(stats.block_bootstrap_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id"))
+
+
+@query("block_bootstrap_resampled")
+def _(spark, sf_dir):
+    return tidy(stats.block_bootstrap_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id", 4, 500))
+
+
+@query("iid_bootstrap_ci")
+def _(spark, sf_dir):
+    return tidy(stats.hash_bootstrap_ci(metrics.hurst_wavelet(haar(spark, sf_dir)).select("series_id", "window_id", "H"), ["series_id"], "H", "window_id"))
+
+
+@query("bootstrap_multifractal")
+def _(spark, sf_dir):
+    names = ["alpha_width", "alpha_peak"]
+    return tidy(stats.iid_bootstrap_metrics(windows(spark, sf_dir).select("series_id", "window_id", "x"), lambda w: metrics.multifractal(two_tap_analyze(w, LEVELS)), names, 20))
+
+
+@query("confidence_margin", f"SELECT retain_ppm, n, {r6('CASE WHEN n >= 30 THEN 1.959964 * s / sqrt(n) END AS margin')} FROM (SELECT retain_ppm, count(*) AS n, stddev_samp(psnr) AS s FROM (SELECT retain_ppm, psnr FROM res, (SELECT unnest(range(0, 2)) AS c)) WHERE psnr IS NOT NULL GROUP BY retain_ppm)")
+def _(spark, sf_dir):
+    """Margins over all methods' results, each counted twice."""
+    r = results(spark, sf_dir).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
+    by = r.groupBy("retain_ppm").agg(F.count("psnr").alias("n"), F.stddev_samp("psnr").alias("s"))
+    return tidy(by, "retain_ppm", "n", stats.confidence_margin(F.col("n"), F.col("s")).alias("margin"))
+
+
+@query("summary_by_retain", f"SELECT retain_ppm, {r6('avg(psnr) AS psnr_mean', 'stddev_samp(psnr) AS psnr_std', 'avg(kept / total) AS keep_mean', 'stddev_samp(kept / total) AS keep_std')}, count(*) AS rows FROM res WHERE method = 'haar' GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("method = 'haar'").withColumn("keep", F.col("kept") / F.col("total"))
+    return tidy(stats.summary(r, ["retain_ppm"], "psnr", "keep"))
+
+
+@query("window_time", f"SELECT count(*) AS windows, {r6('avg(s) AS mean_seconds')} FROM (SELECT user_id, max(value) AS s FROM events GROUP BY user_id)")
+def _(spark, sf_dir):
+    """Mean over users of the longest event: the largest by key, then the mean."""
+    longest = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("s"))
+    return tidy(longest.agg(F.count("*").alias("windows"), F.avg("s").alias("mean_seconds")))
+
+
+@query("psnr_by_wavelet_retain", f"SELECT method, retain_ppm, {r6('avg(psnr) AS psnr_mean', 'stddev_samp(psnr) AS psnr_std')}, count(*) AS rows FROM res GROUP BY ALL")
+def _(spark, sf_dir):
+    return tidy(stats.summary(results(spark, sf_dir), ["method", "retain_ppm"], "psnr"))
+
+
+@query("mean_by_retain", f"SELECT retain_ppm, {r6('avg(psnr) AS psnr')} FROM res GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    return tidy(results(spark, sf_dir).groupBy("retain_ppm").agg(F.avg("psnr").alias("psnr")))
+
+
+@query("compression_ratio", f"SELECT retain_ppm, {r6('1e6 / retain_ppm AS cr', 'avg(total * 1.0 / kept) AS measured')} FROM res WHERE method = 'haar' GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("method = 'haar'").groupBy("retain_ppm").agg(F.avg(F.col("total") / F.col("kept")).alias("measured"))
+    return tidy(r, "retain_ppm", (1e6 / F.col("retain_ppm")).alias("cr"), "measured")
+
+
+@query("hurst_summary", f"SELECT count(*) AS n, {r6('avg(H) AS h_mean', 'stddev_samp(H) AS h_std', 'stddev_samp(H) / sqrt(count(*)) AS se', 'avg(H) - 1.96 * stddev_samp(H) / sqrt(count(*)) AS ci_norm_low', 'avg(H) + 1.96 * stddev_samp(H) / sqrt(count(*)) AS ci_norm_high')} FROM hw WHERE H IS NOT NULL")
+def _(spark, sf_dir):
+    return tidy(reports.hurst_summary(metrics.hurst_wavelet(haar(spark, sf_dir))))
+
+
+@query("delta_h_summary", ci_sql("method, retain_ppm", "deltaH", "res"))
+def _(spark, sf_dir):
+    return tidy(reports.delta_h_summary(results(spark, sf_dir)))
+
+
+@query("describe_metrics", f"SELECT {r6('min(H) AS h_min', 'quantile_cont(H, 0.25) AS h_q25', 'quantile_cont(H, 0.5) AS h_median', 'quantile_cont(H, 0.75) AS h_q75', 'max(H) AS h_max')} FROM hw")
+def _(spark, sf_dir):
+    h = metrics.hurst_wavelet(haar(spark, sf_dir))
+    quantile = lambda q: F.expr(f"percentile(H, {q})")
+    return tidy(h.agg(F.min("H").alias("h_min"), quantile(0.25).alias("h_q25"), quantile(0.5).alias("h_median"), quantile(0.75).alias("h_q75"), F.max("H").alias("h_max")))
+
+
+@query("pearson", f"SELECT retain_ppm, {r6('corr(psnr, hw.H) AS r')}, count(*) AS n FROM res JOIN hw USING (window_id) WHERE method = 'haar' AND psnr IS NOT NULL GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    return tidy(covariates(spark, sf_dir, "haar", "H_orig"), "retain_ppm", "r", "n")
+
+
+@query("fit_line", f"SELECT retain_ppm, {r6('regr_slope(psnr, hw.H) AS slope', 'regr_intercept(psnr, hw.H) AS intercept')} FROM res JOIN hw USING (window_id) WHERE method = 'haar' GROUP BY retain_ppm")
+def _(spark, sf_dir):
+    return tidy(covariates(spark, sf_dir, "haar", "H_orig"), "retain_ppm", "slope", "intercept")
+
+
+def covariates(spark: SparkSession, sf_dir: str, method: str, x: str) -> DataFrame:
+    r = results(spark, sf_dir).where(F.col("method") == method).withColumn("H_orig", F.col("H") - F.col("deltaH")).withColumn("width_orig", F.col("alpha_width") - F.col("delta_alpha_width"))
+    return stats.correlation(r, ["retain_ppm"], x, "psnr")
+
+
+@query("robustness_corr", f"""SELECT b.method AS baseline, metric, a.retain_ppm, {r6('corr(a.psnr - b.psnr, v) AS r', 'regr_slope(a.psnr - b.psnr, v) AS slope', 'regr_intercept(a.psnr - b.psnr, v) AS intercept')}, count(*) AS n
+FROM res a JOIN res b USING (window_id, retain_ppm) JOIN (SELECT window_id, 'H' AS metric, H AS v FROM hw UNION ALL SELECT window_id, 'alpha_width', alpha_width FROM mf) USING (window_id) WHERE a.method = 'haar' AND b.method IN ('haar_bank', 'haar_pool') GROUP BY ALL""")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).withColumn("H_orig", F.col("H") - F.col("deltaH")).withColumn("width_orig", F.col("alpha_width") - F.col("delta_alpha_width"))
+    return tidy(reports.robustness(r, "haar", ("haar_bank", "haar_pool"), {"H_orig": "H", "width_orig": "alpha_width"}))
+
+
+@query("delta_vs_reference", f"SELECT retain_ppm, {r6('p AS psnr', 'p - (SELECT avg(psnr) FROM res WHERE retain_ppm = 800000 AND method = $$haar$$) AS delta')} FROM (SELECT retain_ppm, avg(psnr) AS p FROM res WHERE method = 'haar' GROUP BY retain_ppm)")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("method = 'haar'").groupBy("retain_ppm").agg(F.avg("psnr").alias("psnr"))
+    return tidy(stats.delta_vs_reference(r, "psnr"))
+
+
+@query("argmax_row", f"SELECT window_id, {r6('arg_max(psnr, retain_ppm) AS psnr_at_most')} FROM res WHERE method = 'haar' GROUP BY window_id")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("method = 'haar'")
+    return tidy(r.groupBy("window_id").agg(F.max_by("psnr", "retain_ppm").alias("psnr_at_most")))
+
+
+# Reports
+
+
+@query("global_hurst_summary", f""", gl AS (SELECT unnest(range(1, 41)) AS level),
+gc AS (SELECT level, pos >> level AS k, sum(CASE WHEN (pos >> (level - 1)) % 2 = 0 THEN value ELSE -value END) / sqrt(CAST(CAST(1 AS BIGINT) << level AS DOUBLE)) AS d FROM cut, gl, dy WHERE CAST(1 AS BIGINT) << level <= n2 GROUP BY level, pos >> level),
+ge AS (SELECT level, avg(d * d) AS e FROM gc GROUP BY level),
+gf AS (SELECT regr_slope(log2(e), level) AS slope, regr_intercept(log2(e), level) AS intercept, regr_sxx(log2(e), level) AS sxx, regr_syy(log2(e), level) AS syy, regr_sxy(log2(e), level) AS sxy, count(*) AS num_levels FROM ge WHERE level >= 2 AND e > 0)
+SELECT {r6('(slope + 1) / 2 AS H', 'slope', 'intercept', 'sqrt(greatest(0, syy - slope * sxy) / (num_levels - 2) / sxx) / 2 AS se_H')}, num_levels FROM gf""")
+def _(spark, sf_dir):
+    t = series.truncate_dyadic(series.finite_filter(events_trace(spark, sf_dir)))
+    return tidy(reports.global_hurst_summary(t, SIZE), "H", "slope", "intercept", "se_H", "num_levels")
+
+
+@query("wavelet_experiment", f"SELECT window_id, retain_ppm, kept, {r6('psnr')} FROM res WHERE method = 'haar_pool'")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("method = 'haar_pool'")
+    return tidy(r, "window_id", "retain_ppm", "kept", "psnr")
+
+
+@query("paired_gain", f"SELECT retain_ppm, n, {r6('m AS mean', 's AS std', f'm - {Z} * s / sqrt(n) AS ci_low', f'm + {Z} * s / sqrt(n) AS ci_high')} FROM (SELECT retain_ppm, count(*) AS n, avg(a.psnr - b.psnr) AS m, coalesce(stddev_samp(a.psnr - b.psnr), 0) AS s FROM res a JOIN res b USING (window_id, retain_ppm) WHERE a.method = 'haar_bank' AND b.method = 'haar' AND a.psnr - b.psnr IS NOT NULL GROUP BY retain_ppm)")
+def _(spark, sf_dir):
+    return tidy(reports.paired_gain(results(spark, sf_dir), "haar_bank", "haar"))
+
+
+@query("psnr_summary_by_retain", ci_sql("retain_ppm", "psnr", "(SELECT * FROM res WHERE method = 'haar_bank')"))
+def _(spark, sf_dir):
+    return tidy(stats.block_bootstrap_ci(results(spark, sf_dir).where("method = 'haar_bank'"), ["retain_ppm"], "psnr", "window_id"))
+
+
+@query("merge_wide", f"SELECT window_id, retain_ppm, {r6('max(psnr) FILTER (WHERE method = $$haar_bank$$) AS psnr_haar_bank', 'max(psnr) FILTER (WHERE method = $$haar$$) AS psnr_haar', 'max(psnr) FILTER (WHERE method = $$haar_pool$$) AS psnr_haar_pool')} FROM res GROUP BY window_id, retain_ppm")
+def _(spark, sf_dir):
+    return tidy(stats.merge_wide(results(spark, sf_dir), ("haar_bank", "haar", "haar_pool")))
+
+
+@query("align_cr_series", f"""SELECT retain_ppm, {r6('1e6 / retain_ppm AS cr', 'avg(psnr) FILTER (WHERE method = $$haar_bank$$) AS haar_bank_mean', 'stddev_samp(psnr) FILTER (WHERE method = $$haar_bank$$) AS haar_bank_std', 'avg(psnr) FILTER (WHERE method = $$haar$$) AS haar_mean', 'stddev_samp(psnr) FILTER (WHERE method = $$haar$$) AS haar_std', 'avg(psnr) FILTER (WHERE method = $$haar_bank$$) - avg(psnr) FILTER (WHERE method = $$haar$$) AS gain_haar')} FROM res GROUP BY retain_ppm""")
+def _(spark, sf_dir):
+    return tidy(reports.align_cr_series(results(spark, sf_dir), "haar_bank", ("haar",)))
+
+
+@query("level_filter", f"SELECT CAST(level AS INTEGER) AS level, count(*) AS n, {r6('avg(d * d) AS energy')} FROM coef WHERE level = {BANK} GROUP BY level")
+def _(spark, sf_dir):
+    c = coefficients(haar(spark, sf_dir)).where(F.bround("level") == BANK)
+    return tidy(c.groupBy("level").agg(F.count("*").alias("n"), F.avg(F.col("d") * F.col("d")).alias("energy")))
+
+
+@query("method_stats", f"SELECT method, retain_ppm, metric, count(*) AS n, {r6('avg(v) AS mean', 'stddev_samp(v) AS std')} FROM (SELECT method, retain_ppm, 'deltaH' AS metric, deltaH AS v FROM res UNION ALL SELECT method, retain_ppm, 'psnr', psnr FROM res) WHERE v IS NOT NULL GROUP BY ALL")
+def _(spark, sf_dir):
+    return tidy(reports.method_stats(results(spark, sf_dir), ("deltaH", "psnr")), "method", "retain_ppm", "metric", "n", "mean", "std")
+
+
+@query("window_metric_series", f"SELECT method, retain_ppm, window_id, {r6('H')} FROM res")
+def _(spark, sf_dir):
+    return tidy(stats.by_window_order(results(spark, sf_dir), "H"))
+
+
+@query("psnr_vs_covariate", f"SELECT {r6('corr(psnr, alpha_width) AS r', 'regr_slope(psnr, alpha_width) AS slope', 'regr_intercept(psnr, alpha_width) AS intercept')}, count(*) AS n FROM res JOIN mf USING (window_id) WHERE method = 'haar' AND retain_ppm = 100000")
+def _(spark, sf_dir):
+    return tidy(covariates(spark, sf_dir, "haar", "width_orig").where("retain_ppm = 100000"), "r", "slope", "intercept", "n")
+
+
+@query("gain_vs_covariate", f"SELECT {r6('corr(a.psnr - b.psnr, H) AS r', 'regr_slope(a.psnr - b.psnr, H) AS slope', 'regr_intercept(a.psnr - b.psnr, H) AS intercept')}, count(*) AS n FROM (SELECT * EXCLUDE (H) FROM res) a JOIN res b USING (window_id, retain_ppm) JOIN (SELECT window_id, H FROM hw) c USING (window_id) WHERE a.method = 'haar_bank' AND b.method = 'haar' AND retain_ppm = 100000".replace("H)", "c.H)").replace("(c.H)", "(H)"))
+def _(spark, sf_dir):
+    r = results(spark, sf_dir).where("retain_ppm = 100000").withColumn("H_orig", F.col("H") - F.col("deltaH"))
+    return tidy(reports.robustness(r, "haar_bank", ("haar",), {"H_orig": "H"}), "r", "slope", "intercept", "n")
+
+
+@query("raw_hurst_report", DFA_SQL.replace("SELECT window_id, round(", "SELECT count(H_dfa) AS dfa_windows, round(avg(H_dfa), 6) + 0.0 AS H_dfa_mean, round(stddev_samp(H_dfa), 6) + 0.0 AS H_dfa_std FROM (SELECT window_id, (", 1).replace(", 6) + 0.0 AS H_dfa FROM", ") AS H_dfa FROM", 1) + ")")
+def _(spark, sf_dir):
+    return tidy(reports.raw_hurst_report(windows(spark, sf_dir), SIZE), "dfa_windows", "H_dfa_mean", "H_dfa_std")
+
+
+@query("external_model_compare", f"SELECT retain_ppm, {r6('p AS psnr_ours', 'p - max(CASE WHEN retain_ppm = 800000 THEN p END) OVER () AS delta_ours', 'q AS psnr_theirs', 'q - max(CASE WHEN retain_ppm = 800000 THEN q END) OVER () AS delta_theirs')} FROM (SELECT retain_ppm, avg(psnr) FILTER (WHERE method = 'haar_bank') AS p, avg(psnr) FILTER (WHERE method = 'haar') AS q FROM res GROUP BY retain_ppm)")
+def _(spark, sf_dir):
+    r = results(spark, sf_dir)
+    return tidy(reports.external_compare(r.where("method = 'haar_bank'"), r.where("method = 'haar'")))
+
+
+@query("zoom_filter", f"SELECT method, window_id, retain_ppm, {r6('psnr')} FROM res WHERE retain_ppm <= 100000")
+def _(spark, sf_dir):
+    return tidy(results(spark, sf_dir).where("retain_ppm <= 100000"), "method", "window_id", "retain_ppm", "psnr")
+
+
+@query("union_results", f"SELECT 'a' AS run, window_id, {r6('H')}, CAST(NULL AS DOUBLE) AS alpha_width FROM hw UNION ALL SELECT 'b', window_id, NULL, {r6('alpha_width')} FROM mf")
+def _(spark, sf_dir):
+    h = metrics.hurst_wavelet(haar(spark, sf_dir)).select(F.lit("a").alias("run"), "window_id", "H")
+    m = metrics.multifractal(haar(spark, sf_dir)).select(F.lit("b").alias("run"), "window_id", "alpha_width")
+    return tidy(union_results(h, m))
+
+
+@query("baseline_wavelet_psnr")
+def _(spark, sf_dir):
+    base = reports.with_originals(windows(spark, sf_dir), SIZE)
+    return tidy(union_results(*(reports.fixed_method(base, f, SIZE, RETAINS) for f in wavelets.baseline_list("haar"))), "method", "window_id", "retain_ppm", "psnr", "kept", "total")
+
+
+@query("compare_hurst_retains")
+def _(spark, sf_dir):
+    """Six methods over a linear grid of shares, H by levels from 4 on for originals and reconstructions alike."""
+    grid = tuple(round(0.1 + 0.2 * i, 6) for i in range(5))
+    base = reports.with_originals(windows(spark, sf_dir), SIZE, 4)
+    parts = [reports.fixed_method(base, f, SIZE, grid, 4) for f in wavelets.baseline_list("haar")]
+    parts.append(reports.bank_method(training.train(base, BANK), SIZE, grid, BANK, low=4))
+    return tidy(union_results(*parts), "method", "window_id", "retain_ppm", "H", "deltaH", "psnr", "kept", "alpha_width")
+
+
+# Training
+
+
+@query("optimize_wavelet_sparsity")
+def _(spark, sf_dir):
+    return tidy(training.train(windows(spark, sf_dir), BANK), "window_id", "loss", "iterations_used", "error")
+
+
+@query("optimize_variational_schedule")
+def _(spark, sf_dir):
+    return tidy(training.training_history(training.train(windows(spark, sf_dir), BANK, training.DEFAULT_SCHEDULE)))
+
+
+@query("learn_wavelet_filters")
+def _(spark, sf_dir):
+    return tidy(training.model_table(training.train(windows(spark, sf_dir), BANK)), "window_id", "level", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"), "theta", "det")
+
+
+@query("init_random_tensors")
+def _(spark, sf_dir):
+    schedule = (training.Stage(0, init="random"),)
+    return tidy(training.model_table(training.train(windows(spark, sf_dir), BANK, schedule, 4, 4)), "window_id", "level", "theta", "det")
+
+
+@query("grid_search_mse")
+def _(spark, sf_dir):
+    base = reports.with_originals(windows(spark, sf_dir), SIZE)
+    found = training.grid_search(base, (0.0, 0.1, 1.0), ((0.1, 0.4), (0.01, 0.05)), lambda t, r: reports.bank_method(t, SIZE, r, BANK), BANK, (training.Stage(25, 5e-3, "haar"),))
+    return tidy(found.groupBy("retain_set", "mse_weight", "retain_ppm").agg(F.avg("psnr").alias("psnr"), F.count("*").alias("n")))
+
+
+@query("run_window")
+def _(spark, sf_dir):
+    return tidy(reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK), "method", "window_id", "retain_ppm", "psnr", "kept", "total", "H", "deltaH", "alpha_width", "alpha_peak", "f_alpha_peak")
+
+
+@query("run_window_sequential")
+def _(spark, sf_dir):
+    return tidy(reports.run_window_sequential(windows(spark, sf_dir), SIZE, SMALL, BANK), "method", "window_id", "retain_ppm", "psnr", "kept", "total", "H", "deltaH")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
