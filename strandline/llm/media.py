@@ -26,7 +26,7 @@ from .zstd_dictionary import as_dict, sample_bytes, train
 HEADER = 44
 UNIT = 64
 #: Chunk sizes in bytes: no cut below LEAST, one at MOST, and about AVERAGE (a power of two) beyond LEAST in between.
-LEAST, AVERAGE, MOST = 1024, 4096, 32768
+LEAST, AVERAGE, MOST = 1024, 8192, 65536
 
 
 @functools.cache
@@ -95,7 +95,7 @@ def catalog(docs: DataFrame) -> DataFrame:
     return with_arrow_columns(docs.select("doc_id", "text"), run, kinds).drop("text")
 
 
-def chunk_store(docs: DataFrame, level: int = 6) -> tuple[DataFrame, bytes]:
+def chunk_store(docs: DataFrame, level: int = 12) -> tuple[DataFrame, bytes]:
     """digest, media, seq, refs, z of every distinct chunk, and the compression dictionary.
 
     media and seq name the owner, the smallest medium that has the chunk; refs counts the rows that do. Copies meet

@@ -87,7 +87,7 @@ def archive(pages: DataFrame, least: int = 1000, level: int = 3, date: str = "20
     responses. An empty table gives archives without records. Extra columns are not used.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    raw = train(sample_bytes(pages, F.col("payload")))
+    raw = train(sample_bytes(pages, F.col("payload")), 65_536)
     small_batches(pages.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

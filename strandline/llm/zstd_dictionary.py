@@ -7,16 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_bytes(df: DataFrame, data: Column, rows: int = 1000, most: int = 16_384) -> list[bytes]:
-    """The first `most` bytes of `rows` records at most, those with the smallest digests; only they reach the driver.
+def sample_bytes(df: DataFrame, data: Column, rows: int = 2000, most: int = 8192) -> list[bytes]:
+    """The first `most` bytes of about `rows` records at most, chosen by a hash; only they reach the driver.
 
-    The sample only tunes compression: every record is written whole whatever the dictionary holds.
+    The choice is made where the records are read, so nothing is shuffled. The sample only tunes compression: every
+    record is written whole whatever the dictionary holds.
     """
-    head = df.select(F.substring(data, 1, most).alias("b")).where(F.length("b") > 0)
-    return [bytes(r["b"]) for r in head.select("b", F.xxhash64("b").alias("o")).distinct().orderBy("o", "b").limit(rows).collect()]
+    n = df.count()
+    chosen = df.select(data.alias("b")).where((F.length("b") > 0) & (F.pmod(F.xxhash64("b"), F.lit(max(1, n))) < rows))
+    return sorted({bytes(r["b"]) for r in chosen.select(F.substring("b", 1, most).alias("b")).limit(rows).collect()})
 
 
-def train(samples: list[bytes], size: int = 65_536) -> bytes:
+def train(samples: list[bytes], size: int = 262_144) -> bytes:
     """The bytes of a dictionary; without enough to train on, the samples' own bytes, or none."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
