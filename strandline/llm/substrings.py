@@ -200,7 +200,8 @@ def repeated_passages(texts: DataFrame, window: int = 35, gram: int = 8, memory:
     Copies of a whole text are not looked for here; `texts` has each text once, and copies says how often it stands.
     """
     chosen = stored(run_hashes(texts, window, gram), "passage-runs")
-    several = chosen.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    # a table of its own, so that the join below has a shuffle on both sides and AQE may split a very frequent run
+    several = stored(chosen.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "passage-several")
     ats = chosen.join(several, "run", "left_semi").groupBy("id").agg(F.collect_list("at").alias("ats"))
     parts = segments(texts.select("id", "text").join(ats, "id"), window, gram)
     parts = stored(parts.withColumn("class", F.unhex(F.md5(F.concat(F.col("words"), F.lit(" ").cast("binary"), F.col("run").cast("string").cast("binary"))))), "passage-parts")
