@@ -58,10 +58,10 @@ def sparsity_loss(details: str = "details") -> Column:
     return F.aggregate(details, F.lit(0.0), lambda acc, d: acc + total(d, F.abs)) / n
 
 
-def level_energies(details: str = "details", low: int = 2, high: int | None = None) -> Column:
-    """(level, log2 of the mean square) of each level from low to high that has a positive, finite energy."""
+def level_energies(details: str = "details", low: int = 2, high: int | None = None, floor: float = 0.0) -> Column:
+    """(level, log2 of the mean square) of each level from low to high whose energy is finite and above floor."""
     points = F.transform(details, lambda d, j: F.struct((j + 1).cast("double").alias("x"), (energy(d) / F.size(d)).alias("e")))
-    kept = F.filter(points, lambda p: (p["x"] >= low) & (p["x"] <= (high or 10_000)) & (p["e"] > 0) & (p["e"] < float("inf")))
+    kept = F.filter(points, lambda p: (p["x"] >= low) & (p["x"] <= (high or 10_000)) & (p["e"] > floor) & (p["e"] < float("inf")))
     return F.transform(kept, lambda p: F.struct(p["x"].alias("x"), F.log2(p["e"]).alias("y")))
 
 
@@ -78,10 +78,10 @@ def with_fit(df: DataFrame, points: Column, out: str) -> DataFrame:
     return let(df, **{out: fit}).drop("_pts", "_n", "_mx", "_my", "_sxx", "_sxy", "_syy", "_b")
 
 
-def hurst_wavelet(df: DataFrame, low: int = 2, high: int | None = None, model: str = "fgn", details: str = "details", out: str = "H") -> DataFrame:
+def hurst_wavelet(df: DataFrame, low: int = 2, high: int | None = None, model: str = "fgn", details: str = "details", out: str = "H", floor: float = 0.0) -> DataFrame:
     """df with H from the slope of log2 energy on level: (slope + 1) / 2 for noise, (slope - 1) / 2 for motion (fbm)."""
     sign = {"fgn": 1, "fbm": -1}[model]
-    df = with_fit(df, level_energies(details, low, high), "_fit")
+    df = with_fit(df, level_energies(details, low, high, floor), "_fit")
     return df.withColumn(out, (F.col("_fit.slope") + sign) / 2).drop("_fit")
 
 

@@ -91,16 +91,17 @@ def add_columns(df: DataFrame, kinds: dict[str, T.DataType], run) -> DataFrame:
 REALS = T.ArrayType(T.DoubleType())
 
 
-def dwt(windows: DataFrame, wavelet: str, levels: int | None = None, size: int | None = None) -> DataFrame:
+def dwt(windows: DataFrame, wavelet: str, levels: int | None = None, size: int | None = None, native: bool = True) -> DataFrame:
     """windows with wavelet, approx and details, by default as deep as the window length allows.
 
-    All windows have one length (`size`, needed where `levels` isn't given). Ends are circular.
+    All windows have one length (`size`, needed where `levels` isn't given). Ends are circular. native: Haar by array
+    functions; a report that transforms many times takes the Arrow kernel instead, whose plan stays short.
     """
     family = canonical(wavelet)
     if levels is None:
         levels = levels_of(size)
     out = windows.withColumn("wavelet", F.lit(family))
-    if family == "haar":
+    if family == "haar" and native:
         return two_tap_analyze(out, levels)
 
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -113,10 +114,10 @@ def dwt(windows: DataFrame, wavelet: str, levels: int | None = None, size: int |
     return add_columns(out, {"details": T.ArrayType(REALS), "approx": REALS}, run)
 
 
-def idwt(coefs: DataFrame, wavelet: str, levels: int, details: str = "details", out: str = "recon") -> DataFrame:
+def idwt(coefs: DataFrame, wavelet: str, levels: int, details: str = "details", out: str = "recon", native: bool = True) -> DataFrame:
     """coefs with the reconstructed signal."""
     family = canonical(wavelet)
-    if family == "haar":
+    if family == "haar" and native:
         return two_tap_synthesize(coefs, levels, None, details, out)
 
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:

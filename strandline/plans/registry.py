@@ -73,7 +73,7 @@ rec AS (SELECT method, window_id, retain, i, any_value(w.x) AS x, any_value(a) /
   FROM th JOIN win w USING (window_id) JOIN top USING (window_id) WHERE k = w.i >> level GROUP BY method, window_id, retain, i),
 ps AS (SELECT method, window_id, retain, CASE WHEN avg(power(y - x, 2)) >= {series.EPS} AND max(abs(x)) > 0 THEN 10 * log10(power(max(abs(x)), 2) / avg(power(y - x, 2))) END AS psnr FROM rec GROUP BY ALL),
 bud AS (SELECT method, window_id, retain, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE method <> 'haar_bank' OR level <= {BANK}) AS total FROM th GROUP BY ALL),
-hr AS (SELECT method, window_id, retain, (regr_slope(log2(e), level) + 1) / 2 AS H FROM (SELECT method, window_id, retain, level, avg(d * d) AS e FROM th GROUP BY ALL) WHERE level >= 2 AND e > 0 GROUP BY ALL),
+hr AS (SELECT method, window_id, retain, CASE WHEN count(*) > 1 THEN (regr_slope(log2(e), level) + 1) / 2 END AS H FROM (SELECT method, window_id, retain, level, avg(d * d) AS e FROM th GROUP BY ALL) WHERE level >= 2 AND e > 0 GROUP BY ALL),
 res AS (SELECT ps.method, window_id, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, psnr, CAST(kept AS INTEGER) AS kept, CAST(total AS INTEGER) AS total, hr.H, hr.H - hw.H AS deltaH FROM ps JOIN bud USING (method, window_id, retain) JOIN hr USING (method, window_id, retain) JOIN hw USING (window_id)),
 qs AS (SELECT CAST(unnest(range(-5, 6)) AS DOUBLE) AS q),
 sq AS (SELECT window_id, level, q, CASE WHEN q = 0 THEN avg(ln(abs(d) + 1e-12)) / ln(2.0) ELSE log2(avg(power(abs(d) + 1e-12, q))) END AS y FROM coef, qs WHERE level >= 2 GROUP BY window_id, level, q),
@@ -294,7 +294,7 @@ def _(spark, sf_dir):
     return tidy(out, "window_id", "retain_ppm", "kept", "total", metrics.psnr().alias("psnr"))
 
 
-@query("retain_sweep", "SELECT retain_ppm, count(*) AS windows, sum(kept) AS kept, sum(total) AS total FROM res WHERE method = 'haar_bank' GROUP BY retain_ppm")
+@query("retain_sweep", "SELECT retain_ppm, count(*) AS windows, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(total) AS BIGINT) AS total FROM res WHERE method = 'haar_bank' GROUP BY retain_ppm")
 def _(spark, sf_dir):
     out = compression.threshold_per_level(two_tap_analyze(windows(spark, sf_dir), BANK))
     return out.groupBy("retain_ppm").agg(F.count("*").alias("windows"), F.sum("kept").alias("kept"), F.sum("total").alias("total"))

@@ -17,8 +17,7 @@ RESULT = ["method", *KEYS, "retain", "retain_ppm", "psnr", "kept", "total", "H",
 
 def with_originals(windows: DataFrame, size: int, low: int = 2) -> DataFrame:
     """windows with H and the spectrum of the original, by Haar levels from `low` on."""
-    levels = levels_of(size)
-    out = two_tap_analyze(windows, levels)
+    out = dwt(windows, "haar", levels_of(size), native=False).drop("wavelet")
     out = metrics.hurst_wavelet(out, low, out="H_orig")
     out = metrics.multifractal(out, low, suffix="_orig")
     return out.drop("approx", "details", "spectrum_orig")
@@ -28,7 +27,8 @@ def scored(recon: DataFrame, method: str, size: int, low: int = 2) -> DataFrame:
     """The results of one method: fidelity, H and spectrum of the reconstruction, and how they moved."""
     out = recon.withColumn("method", F.lit(method)).withColumn("psnr", metrics.psnr())
     out = out.drop("approx", "details", "kept_details", "x").withColumnRenamed("recon", "x")
-    out = metrics.hurst_wavelet(two_tap_analyze(out, levels_of(size)), low)
+    # a level without coefficients comes back as rounding noise, which is no energy
+    out = metrics.hurst_wavelet(dwt(out, "haar", levels_of(size), native=False), low, floor=1e-28)
     out = metrics.multifractal(out, low)
     out = out.withColumn("deltaH", F.col("H") - F.col("H_orig")).withColumn("delta_alpha_width", F.col("alpha_width") - F.col("alpha_width_orig"))
     return out.select(*RESULT)
@@ -38,7 +38,7 @@ def fixed_method(windows: DataFrame, name: str, size: int, retains: tuple[float,
     """A fixed family at full depth: analysed once, thresholded for every share, put together and scored."""
     levels = levels_of(size)
     cut = compression.threshold_global if pool else compression.threshold_per_level
-    recon = idwt(cut(dwt(windows, name, levels), retains), name, levels, "kept_details")
+    recon = idwt(cut(dwt(windows, name, levels, native=False), retains), name, levels, "kept_details", native=False)
     return scored(recon, canonical(name), size, low)
 
 
