@@ -35,6 +35,11 @@ def gear_table() -> np.ndarray:
     return np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)], np.uint64)
 
 
+def key(data: bytes) -> bytes:
+    """The digest by which chunks and media are known: the first 128 bits of SHA-256."""
+    return hashlib.sha256(data).digest()[:16]
+
+
 def padded(text: str | None) -> bytes:
     data = (text or "").encode()
     return data + bytes(max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
@@ -85,8 +90,8 @@ def catalog(docs: DataFrame) -> DataFrame:
         for text in batch.column("text").to_pylist():
             payload = padded(text)
             out["n_bytes"].append(len((text or "").encode()))
-            out["media"].append(hashlib.sha256(wav_header(len(payload)) + payload).digest())
-            out["digests"].append([hashlib.sha256(c).digest() for c in chunks(payload)])
+            out["media"].append(key(wav_header(len(payload)) + payload))
+            out["digests"].append([key(c) for c in chunks(payload)])
         return {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.list_(pa.binary())))}
 
     kinds = {"n_bytes": "long", "media": "binary", "digests": "array<binary>"}
@@ -108,8 +113,8 @@ def chunk_store(docs: DataFrame, level: int = 15) -> tuple[DataFrame, bytes]:
             rows = []
             for text in b.column("text").to_pylist():
                 payload = padded(text)
-                media = hashlib.sha256(wav_header(len(payload)) + payload).digest()
-                rows += [(hashlib.sha256(c).digest(), media, i, pack.compress(c)) for i, c in enumerate(chunks(payload))]
+                media = key(wav_header(len(payload)) + payload)
+                rows += [(key(c), media, i, pack.compress(c)) for i, c in enumerate(chunks(payload))]
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["digest", "media", "seq", "z"])
 
@@ -136,7 +141,7 @@ def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
 
         def one(media: bytes, got: list[bytes]) -> bytes:
             data = b"".join([wav_header(sum(map(len, got))), *got])
-            if hashlib.sha256(data).digest() != media:
+            if key(data) != media:
                 raise ValueError(f"medium {media.hex()} can't be put together")
             return data
 
