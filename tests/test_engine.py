@@ -127,9 +127,9 @@ def test_constant_window(spark):
 
 
 def test_white_noise_has_hurst_one_half(spark):
-    x = np.random.default_rng(7).standard_normal((4, 4096))
+    x = np.random.default_rng(7).standard_normal((8, 1024))
     w = spark.createDataFrame([("s", i, r.tolist()) for i, r in enumerate(x)], "series_id string, window_id int, x array<double>")
-    out = metrics.local_whittle(metrics.hurst_rs(metrics.dfa(metrics.hurst_wavelet(dwt(w, "haar", 12)), 4096), 4096))
+    out = metrics.local_whittle(metrics.hurst_rs(metrics.dfa(metrics.hurst_wavelet(dwt(w, "haar", 10)), 1024), 1024))
     for c, gap in (("H", 0.2), ("H_dfa", 0.15), ("H_rs", 0.2), ("H_lw", 0.2)):
         assert abs(out.agg(F.avg(c)).first()[0] - 0.5) < gap
 
