@@ -1,7 +1,9 @@
 """Windows of a growing series in Structured Streaming.
 
 Samples arrive in any order as (series_id, pos, value). State per window holds its samples until all are there; a
-complete window goes out once, and its state is removed. A window that stays incomplete is dropped after a timeout.
+complete window goes out once, and its state is removed. With a timeout, a window that stays incomplete is dropped
+after it; Spark then runs batches without end to look for such windows, so a query that is to stop by itself
+(availableNow) takes none, and keeps what is incomplete for its next start.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "series_id string, window_id int, x array<double>"
 
 
-def stream_windows(samples: DataFrame, size: int, timeout_ms: int = 3_600_000) -> DataFrame:
-    """series_id, window_id (from 1) and x of each complete window; of samples with one position the first counts."""
+def stream_windows(samples: DataFrame, size: int, timeout_ms: int | None = None) -> DataFrame:
+    """series_id, window_id (from 1) and x of each complete window; of samples with one position the first counts.
+
+    Null values and null positions don't count, so their window stays incomplete. An empty stream gives no window.
+    Extra columns are not used.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, values = state.get if state.exists else ([], [])
@@ -34,7 +40,9 @@ def stream_windows(samples: DataFrame, size: int, timeout_ms: int = 3_600_000) -
             yield pd.DataFrame({"series_id": [key[0]], "window_id": [int(key[1])], "x": [[got[p] for p in sorted(got)]]})
         else:
             state.update((list(got), list(got.values())))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
 
-    keyed = samples.select("series_id", F.expr(f"int(pos div {size} + 1)").alias("window_id"), "pos", "value").where("value is not null")
-    return keyed.groupBy("series_id", "window_id").applyInPandasWithState(update, OUT, "at array<bigint>, seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = samples.select("series_id", F.expr(f"int(pos div {size} + 1)").alias("window_id"), "pos", "value").where("value is not null and pos is not null")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("series_id", "window_id").applyInPandasWithState(update, OUT, "at array<bigint>, seen array<double>", "append", timeout)
