@@ -31,6 +31,7 @@ def main() -> None:
             began = time.time()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
+            print(f"{key}: {times[-1]:.1f} s", file=sys.stderr, flush=True)
         found[key] = round(statistics.median(times[1:]), 3)  # the first run compiles code
     print(json.dumps({"metric": "total_seconds_of_headline_queries", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
