@@ -230,10 +230,18 @@ def hex16(fp):
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """documents with one document of each component: that with the smallest doc_id, its first row if ids repeat.
+    """documents with one row of each component: that with the smallest doc_id, of equal ids the one with the smallest
+    fingerprint and then the first one stored.
 
-    Rows with a null doc_id stay, since they can't be told apart by id.
+    Rows without doc_id belong to components like others and stand last in them. Null and wordless texts share a
+    fingerprint. Rows are told apart by a number stored with them.
     """
-    ids = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    base = stored(with_fingerprint(base, out="_node"), "keep-one")
+    reps = stored(base.groupBy(F.col("_node").alias("fp")).agg(F.min("_row").alias("rep")), "simhash-reps")
+    found = components(stored(links(reps, radius), "simhash-links"))
+    found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("_node"), "component")
+    of = base.select("_row", "_node", "doc_id").join(found, "_node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_node", "_row"))
+    one = of.groupBy(F.col("component").isNull(), F.coalesce("component", "_node")).agg(first.alias("_first")).select("_first._row")
+    return base.join(one, "_row", "left_semi").select(docs.columns)
