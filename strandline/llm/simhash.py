@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import likeness
 from .common import stored, with_arrow_columns
 from .graph import components
 
@@ -229,18 +230,23 @@ def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, least: float | None = None) -> DataFrame:
     """documents with one row of each component: that with the smallest doc_id, of equal ids the one with the smallest
-    fingerprint and then the first one stored.
+    node and then the first one stored.
 
-    Rows without doc_id belong to components like others and stand last in them. Null and wordless texts share a
-    fingerprint. Rows are told apart by a number stored with them.
+    A node is a fingerprint, and fingerprints within radius are linked; with `least`, it is a set of 5-word shingles,
+    and sets with that Jaccard likeness or more are linked. Rows without doc_id belong to components like others and
+    stand last in them. Null and wordless texts share one node. Rows are told apart by a number stored with them.
     """
     base = docs.withColumn("_row", F.monotonically_increasing_id())
-    base = stored(with_fingerprint(base, out="_node"), "keep-one")
-    reps = stored(base.groupBy(F.col("_node").alias("fp")).agg(F.min("_row").alias("rep")), "simhash-reps")
-    found = components(stored(links(reps, radius), "simhash-links"))
-    found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("_node"), "component")
+    base = stored(with_fingerprint(base, out="_node") if least is None else likeness.with_node(base, "_node"), "keep-one")
+    if least is None:
+        reps = stored(base.groupBy(F.col("_node").alias("fp")).agg(F.min("_row").alias("rep")), "simhash-reps")
+        found = components(stored(links(reps, radius), "simhash-links"))
+        found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("_node"), "component")
+    else:
+        found = likeness.alike(base.select(F.col("_row").alias("row"), F.col("_node").alias("node"), "text"), least).withColumnRenamed("node", "_node")
+    # a component is named by one of its nodes, or by a row where a fingerprint stands for it; the flag keeps these apart
     of = base.select("_row", "_node", "doc_id").join(found, "_node", "left")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_node", "_row"))
     one = of.groupBy(F.col("component").isNull(), F.coalesce("component", "_node")).agg(first.alias("_first")).select("_first._row")
