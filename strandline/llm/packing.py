@@ -10,6 +10,7 @@ whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -38,7 +39,8 @@ class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file, with words remembered.
 
     A text of plain Latin characters is split at white space; each distinct chunk is encoded once by the tokenizer's
-    own BPE model and then looked up. Any other text goes through the tokenizer whole. `most` bounds what is kept.
+    own BPE model and then looked up. Any other text, and one that holds an added token such as an end marker, goes
+    through the tokenizer whole, as loaded: a marker in a text is one id. `most` bounds what is kept.
     """
 
     def __init__(self, path: str, end: int = 2, most: int = 1_000_000):
@@ -46,7 +48,8 @@ class Ids:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"].lower() for t in json.load(f).get("added_tokens") or []]
         self.model, self.letters, self.most = self.whole.model, byte_letters(), most
         self.end, self.known = np.array([end], "<u4").tobytes(), {}
         self.split = self.splits_alike()
@@ -87,12 +90,13 @@ class Ids:
             plain = self.split and not text.encode("latin-1").translate(None, PLAIN)
         except UnicodeEncodeError:
             plain = False
-        if not plain:
+        lower = text.lower() if plain else ""
+        if not plain or any(a in lower for a in self.added):
             return self.long(text) + self.end
         if len(self.known) > self.most:
             self.known.clear()
         get, chunk = self.known.get, self.chunk
-        return b"".join([get(c) or chunk(c) for c in text.lower().split()]) + self.end
+        return b"".join([get(c) or chunk(c) for c in lower.split()]) + self.end
 
 
 class Packer:
