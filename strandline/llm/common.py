@@ -23,27 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set by setCheckpointDir.
+
+    Where neither is set, a local session gets a folder of its own (tests); on a cluster that is an error, since no
+    machine's own folder is seen by the others.
+    """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(sc, "_strandline_shared", None)
     if not found:
-        found = getattr(sc, "_strandline_shared", None)
-        if not found:
-            found = sc._strandline_shared = tempfile.mkdtemp(prefix="strandline-")
-            sc.setCheckpointDir(found)
-    return found
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = sc._strandline_shared = tempfile.mkdtemp(prefix="strandline-")
+    return found.rstrip("/")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers see them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, where = hadoop_path(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
 
 def stored(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and lost executors lose nothing.
 
     The shuffle files behind the written table are no longer needed, so Spark may drop them as soon as it is written.
+    The table goes when the application ends, or earlier by discard().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, name)
     with settings(spark, {} if keep_shuffles else {FILE_CLEANUP: "true"}):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by stored() that no later plan reads."""
+    for t in tables:
+        fs, where = hadoop_path(t.sparkSession, t._strandline_path)
+        fs.delete(where, True)
 
 
 @contextmanager
@@ -59,11 +86,18 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, since one text may have many megabytes."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and about so many bytes, since one text may have many megabytes.
+
+    The session keeps the limits: a result is computed after the call that plans it. Smaller ones of its own stay.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= size:
+        spark.conf.set(key, f"{size}b")
 
 
 def with_arrow_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict[str, pa.Array]], kinds: dict[str, str]) -> DataFrame:
