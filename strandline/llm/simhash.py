@@ -1,17 +1,22 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
 Fingerprints at Hamming distance `radius` or less are linked, and linked documents form a component. Distinct
-fingerprints only are searched; copies share one. By the pigeonhole principle two linked fingerprints agree on one
-of radius + 1 parts of the bits, so each fingerprint is filed under its value on each part, and only fingerprints
-of one file are compared. In a file, they are sorted by Gray rank, and a two-level index over that order keeps
-for each node the bits that all below it share: a query's differences to an upper node's shared bits, then to the
-further bits that a leaf shares, accumulate, and whole groups whose sum exceeds the radius are skipped. A file
-with more than `max_file` fingerprints is dealt out again by parts of its remaining bits, which loses no link.
-Links leave a file as a spanning forest, never as all pairs.
+fingerprints only are searched; copies share one. An index holds some thousands of fingerprints, sorted by Gray rank.
+Groups of neighbours in that order, groups of groups and so on up to one root make a tree; a node keeps the bits that
+all below it share, less those that the nodes above it hold already. The index is joined with itself from the root
+down: the differences of two groups in the bits that both share add up level by level, and a pair of groups is pruned
+as soon as the sum exceeds the radius. Only what is left of the leaves is compared one by one.
+
+For many fingerprints there are many such indexes. By the pigeonhole principle two linked fingerprints agree on one
+of radius + 1 disjoint sets of bits, so a fingerprint goes into one index for each set, by its value there; the sets
+are as small as they can be for indexes of about `size` fingerprints. An index that turns out larger than `most` is
+dealt out again by further bits in the same way, which loses no link. Links leave an index as a spanning forest, never
+as all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,8 @@ from .common import stored, with_arrow_columns
 from .graph import components
 
 BITS = 64
-FANOUT = 32
+#: Fingerprints of a leaf, and nodes below a node.
+LEAF, FANOUT = 16, 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -65,43 +71,56 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Two levels over Gray-sorted fingerprints; nodes hold shared bits, a leaf only those its parent doesn't."""
+    """A tree over Gray-sorted fingerprints. Levels stand from the leaves up to the root; `pairs` and `pruned` count
+    pairs of leaves that a search could have visited, and those that it didn't."""
 
     def __init__(self, values: np.ndarray):
         self.order = np.argsort(gray_rank(values), kind="stable")
         self.values = values[self.order]
-        self.leaf_at = np.arange(0, len(values), FANOUT)
-        one, both = np.bitwise_or.reduceat(self.values, self.leaf_at), np.bitwise_and.reduceat(self.values, self.leaf_at)
-        self.top_at = np.arange(0, len(one), FANOUT)
-        top_one, top_both = np.bitwise_or.reduceat(one, self.top_at), np.bitwise_and.reduceat(both, self.top_at)
-        self.top_mask, self.top_bits = ~(top_one ^ top_both), top_both
-        self.leaf_mask, self.leaf_bits = ~(one ^ both) & ~np.repeat(self.top_mask, FANOUT)[: len(one)], both
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # shared bits' mask and values of each node
+        one = both = self.values
+        step = LEAF
+        while not self.levels or len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(one), step)
+            one, both, step = np.bitwise_or.reduceat(one, at), np.bitwise_and.reduceat(both, at), FANOUT
+            self.levels.append((~(one ^ both), both))
+        self.pairs = self.pruned = 0
+
+    def leaf_pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (a <= b) of leaves that are not pruned."""
+        a = b = far = np.zeros(1, np.int64)
+        done = np.zeros(1, np.uint64)  # bits that the differences so far cover
+        grid = np.arange(FANOUT)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            mask, bits = self.levels[depth]
+            if depth < len(self.levels) - 1:
+                a, b = (a[:, None, None] * FANOUT + grid[:, None] + 0 * grid).reshape(-1), (b[:, None, None] * FANOUT + grid + 0 * grid[:, None]).reshape(-1)
+                far, done = np.repeat(far, FANOUT**2), np.repeat(done, FANOUT**2)
+                ok = (a <= b) & (b < len(mask))
+                a, b, far, done = a[ok], b[ok], far[ok], done[ok]
+            shared = mask[a] & mask[b]
+            far = far + np.bitwise_count((bits[a] ^ bits[b]) & shared & ~done)
+            ok = far <= radius
+            a, b, far, done = a[ok], b[ok], far[ok], (done | shared)[ok]
+        n = len(self.levels[0][0])
+        self.pairs, self.pruned = n * (n + 1) // 2, n * (n + 1) // 2 - len(a)
+        return a, b
 
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (in the order given) of linked pairs, by blocks of queries; each pair once, the later one as query."""
-        v = self.values
-        for at in range(0, len(v), 256):
-            q = v[at : at + 256]
-            far = np.bitwise_count((q[:, None] ^ self.top_bits) & self.top_mask)
-            qi, ti = np.nonzero(far <= radius)
-            # down to the leaves of the surviving nodes
-            li = (ti[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            qi, base = np.repeat(qi, FANOUT), np.repeat(far[qi, ti], FANOUT)
-            ok = li < len(self.leaf_at)
-            qi, li, base = qi[ok], li[ok], base[ok]
-            ok = base + np.bitwise_count((q[qi] ^ self.leaf_bits[li]) & self.leaf_mask[li]) <= radius
-            qi, li = qi[ok], li[ok]
-            for cut in range(0, len(qi), 1 << 15):
-                qs = np.repeat(qi[cut : cut + (1 << 15)], FANOUT)
-                vs = (li[cut : cut + (1 << 15), None] * FANOUT + np.arange(FANOUT)).ravel()
-                ok = vs < qs + at
-                qs, vs = qs[ok], vs[ok]
-                ok = np.bitwise_count(q[qs] ^ v[vs]) <= radius
-                yield self.order[qs[ok] + at], self.order[vs[ok]]
+        """Places (in the order given) of linked pairs, by blocks of pairs of leaves; each pair once."""
+        left, right = self.leaf_pairs(radius)
+        n, inside = len(self.values), np.arange(LEAF)
+        padded = np.concatenate([self.values, np.zeros(-n % LEAF, np.uint64)]).reshape(-1, LEAF)
+        for at in range(0, len(left), 4096):
+            i, j = left[at : at + 4096], right[at : at + 4096]
+            p, x, y = np.nonzero(np.bitwise_count(padded[i][:, :, None] ^ padded[j][:, None, :]) <= radius)
+            a, b = i[p] * LEAF + inside[x], j[p] * LEAF + inside[y]
+            ok = (a < b) & (b < n)
+            yield self.order[a[ok]], self.order[b[ok]]
 
 
 def forest(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of one file, the place of a member that stands for its linked group."""
+    """For each fingerprint of one index, the place of a member that stands for its linked group."""
     parent = np.arange(len(values))
 
     def root(i: int) -> int:
@@ -127,56 +146,44 @@ def forest(values: np.ndarray, radius: int) -> np.ndarray:
     return parent
 
 
-def parts(bits: list[int], radius: int, of: int) -> list[int]:
-    """Masks over the bits such that two values with at most radius differing bits agree on one of them.
+def disjoint(bits: list[int], radius: int, width: int) -> list[int]:
+    """Masks of radius + 1 disjoint sets of `width` of the bits, or of all of them shared out if they are fewer.
 
-    The bits are cut into `of` pieces (radius + 1 or more); each mask joins of - radius pieces.
+    Two values with at most radius differing bits agree on one of the masks, however few bits these have. Without any
+    bits to tell values apart by, one empty mask is enough.
     """
-    from itertools import combinations
-
-    pieces = [sum(1 << b for b in bits[i * len(bits) // of : (i + 1) * len(bits) // of]) for i in range(of)]
-    return [sum(x) for x in combinations(pieces, of - radius)]
+    width = min(width, len(bits) // (radius + 1))
+    if width < 1:
+        return [0]
+    return [sum(1 << b for b in bits[i * width : (i + 1) * width]) for i in range(radius + 1)]
 
 
 def signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def filed(reps: DataFrame, mask: int | list[int]) -> DataFrame:
-    masks = F.array(*(F.lit(signed(m)).cast("long") for m in mask))
-    return reps.select("fp", "rep", F.explode(masks).alias("mask")).withColumn("file", F.col("fp").bitwiseAND(F.col("mask")))
-
-
-def link_files(files: DataFrame, radius: int) -> DataFrame:
-    """The spanning forest (a, b) of representatives over each file; files that end with a batch are carried over."""
+def link_indexes(filed: DataFrame, radius: int, rows_a_task: int = 1 << 16) -> DataFrame:
+    """The spanning forest (a, b) of representatives over each index, a group of equal (mask, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            ends = np.append(starts[1:], len(key))
-            a, b = [], []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                if e - s == 2:
-                    if bin(int(fp[s] ^ fp[s + 1])).count("1") <= radius:
-                        a.append(rep[s : s + 1])
-                        b.append(rep[s + 1 : s + 2])
-                    continue
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
                 to = forest(fp[s:e], radius)
                 other = np.flatnonzero(to != np.arange(e - s))
                 a.append(rep[s:e][to[other]])
                 b.append(rep[s:e][other])
-            cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(cat(a)), pa.array(cat(b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("mask", "file")], axis=1)
-            fp, rep = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
-            held.append((key, fp, rep))
-            if (key[0] == key[-1]).all() and (held[0][0][0] == key[-1]).all():
-                continue  # one file so far
+            key = np.stack([batch.column(c).to_numpy() for c in ("mask", "key")], axis=1)
+            held.append((key, batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()))
+            if (held[0][0][0] == key[-1]).all():
+                continue  # one index so far
             key, fp, rep = (np.concatenate(x) for x in zip(*held))
             last = np.flatnonzero((key != key[-1]).any(axis=1))[-1] + 1
             yield flush(key[:last], fp[:last], rep[:last])
@@ -184,32 +191,36 @@ def link_files(files: DataFrame, radius: int) -> DataFrame:
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held)))
 
-    return files.repartition("mask", "file").sortWithinPartitions("mask", "file", "fp").mapInArrow(run, "a long, b long")
-
-
-def links(reps: DataFrame, radius: int = 2, max_file: int = 20_000) -> DataFrame:
-    """Links (a, b) of representatives that connect all fingerprints within radius; reps has distinct fp and its rep."""
-    n = reps.count()
-    # more, longer keys for more fingerprints, so that a file of random ones stays small; either finds every link
-    masks = parts(list(range(BITS)), radius, radius + 1 if n < 1 << 22 else radius + 2)
-    files, out = filed(reps, masks), None
-    for _ in range(3):
-        hot = [(r["mask"], r["n"]) for r in files.groupBy("mask", "file").count().where(F.col("count") > max_file).groupBy("mask").agg(F.count("*").alias("n")).collect()]
-        if not hot:
-            break
-        large = files.groupBy("mask", "file").count().where(F.col("count") > max_file).select("mask", "file")
-        done = link_files(files.join(large, ["mask", "file"], "left_anti"), radius)
+    tasks = max(1, filed.count() // rows_a_task)
+    return filed.repartition(tasks, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a long, b long")
+
+
+def links(reps: DataFrame, radius: int = 2, size: int = 4096, most: int = 16_384) -> DataFrame:
+    """Links (a, b) of representatives that connect all fingerprints within radius; reps has distinct fp and its rep.
+
+    An index larger than `most` is dealt out by `deeper` further bits a set until none is left or all bits are used;
+    what then still stands together differs in no bit of any set and is searched as it is.
+    """
+    width = max(0, math.ceil(math.log2(max(1, reps.count()) / size)))
+    dealt = [(0, signed(m)) for m in disjoint(list(range(BITS)), radius, width)]
+    filed, out, deeper = reps.select("fp", "rep", F.lit(0).cast("long").alias("mask")), None, 6
+    while True:
+        to = reps.sparkSession.createDataFrame(dealt, "mask long, longer long")  # radius + 1 masks for each earlier one
+        filed = filed.join(F.broadcast(to), "mask").select("fp", "rep", F.col("longer").alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        filed = filed if out is None else filed.dropDuplicates(["mask", "fp"])  # by two ways
+        large = filed.groupBy("mask", "key").count().where(F.col("count") > most).select("mask", "key")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most those in `dealt`
+        dealt = []
+        for m in masks:
+            free = [b for b in range(BITS) if not (m >> b) & 1]
+            dealt += [(m, signed((m % (1 << BITS)) | extra)) for extra in disjoint(free, radius, deeper)] if len(free) > radius else []
+        if not dealt:
+            done = link_indexes(filed, radius)
+            return done if out is None else out.unionByName(done)
+        large = large.where(F.col("mask").isin([m for m, _ in dealt]))
+        done = link_indexes(filed.join(large, ["mask", "key"], "left_anti"), radius)
         out = done if out is None else out.unionByName(done)
-        deeper = []
-        for m, _ in hot:  # at most one for each mask
-            rest = [b for b in range(BITS) if not (m >> b) & 1]
-            for sub in parts(rest, radius, radius + 1):
-                deeper.append((m, signed((m % (1 << BITS)) | sub)))
-        again = files.join(large, ["mask", "file"], "left_semi")
-        to = files.sparkSession.createDataFrame(deeper, "mask long, longer long")
-        files = again.join(F.broadcast(to), "mask").select("fp", "rep", F.col("longer").alias("mask")).withColumn("file", F.col("fp").bitwiseAND(F.col("mask"))).dropDuplicates(["mask", "fp"])
-    rest = link_files(files, radius)
-    return rest if out is None else out.unionByName(rest)
+        filed = filed.join(large, ["mask", "key"], "left_semi").select("fp", "rep", "mask")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
