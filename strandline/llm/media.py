@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, whole_text, with_arrow_columns
-from .zstd_dictionary import as_dict, sample_bytes, train
+from .zstd_dictionary import as_dict, sample, train
 
 HEADER = 44
 UNIT = 64
@@ -104,7 +104,7 @@ def chunk_store(docs: DataFrame, level: int = 15) -> tuple[DataFrame, bytes]:
     media and seq name the owner, the smallest medium that has the chunk; refs counts the rows that do. Copies meet
     within a task before anything is shuffled, so a chunk that very many documents share is no large group.
     """
-    raw = train(sample_bytes(docs, whole_text().cast("binary")))
+    raw = train(sorted({bytes(r["b"]) for r in sample(docs.select(whole_text().cast("binary").alias("b")), F.col("b"))}))
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +126,8 @@ def chunk_store(docs: DataFrame, level: int = 15) -> tuple[DataFrame, bytes]:
 def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
     """media, data of every medium in recipes (media, digests), verified by the medium's digest.
 
-    The head of a WAV follows from the size of its samples and is put in front of the chunks. A chunk goes straight to its owner; only references to other media's chunks are joined with the chunks that
-    have several references.
+    The head of a WAV follows from the size of its samples and is put in front of the chunks. A chunk goes straight to
+    its owner; only references to other media's chunks are joined with the chunks that have several references.
     """
     recipes = recipes.dropDuplicates(["media"])
     places = recipes.select("media", F.posexplode("digests").alias("seq", "digest"))
@@ -200,4 +200,8 @@ def query(docs: DataFrame) -> DataFrame:
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     described = with_arrow_columns(read(store, raw, recipes.select("media", "digests")), run, kinds).drop("data")
     out = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return recipes.select("doc_id", "n_bytes", "media").join(described, "media").select("doc_id", "n_bytes", *out)
+    # a medium that didn't come back is an error, not a missing row
+    described = described.withColumn("_back", F.lit(True))
+    rows = recipes.select("doc_id", "n_bytes", "media").join(described, "media", "left")
+    lost = F.raise_error(F.concat(F.lit("no chunks of medium "), F.hex("media"))).cast("long")
+    return rows.select("doc_id", F.when(F.col("_back"), F.col("n_bytes")).otherwise(lost).alias("n_bytes"), *out)

@@ -1,33 +1,33 @@
-"""Dictionary-compressed WARC archives.
+"""Dictionary-compressed WARC archives (.warc.zst).
 
-Each record is a Zstandard frame of its own, compressed with one dictionary that was built from archived records; each
-archive starts with that dictionary in a skippable frame. An archive is kept as rows (archive, seq, frame), written
-by Spark to any file system it knows; its frames joined in order of seq are the .warc.zst file.
+Each record is a Zstandard frame of its own, compressed with one dictionary that was built from archived records; an
+archive file starts with that dictionary in a skippable frame. Spark's text writer makes the files, so they may lie in
+any file system Spark knows: a frame is a line of raw bytes, and lines end with an empty skippable frame, which every
+Zstandard reader passes over. The same line end lets Spark read a large archive by parts, frame by frame.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
-from .zstd_dictionary import as_dict, sample_bytes, train
+from .common import fresh_path, hadoop_path, small_batches, stored
+from .zstd_dictionary import as_dict, sample, train
 
 #: Fixed values of the formats: magic of the dictionary's skippable frame, the profile of a revisit, a name space for ids.
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-FRAMES = "archive string, seq long, page_id long, frame binary"
+#: An empty skippable frame: a magic that no dictionary bears, and the size zero.
+END = b"P*M\x18\0\0\0\0"
 
 
 def dictionary_frame(raw: bytes) -> bytes:
@@ -79,46 +79,99 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     return pages.withColumn("_sha1", F.sha1("payload")).join(again, ["page_id", "_sha1"], "left").select("page_id", "url", "payload", "refers_to")
 
 
-def archive(pages: DataFrame, least: int = 1000, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """The frames of the archives of pages (page_id, url, html): a leading dictionary and a frame for each record.
+def dictionary(pages: DataFrame, date: str, rows: int = 1000, largest: int = 32_768, size: int = 65_536) -> bytes:
+    """A dictionary from whole records, heads included, of a bounded sample of pages (page_id, url, payload)."""
+    found = sample(pages.select("page_id", "url", "payload"), F.col("payload"), rows, largest)
+    return train([record(r["page_id"], r["url"], bytes(r["payload"]), None, date) for r in found], size)
 
-    A partition makes one archive. A null html is an empty payload, a null url is urn:unknown. A null page_id stays
-    null and is always a response, as no record could refer to it. Rows repeated with the largest page_id are all
-    responses. An empty table gives archives without records. Extra columns are not used.
+
+def write(pages: DataFrame, path: str, least: int = 1000, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write the archives of pages (page_id, url, html) into the folder path: a partition makes one file.
+
+    A null html is an empty payload, a null url is urn:unknown. A null page_id stays null and is always a response, as
+    no record could refer to it. Rows repeated with the largest page_id are all responses. An empty table gives
+    archives without records. Extra columns are not used.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    raw = train(sample_bytes(pages, F.col("payload")), 65_536)
+    raw = dictionary(pages, date)
     small_batches(pages.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=level, dict_data=as_dict(raw), write_content_size=True, write_checksum=True)
-        name, seq = f"part-{TaskContext.get().partitionId():06d}", 0
-
-        def frames(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["archive", "seq", "page_id", "frame"])
-
-        yield frames([(name, 0, None, dictionary_frame(raw))])
+        known = as_dict(raw)
+        pack, plain = (zstandard.ZstdCompressor(level=n, dict_data=known, write_content_size=True, write_checksum=True) for n in (level, level + 1))
+        frames = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["frame"])
+        yield frames([dictionary_frame(raw)])
         for b in batches:
             rows = []
-            for page, url, payload, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))):
-                seq += 1
-                rows.append((name, seq, page, pack.compress(record(page, url, payload, refers, date))))
-            if rows:
-                yield frames(rows)
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))):
+                data = record(*row, date)
+                frame = pack.compress(data)
+                rows.append(frame if END not in frame else plain.compress(data))  # a line end by chance
+            yield frames(rows)
+
+    # the writer takes a string's bytes as they are
+    lines = with_revisits(pages, least).mapInArrow(run, "frame binary").select(F.col("frame").cast("string"))
+    lines.write.option("lineSep", END.decode()).option("compression", "none").text(path)
+
+
+def publish(spark: SparkSession, path: str) -> None:
+    """Give the archives in a folder that write() made their usual names; the bytes stay where they are."""
+    fs, folder = hadoop_path(spark, path)
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name[:-4]}.warc.zst"))
+
+
+def frames_in(data: bytes) -> Iterator[bytes]:
+    """The frames of an archive's bytes, empty skippable ones left out."""
+    at = 0
+    while at < len(data):
+        if data[at + 1 : at + 4] == END[1:4] and data[at] >> 4 == END[0] >> 4:
+            end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        else:  # a header, blocks with sizes of three bytes, a checksum of four
+            head = zstandard.get_frame_parameters(data[at : at + 32])
+            end, last = at + zstandard.frame_header_size(data[at : at + 32]), False
+            while not last:
+                block = int.from_bytes(data[end : end + 3], "little")
+                last, kind, size = block & 1, block >> 1 & 3, block >> 3
+                end += 3 + (1 if kind == 1 else size)
+            end += 4 * head.has_checksum
+        if end - at > 8:
+            yield data[at:end]
+        at = end
+
+
+def frames_of(spark: SparkSession, path: str) -> DataFrame:
+    """frame: the frames of all archives in a folder, the dictionaries among them.
+
+    A folder as write() leaves it is read by parts, however large an archive is. Spark would take files with the
+    published name for texts and decompress them without a dictionary, so these are read whole, each in a task.
+    """
+    fs, folder = hadoop_path(spark, path)
+    if not any(f.getPath().getName().endswith(".warc.zst") for f in fs.listStatus(folder)):
+        return spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary").alias("frame"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("content"):
+                for frame in frames_in(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], names=["frame"])
 
-    return with_revisits(pages, least).mapInArrow(run, FRAMES)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content").mapInArrow(run, "frame binary")
 
 
-def read(frames: DataFrame) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest of every record, digests checked on the way.
 
     The size and digest of a response are taken from the payload that was read; those of a revisit come from the
-    response that it refers to, whose digest must be the one the revisit names.
+    response that it refers to, whose digest must be the one the revisit names. Archives written together share one
+    dictionary; different ones are told apart by their ids, and only one copy of each comes to the driver.
     """
-    small_batches(frames.sparkSession, 500)
-    first = frames.where("seq = 0").select("archive", F.xxhash64("frame").alias("k"))
-    names = [r["a"] for r in first.groupBy("k").agg(F.min("archive").alias("a")).collect()]  # archives written together share one
-    dictionaries = [dictionary_of(bytes(r["frame"])) for r in frames.where("seq = 0").where(F.col("archive").isin(names)).select("frame").collect()]
+    small_batches(spark, 500)
+    frames = frames_of(spark, path)
+    leading = F.expr(f"hex(substring(frame, 1, 4)) = '{struct.pack('<I', DICTIONARY_MAGIC).hex().upper()}'")
+    dictionaries = [dictionary_of(bytes(r["d"])) for r in frames.where(leading).groupBy(F.xxhash64("frame")).agg(F.first("frame").alias("d")).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {d.dict_id() if d else 0: zstandard.ZstdDecompressor(dict_data=d) if d else zstandard.ZstdDecompressor() for d in map(as_dict, dictionaries)}
@@ -137,32 +190,17 @@ def read(frames: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
     kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
-    found = stored(frames.where("seq > 0").select("frame").mapInArrow(run, kind), "warc-read")
+    found = stored(frames.where(~leading).select("frame").mapInArrow(run, kind), "warc-read")
     sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_n")).distinct()
     revisits = found.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed("_n", "payload_bytes")
     return found.where("record_type = 'response'").unionByName(revisits)
 
 
-def export(frames: DataFrame, folder: str) -> None:
-    """Write each archive as a .warc.zst file into a folder that all executors mount; a lost task's file is rewritten."""
-
-    def write(rows) -> None:
-        name, out = None, None
-        for r in rows:
-            if r["archive"] != name:
-                if out:
-                    out.close()
-                    os.replace(out.name, f"{folder}/{name}.warc.zst")
-                name = r["archive"]
-                out = open(f"{folder}/{name}.{TaskContext.get().taskAttemptId()}.part", "wb")
-            out.write(r["frame"])
-        if out:
-            out.close()
-            os.replace(out.name, f"{folder}/{name}.warc.zst")
-
-    frames.repartition("archive").sortWithinPartitions("archive", "seq").foreachPartition(write)
-
-
 def query(pages: DataFrame) -> DataFrame:
-    frames = stored(archive(pages), "warc")
-    return read(frames).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write a record for every row of pages into archives, read these back, and return a row for each record.
+
+    Null and repeated page_ids, null html and empty tables are taken as write() does. Extra columns are not used.
+    """
+    path = fresh_path(pages.sparkSession, "warc")
+    write(pages, path)
+    return read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

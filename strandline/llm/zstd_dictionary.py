@@ -7,15 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_bytes(df: DataFrame, data: Column, rows: int = 2000, most: int = 8192) -> list[bytes]:
-    """The first `most` bytes of about `rows` records at most, chosen by a hash; only they reach the driver.
+def sample(df: DataFrame, data: Column, rows: int = 1000, largest: int = 32_768) -> list:
+    """About `rows` rows of df at most whose data has 1 to `largest` bytes, those with the smallest hashes of it.
 
-    The choice is made where the records are read, so nothing is shuffled. The sample only tunes compression: every
-    record is written whole whatever the dictionary holds.
+    Each task picks its own first, so `rows` times `largest` bytes bound what reaches the driver. Whole rows are taken,
+    and the same ones in every run. The sample only tunes compression: every record is written whole whatever it holds.
     """
-    n = df.count()
-    chosen = df.select(data.alias("b")).where((F.length("b") > 0) & (F.pmod(F.xxhash64("b"), F.lit(max(1, n))) < rows))
-    return sorted({bytes(r["b"]) for r in chosen.select(F.substring("b", 1, most).alias("b")).limit(rows).collect()})
+    size, order = F.length(data), F.xxhash64(data)
+    n = max(1, df.where((size > 0) & (size <= largest)).count())
+    few = df.where((size > 0) & (size <= largest) & (F.pmod(order, F.lit(n)) < 2 * rows))
+    return few.orderBy(order).limit(rows).collect()
 
 
 def train(samples: list[bytes], size: int = 262_144) -> bytes:
