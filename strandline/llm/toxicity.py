@@ -2,8 +2,8 @@
 
 The features of a text are densities: words of a lexicon (a fixed seed list, and words and word stems that mark
 toxic documents among the training labels), how near lexicon words stand to second-person words, capitals,
-punctuation, and words with signs or digits in them as in obfuscated insults. Trees are fitted on most training
-rows; on the others, an isotonic regression turns their output into a probability.
+punctuation, and words with signs or digits in them as in obfuscated insults. The lexicon and the trees come from most
+training rows; on the others, which neither has seen, an isotonic regression turns the trees' output into a probability.
 """
 
 from __future__ import annotations
@@ -97,50 +97,62 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     return [math.log1p(len(words)), seeds, seeds / n, hits, hits / n, weight, weight / n, len(kinds), near / n, you / n, len(CAPITALS.findall(text)) / n, marks / size, signs / size, len(OBFUSCATED.findall(text)) / n, text.count("\n") / size]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """docs with `features`; null text counts as empty."""
+OWN = "_toxic_"
+
+
+def with_features(docs: DataFrame, lexicon: dict[str, float], out: str = OWN + "features") -> DataFrame:
+    """docs with the features of each whole text; null text counts as empty. A column named like out is replaced."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"features": pa.array([features(t, lexicon) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))}
+        return {out: pa.array([features(t, lexicon) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))}
 
-    return with_arrow_columns(docs, run, {"features": "array<double>"})
+    return with_arrow_columns(docs, run, {out: "array<double>"})
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
-    """doc_id, score of every row of docs; higher: label 1 is likelier.
+def scored(docs: DataFrame, labels: DataFrame, out: str, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
+    """docs, every column and row of it, with the score as column out; higher: label 1 is likelier.
 
     Labels are read only for rows whose crc32(doc_id as text) mod 3 is not 1, and about `fit_rows` of those at most
-    are used for fitting; every text is scored whole. Null and empty texts are scored by their zero features.
-    Repeated rows and ids get a row each; a null doc_id is scored but never learned from. Without labels of both
-    kinds nothing can be learned and every score is 0. Extra columns are not used.
+    are used for fitting; every text is scored whole. Null and empty texts are scored by their zero features. Each row
+    is scored by its own text, whether ids repeat or are missing; rows of a null doc_id are never learned from. Without
+    labels of both kinds nothing can be learned and every score is 0. An empty table gives none. Columns whose names
+    begin with `_toxic_` are used up; others that clash with nothing pass through.
     """
     known = stored(training_labels(labels, "toxic", 3, 1, fit_rows), "toxic-labels")
-    docs = docs.select("doc_id", "text")
-    texts = stored(docs.join(known, "doc_id"), "toxic-training")
-    lexicon = learn_lexicon(texts)
-    feats = stored(with_features(docs, lexicon).drop("text"), "toxic-features")
-    if texts.select("label").distinct().count() < 2:
-        return feats.select("doc_id", F.lit(0.0).alias("score"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))
-    rows = stored(with_features(texts, lexicon).select("label", "features", fold.alias("fold")), "toxic-fit")
-    rows = rows.select("label", "fold", array_to_vector("features").alias("x")).cache()
-    if rows.select("fold").distinct().count() < 4:  # too few rows to keep some for calibration
-        rows = rows.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=seed).fit(rows.where("fold > 0"))
-    output = F.element_at(vector_to_array("probability"), 2)
-    held = trees.transform(rows.where("fold = 0")).select("label", output.alias("p"))
-    rising = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
+    texts = stored(docs.select("doc_id", "text").join(known, "doc_id").withColumn("fold", fold), "toxic-training")
+    if texts.select("label").distinct().count() < 2:
+        return docs.withColumn(out, F.lit(0.0))
+    if texts.select("fold", "label").distinct().count() < 8:  # too few rows to keep some for calibration
+        texts = texts.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
+    lexicon = learn_lexicon(texts.where("fold > 0"))
+    x, p = OWN + "x", OWN + "p"
+    rows = stored(with_features(texts, lexicon), "toxic-fit").select("label", "fold", array_to_vector(OWN + "features").alias(x)).cache()
+    trees = GBTClassifier(featuresCol=x, labelCol="label", predictionCol=OWN + "class", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=seed)
+    trees = trees.setProbabilityCol(OWN + "probability").setRawPredictionCol(OWN + "raw").fit(rows.where("fold > 0"))
+    output = F.element_at(vector_to_array(OWN + "probability"), 2)
+    held = trees.transform(rows.where("fold = 0")).select("label", output.alias(p))
+    rising = IsotonicRegression(featuresCol=p, labelCol="label", predictionCol=OWN + "score").fit(held)
     rows.unpersist()
-    out = trees.transform(feats.withColumn("x", array_to_vector("features"))).select("doc_id", output.alias("p"))
-    return rising.transform(out).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
+    found = trees.transform(with_features(docs, lexicon).withColumn(x, array_to_vector(OWN + "features"))).withColumn(p, output)
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), OWN + "score"))
+    return rising.transform(found).select(*(F.col(f"`{c}`") for c in docs.columns if c != out), value.alias(out))
+
+
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
+    """doc_id, score of every row of docs, as scored() gives them. Extra columns are not used."""
+    return scored(docs.select("doc_id", "text"), labels, "score", fit_rows, rounds, depth, seed)["doc_id", "score"]
 
 
 def query(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; a null doc_id is not held out. Otherwise as scored()."""
     found = score(docs, labels)
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> DataFrame:
-    """documents whose score is below reject, with the columns unchanged; of repeated ids all go if one is rejected."""
-    bad = score(docs, labels).where(F.col("score") >= reject).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """documents whose score is below reject, with the columns unchanged.
+
+    Each row is judged by its own text: rows without doc_id go like others, and of rows that share one only toxic ones.
+    """
+    return scored(docs, labels, OWN + "out").where(F.col(OWN + "out") < reject).select(docs.columns)
