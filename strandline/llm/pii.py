@@ -3,7 +3,9 @@
 An Aho-Corasick automaton over short anchors (at-signs, schemes, digit cues, identifier cues) makes one pass over
 a text. At each anchor a small local parser walks left and right to the boundaries and validates what it finds;
 nothing else in the text is parsed. Kinds `email`, `ip`, `card`, `phone` equal their leftmost, non-overlapping
-patterns; `url` (from schemes) and `account` (from identifier cues such as token or iban) are what anchors add.
+patterns; `url` (from schemes) and `account` are what anchors add. An account follows an identifier cue such as token or
+password; after an iban cue its check digits must be right, or it is taken as any other account; and keys that begin
+with a fixed sign of their own, such as AKIA, need no cue.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s\"'<>\\^`{|}]+")
 ACCOUNT = re.compile(r"[\x20\t]{0,3}(?:[=:#]|is\b|no\.?)?[\x20\t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "account", "iban", "passport", "ssn")
+IBAN = re.compile(r"[\x20\t]{0,3}[:=]?[\x20\t]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
+#: Words that announce an identifier, and how keys begin that need no such word.
+CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "apiKey", "accessKey", "secretKey", "account", "iban", "passport", "ssn")
+KEY_SIGNS = ("AKIA", "ASIA")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -49,6 +55,8 @@ def automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             a.add_word(form, ("account", len(form)))
+    for sign in KEY_SIGNS:
+        a.add_word(sign, ("key", len(sign)))
     a.make_automaton()
     return a
 
@@ -63,11 +71,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_holds(number: str) -> bool:
+    """Whether the check digits are right: the rest after moving four signs to the end, letters as 10 to 35, is 1."""
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) in code points, by start and then kind as listed."""
     ends = dict.fromkeys(KINDS, 0)  # where the last span of a kind ended, kept or dropped
     spans: list[tuple[int, int, str]] = []
     for last, (kind, length) in anchors.iter(text):
+        signed, kind = kind == "key", "account" if kind == "key" else kind
         at, floor = last - length + 1, ends[kind]
         if at < floor:
             continue
@@ -110,8 +124,15 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]
                 if end > at + 3:
                     ends[kind] = end
                     spans.append((start, end, kind))
+        elif signed:
+            if (at == 0 or not text[at - 1].isalnum()) and (m := KEY.match(text, last + 1)):
+                ends[kind] = m.end()
+                spans.append((at, m.end(), kind))
         elif at == 0 or not text[at - 1].isalnum():
-            if (m := ACCOUNT.match(text, last + 1)) and sum(c in DIGIT for c in m[1]) >= 4:
+            if text[at : last + 1].lower() == "iban" and (m := IBAN.match(text, last + 1)) and iban_holds(m[1].replace(" ", "")):
+                ends[kind] = m.end(1)
+                spans.append((m.start(1), m.end(1), kind))
+            elif (m := ACCOUNT.match(text, last + 1)) and sum(c in DIGIT for c in m[1]) >= 4:
                 ends[kind] = m.end(1)
                 spans.append((m.start(1), m.end(1), kind))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
@@ -164,19 +185,24 @@ def with_spans(docs: DataFrame, text: str = "text", spans: str = "pii_spans", re
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, the digest of the base spans, and all spans as a string."""
+    """Per document: counts of the base kinds, the digest of the base spans, all spans as a string, and their number.
+
+    Map-only. A null or empty text has no spans. Null and repeated doc_ids are kept as they are; an empty table gives
+    none. Extra columns are not used.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        out = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": []}
+        out = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": [], "n_spans": []}
         for t in batch.column("text").to_pylist():
             found = find(t, anchors()) if t else []
             for kind in BASE:
                 out[f"n_{kind}"].append(sum(kind == k for _, _, k in found))
             out["base_sha256"].append(hashlib.sha256(joined(x for x in found if x[2] in BASE).encode()).hexdigest())
             out["spans"].append(joined(found))
+            out["n_spans"].append(len(found))
         return {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()}
 
-    kinds = {f"n_{k}": "long" for k in BASE} | {"base_sha256": "string", "spans": "string"}
+    kinds = {f"n_{k}": "long" for k in BASE} | {"base_sha256": "string", "spans": "string", "n_spans": "long"}
     return with_arrow_columns(docs.select("doc_id", "text"), run, kinds).drop("text")
 
 
