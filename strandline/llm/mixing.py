@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, stored
+from .common import WORD, stored, whole_text
 
 #: Hexadecimal digits of a document's place that name its slice of a leaf: 16 ** 3 slices, each summed on its own.
 SLICE = 3
@@ -62,22 +62,26 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str,
 WEIGHTS = {"domain": {"web": 50, "reference": 30, "forum": 20}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
 
 
-def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 2, seed: int = 7, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 2, seed: int = 7, weights: dict[str, dict[str, int]] = WEIGHTS, digest: str | None = None) -> DataFrame:
     """A row for each document and epoch taken: doc_id, epoch (from 1), domain, lang, source, tokens.
 
     share: the budget as a share of all tokens (words). Null text counts no tokens; such documents, and empty ones,
     are taken with the prefix they stand in. A null lang or source is the leaf part "unknown". Rows with equal
-    doc_id are ordered by their tokens. An empty table gives none. Leaves are cut into up to 4096 slices by seeded
-    place; only small per-slice sums are ordered for a whole leaf, so that a leaf with a third of all rows is shared.
+    doc_id are ordered by their tokens; those without one get their place by their text. An empty table gives none.
+    Extra columns are not used. Leaves are cut into up to 4096 slices by seeded place; only small per-slice sums are
+    ordered for a whole leaf, so that a leaf with a third of all rows is shared. digest: the name of one more column, a
+    hash of the text.
     """
+    more = [F.xxhash64(whole_text()).alias(digest)] if digest else []
     rows = docs.select(
         "doc_id", domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("tokens"),
+        F.when(F.col("doc_id").isNull(), F.md5(whole_text().cast("binary"))).alias("_own"), *more,
     )
     rows = stored(rows, "mix-tokens")
     leaf = ["domain", "lang", "source"]
     plan = budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), share, max_epochs, weights)
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), "_own"))))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(max_epochs)))).withColumn("place", place)
     rows = rows.withColumn("slice", F.substring("place", 1, SLICE))
     part = [*leaf, "epoch", "slice"]
@@ -90,14 +94,19 @@ def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 2, seed: int = 7,
     edge = rows.where("rest < in_slice")
     so_far = F.sum("tokens").over(W.partitionBy(*part).orderBy("place", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1))
     edge = edge.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where("so_far < rest")
-    out = ["doc_id", F.col("epoch").cast("long").alias("epoch"), *leaf, "tokens"]
+    out = ["doc_id", F.col("epoch").cast("long").alias("epoch"), *leaf, "tokens", *([digest] if digest else [])]
     return inside.select(*out).unionByName(edge.select(*out))
 
 
 def mix_documents(docs: DataFrame, share: float = 0.8, seed: int = 7, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
-    """documents that one seeded epoch takes under the target weights, with their columns unchanged."""
-    taken = mix(docs, share, 1, seed, weights).select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi").select(docs.columns)
+    """documents that one seeded epoch takes under the target weights, with their columns unchanged.
+
+    A row is taken by its doc_id and its text, so rows that share an id or have none are told apart; of rows equal in
+    both, either all or none are taken.
+    """
+    taken = mix(docs, share, 1, seed, weights, "_digest").select(F.col("doc_id").alias("_taken"), "_digest").distinct()
+    same = docs["doc_id"].eqNullSafe(taken["_taken"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == taken["_digest"])
+    return docs.join(taken, same, "left_semi").select(docs.columns)
 
 
 def sql(share: float = 0.6, max_epochs: int = 2, seed: int = 7, weights: dict[str, dict[str, int]] = WEIGHTS) -> str:
@@ -114,13 +123,13 @@ def sql(share: float = 0.6, max_epochs: int = 2, seed: int = 7, weights: dict[st
 
     return f"""WITH rows0 AS (
   SELECT doc_id, TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INTEGER) AS n, coalesce(lang, 'unknown') AS lang,
-    coalesce(source, 'unknown') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM documents),
-rows1 AS (SELECT doc_id, CASE WHEN n < 10 THEN 'web' WHEN n < 15 THEN 'reference' WHEN n IS NOT NULL THEN 'forum' ELSE 'other' END AS domain, lang, source, tokens FROM rows0),
+    coalesce(source, 'unknown') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS own FROM documents),
+rows1 AS (SELECT doc_id, CASE WHEN n < 10 THEN 'web' WHEN n < 15 THEN 'reference' WHEN n IS NOT NULL THEN 'forum' ELSE 'other' END AS domain, lang, source, tokens, own FROM rows0),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM rows1 GROUP BY ALL),
 {fill('domains', f"SELECT domain, 0 AS top, CAST(sum(tokens) * {max_epochs} AS DOUBLE) AS cap, {case('domain', 5)} AS w, CAST(floor((SELECT sum(tokens) FROM leaves) * CAST({share} AS DOUBLE)) AS DOUBLE) AS given FROM leaves GROUP BY domain", 'top', 'domain')},
 {fill('langs', f"SELECT domain, lang, cap, {case('lang', 5)} AS w, budget AS given FROM (SELECT domain, lang, CAST(sum(tokens) * {max_epochs} AS DOUBLE) AS cap FROM leaves GROUP BY ALL) JOIN (SELECT domain, budget FROM domains) USING (domain)", 'domain', 'lang')},
 {fill('sources', f"SELECT domain, lang, source, tokens, CAST(tokens * {max_epochs} AS DOUBLE) AS cap, {case('source', 1)} AS w, budget AS given FROM leaves JOIN (SELECT domain, lang, budget FROM langs) USING (domain, lang)", 'domain, lang', 'source')},
-epochs AS (SELECT r.*, e.epoch, CAST(round(s.budget) AS BIGINT) - (e.epoch - 1) * s.tokens AS rest, md5('{seed}:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+epochs AS (SELECT r.*, e.epoch, CAST(round(s.budget) AS BIGINT) - (e.epoch - 1) * s.tokens AS rest, md5('{seed}:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null' || own)) AS place
   FROM rows1 r JOIN sources s USING (domain, lang, source), (SELECT unnest(range(1, {max_epochs + 1})) AS epoch) e),
 run AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY place, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far,
   sum(tokens) OVER (PARTITION BY domain, lang, source, epoch, substr(place, 1, {SLICE})) AS in_slice,
