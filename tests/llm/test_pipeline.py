@@ -3,8 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from strandline.llm import mixing, pii, simhash, toxicity
+from strandline.llm import mixing, pii, toxicity
 from strandline.llm.common import stored
+from tests.llm.test_likeness import brute
 
 
 def test_stages_by_hand(spark, data):
@@ -17,20 +18,8 @@ def test_stages_by_hand(spark, data):
     raw, clean, single, private, mixed, packed = ([tuple(r) for r in t.collect()] for t in tables)
     bad = {r["doc_id"] for r in toxicity.query(docs, spark.read.parquet(f"{data}/labels.parquet")).where("predicted = 1").collect()}
     assert Counter(clean) == Counter(r for r in raw if r[0] not in bad)
-    values = [(r[0], simhash.fingerprint(r[1])) for r in clean]
-    parent = {i: i for i, _ in values}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, x in values:
-        for j, y in values:
-            if bin(x ^ y).count("1") <= 2:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    assert sorted(r[0] for r in single) == sorted({root(i) for i, _ in values})
+    groups = brute([r[1] or "" for r in sorted(clean)])
+    assert sorted(r[0] for r in single) == sorted({sorted(clean)[g][0] for g in groups})
     expected = {r[0]: pii.redact(r[1], pii.find(r[1], pii.anchors())) for r in single}
     assert {r[0]: r[1] for r in private} == expected and all(r[4] == len(r[1]) for r in private)
     taken = {r["doc_id"] for r in mixing.mix(tables[3], 0.8, 1).collect()}
