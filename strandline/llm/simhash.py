@@ -205,8 +205,10 @@ def links(reps: DataFrame, radius: int = 2, size: int = 4096, most: int = 16_384
     dealt = [(0, signed(m)) for m in disjoint(list(range(BITS)), radius, width)]
     filed, out, deeper = reps.select("fp", "rep", F.lit(0).cast("long").alias("mask")), None, 6
     while True:
-        to = reps.sparkSession.createDataFrame(dealt, "mask long, longer long")  # radius + 1 masks for each earlier one
-        filed = filed.join(F.broadcast(to), "mask").select("fp", "rep", F.col("longer").alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        longer = F.array()
+        for m in {m for m, _ in dealt}:  # radius + 1 masks for each earlier one
+            longer = F.when(F.col("mask") == m, F.array(*(F.lit(x).cast("long") for k, x in dealt if k == m))).otherwise(longer)
+        filed = filed.select("fp", "rep", F.explode(longer).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         filed = filed if out is None else filed.dropDuplicates(["mask", "fp"])  # by two ways
         large = filed.groupBy("mask", "key").count().where(F.col("count") > most).select("mask", "key")
         masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most those in `dealt`
