@@ -20,17 +20,54 @@ from tests.llm.conftest import KIND, prose, rows
 TEXTS = [(r[0], r[1] or "") for r in rows()]
 
 
-def test_winnowing(docs):
-    found = winnowing.query(docs).collect()
-    assert len(found) == len(TEXTS)
-    order = sorted(TEXTS, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
+def shared_hashes(a, b):
+    a, b = ({x.split(":")[1] for x in f.split()} for f in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_winnowing(table, found):
+    """Every row of the query, by a sorted list of the documents; ties of doc_id stand by the given hash of their texts."""
+    order = sorted(table, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -r[2], r[1]))
     expected = Counter()
-    for k, (i, t) in enumerate(order):
+    for k, (i, t, _) in enumerate(order):
         n = order[(k + 1) % len(order)][1]
-        expected[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == expected
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
+        expected[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest(), n] += 1
+    by_text = {}
+    for r in found:
+        by_text.setdefault((r["doc_id"], r["n_chars"]), r["fingerprint"])
+    short = Counter()
+    for k, v in expected.items():
+        short[k[:3]] += v
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == short
+    prints = {t: by_text[i, len(t)] for i, t, _ in table}
+    texts = {k[:3]: k[3] for k in expected}
+    for r in found:
+        assert r["near_edited"] == pytest.approx(shared_hashes(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(shared_hashes(r["fingerprint"], prints[texts[r["doc_id"], r["n_chars"], r["edited_sha256"]]]))
+
+
+def hashed(spark, rows):
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
+def test_winnowing(spark, docs, empty):
+    found = winnowing.query(docs).collect()
+    assert len(found) == len(TEXTS)
+    check_winnowing(hashed(spark, TEXTS), found)
     assert len({r["fingerprint"] for r in found if r["doc_id"] in (4, 5)}) == 1
+    assert winnowing.query(empty).count() == 0
+
+
+def test_winnowing_parts_rows_that_share_an_id(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"{prose(i, 7 + i % 9)} {i}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed, order = winnowing.with_next(docs, rows_a_bucket=4)
+    assert placed.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 20
+    table = hashed(spark, rows)
+    ordered = [t for _, t, _ in sorted(table, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -r[2]))]
+    got = {r["text"]: r["next_text"] for r in placed.where("not _guest").collect()}
+    assert got == dict(zip(ordered, [*ordered[1:], ordered[0]]))
 
 
 def test_winnowing_chooses_rightmost_minimum(spark):
