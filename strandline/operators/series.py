@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 EPS = 2.220446049250313e-16
 KEYS = ["series_id", "window_id"]
@@ -45,6 +46,36 @@ def finite_filter(t: DataFrame) -> DataFrame:
     return t.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
 
 
+def with_statistics(t: DataFrame, statistics: DataFrame, most: int = 10_000) -> DataFrame:
+    """t with the columns of statistics (a row per series_id); series without a row fall out.
+
+    Statistics are computed once, here. One series gets them as literals, so a filter on them reaches the scan; up to
+    `most` series get them by a broadcast of that many small rows; beyond that both sides are shuffled by series.
+    """
+    rows = statistics.limit(most + 1).collect()
+    if len(rows) > most:
+        return t.join(statistics, "series_id")
+    names = [c for c in statistics.columns if c != "series_id"]
+    if len(rows) == 1:
+        return t.where(F.col("series_id") == rows[0]["series_id"]).select("*", *(F.lit(rows[0][c]).cast(statistics.schema[c].dataType).alias(c) for c in names))
+    few = t.sparkSession.createDataFrame(rows, statistics.schema)
+    return t.join(F.broadcast(few), "series_id")
+
+
+def compact(t: DataFrame, block: int = 65_536) -> DataFrame:
+    """t with dense positions in the old order, from 0 in each series: what is left after samples were dropped.
+
+    Positions count anew within blocks of old ones, and a running sum of the blocks' counts is added, so no task sees a
+    whole series; of rows with one position any comes first. Sums by block are all that is ordered for a series.
+    """
+    rows = t.withColumn("_block", F.expr(f"pos div {block}"))
+    counts = rows.groupBy("series_id", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("series_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("series_id", "_block").orderBy("pos", "value")) - 1
+    out = rows.withColumn("_place", place).join(counts.select("series_id", "_block", before.alias("_before")), ["series_id", "_block"])
+    return out.select("series_id", (F.col("_before") + F.col("_place")).alias("pos"), "value")
+
+
 def dyadic_lengths(t: DataFrame) -> DataFrame:
     """series_id, n, length_pow2 (the largest power of two within n) and removed."""
     n = t.groupBy("series_id").agg(F.count("*").alias("n"))
@@ -53,9 +84,8 @@ def dyadic_lengths(t: DataFrame) -> DataFrame:
 
 
 def truncate_dyadic(t: DataFrame) -> DataFrame:
-    """The first 2 ** floor(log2 n) samples of each series; a count per series is joined, at most a row each."""
-    kept = dyadic_lengths(t).select("series_id", "length_pow2")
-    return t.join(kept, "series_id").where("pos < length_pow2").drop("length_pow2")
+    """The first 2 ** floor(log2 n) samples of each series."""
+    return with_statistics(t, dyadic_lengths(t).select("series_id", "length_pow2")).where("pos < length_pow2").drop("length_pow2")
 
 
 def window_series(t: DataFrame, size: int, step: int | None = None) -> DataFrame:
@@ -105,15 +135,26 @@ def normalize_windows(windows: DataFrame) -> DataFrame:
 
 
 def zscore(t: DataFrame) -> DataFrame:
-    """The whole series as z-scores: one row of statistics per series is joined back."""
+    """The whole series as z-scores."""
     s = t.groupBy("series_id").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sigma"))
     s = s.withColumn("sigma", F.when(F.coalesce("sigma", F.lit(0.0)) < EPS, 1.0).otherwise(F.col("sigma")))
-    return t.join(s, "series_id").withColumn("z", (F.col("value") - F.col("mu")) / F.col("sigma"))
+    return with_statistics(t, s).withColumn("z", (F.col("value") - F.col("mu")) / F.col("sigma"))
+
+
+def spread(windows: DataFrame, rows: int) -> DataFrame:
+    """windows dealt out by their number: what is done to a window costs far more than its bytes tell, so tasks must not
+    be joined by bytes. 64 windows a task, or as few as the cores take at once."""
+    cores = windows.sparkSession.sparkContext.defaultParallelism
+    return windows.repartition(max(1, min(rows, max(cores, rows // 64))), *KEYS)
 
 
 def prepare_window_dataset(t: DataFrame, size: int, step: int | None = None, normalize: bool = True) -> DataFrame:
-    """Finite samples, dyadic truncation, windows, normalisation."""
-    windows = window_series(truncate_dyadic(finite_filter(t)), size, step)
+    """Finite samples, numbered anew if any was dropped, dyadic truncation, windows, normalisation."""
+    ok = finite_filter(t)
+    good = ok.count()
+    if t.count() > good:
+        ok = compact(ok)
+    windows = spread(window_series(truncate_dyadic(ok), size, step), good // (step or size) + 1)
     return normalize_windows(windows) if normalize else windows
 
 
@@ -127,7 +168,7 @@ def multiscale(t: DataFrame, factors: list[int], how: str = "mean") -> DataFrame
     if how not in ("mean", "sum"):
         raise ValueError(f"unknown aggregation {how}")
     n = t.groupBy("series_id").agg(F.count("*").alias("n"))
-    rows = t.join(n, "series_id").withColumn("factor", F.explode(F.array(*(F.lit(int(f)) for f in factors))))
+    rows = with_statistics(t, n).withColumn("factor", F.explode(F.array(*(F.lit(int(f)) for f in factors))))
     rows = rows.withColumn("factor", F.when(F.col("n") < F.col("factor"), 1).otherwise(F.col("factor")))
     rows = rows.where(F.expr("pos < n - n % factor"))
     agg = F.avg("value") if how == "mean" else F.sum("value")
@@ -142,7 +183,7 @@ def multiscale_factors(fs: float, millis: list[float]) -> list[int]:
 def downsample(t: DataFrame, most: int) -> DataFrame:
     """At most `most` samples at evenly spaced positions, rounded half to even, both ends included."""
     n = t.groupBy("series_id").agg(F.count("*").alias("n"))
-    rows = t.join(n, "series_id")
+    rows = with_statistics(t, n)
     if most < 2:
         return rows.where("pos = 0").drop("n")
     # A position is taken if some i of 0..most-1 lands on it: only the i nearest to it and its neighbours can.

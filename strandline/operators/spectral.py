@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .series import window_series
+from .series import window_series, with_statistics
 from .transforms import REALS, add_columns, lists, matrix
 
 
@@ -36,7 +36,7 @@ def welch_psd(t: DataFrame, size: int, fs: float = 1000.0, overlap: float = 0.5,
     Sums by bin are formed within tasks before the shuffle, so it moves a row per bin and task.
     """
     mean = t.groupBy("series_id").agg(F.avg("value").alias("_mean"))
-    centred = t.join(mean, "series_id").select("series_id", "pos", (F.col("value") - F.col("_mean")).alias("value"))
+    centred = with_statistics(t, mean).select("series_id", "pos", (F.col("value") - F.col("_mean")).alias("value"))
     segments = window_series(centred, size, max(1, round(size * (1 - overlap))))
     w = taper(kind, size)
     bins = size // 2 + 1

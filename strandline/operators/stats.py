@@ -4,64 +4,62 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import Z95
 
 
+#: Shares of a Poisson variable of mean one that are at or below 0, 1, 2, ...
+POISSON = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(9))
+
+
+def poisson_weight(seed: int, *parts: Column) -> Column:
+    """How often a block counts in a replicate: a Poisson number of mean one, drawn by a digest of seed and parts."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("double") / 2.0**32
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
 def block_bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, block: int = 8, n_boot: int = 0, seed: int = 1) -> DataFrame:
-    """keys, n, mean, std, ci_low, ci_high of value by moving-block bootstrap.
+    """keys, n, mean, std, ci_low, ci_high of value by block bootstrap.
 
-    With n_boot = 0 the interval is the normal one, all native. Otherwise each replicate is the mean of blocks of
-    `block` neighbours (in the order of `order`), the last one cut, drawn with replacement; blocks are sums from
-    prefix sums, so a replicate costs n / block reads. A group of one has its mean as both ends; nulls are left out.
+    With n_boot = 0 the interval is the normal one. Otherwise `block` neighbours in the whole numbers of `order` make a
+    block, and a replicate is the mean over blocks that each count a Poisson number of times; the interval's ends are
+    its quantiles. Blocks are summed first, and replicates are summed within tasks before they are shuffled, so no group
+    holds a series, however long. Replicates that drew no block are left out; a group of one block has its mean as both
+    ends. Nulls are left out.
     """
     rows = df.where(F.col(value).isNotNull())
     std = F.coalesce(F.stddev_samp(value), F.lit(0.0))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), std.alias("std"))
     if n_boot <= 0:
-        out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), std.alias("std"))
         gap = Z95 * F.col("std") / F.sqrt("n")
         return out.withColumn("ci_low", F.col("mean") - gap).withColumn("ci_high", F.col("mean") + gap)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        n, b = len(v), min(max(1, block), len(v))
-        mean = lo = hi = v.mean()
-        if n > 1:
-            name = ":".join(str(pdf[k].iloc[0]) for k in keys)
-            rng = np.random.default_rng([seed, *name.encode()])
-            sums = np.concatenate([[0.0], np.cumsum(v)])
-            whole, rest = divmod(n, b)
-            starts = rng.integers(0, n - b + 1, (n_boot, whole + (rest > 0)))
-            lengths = np.full(starts.shape[1], b)
-            if rest:
-                lengths[-1] = rest
-            lo, hi = np.quantile((sums[starts + lengths] - sums[starts]).sum(axis=1) / n, [0.025, 0.975])
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), n, mean, v.std(ddof=1) if n > 1 else 0.0, lo, hi]], columns=[*keys, "n", "mean", "std", "ci_low", "ci_high"])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, mean double, std double, ci_low double, ci_high double"])
-    # Only the value, its order and the keys go to Python: one small group per key, such as a share or a wavelet.
-    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
-
-
-def hash_bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, n_boot: int = 200, seed: int = 1) -> DataFrame:
-    """keys, mean, ci_low, ci_high by an i.i.d. bootstrap in Spark alone: draws come from a hash of seed, replicate and place.
-
-    Values are an array per group; the interval's ends are the sorted means at floor(0.025 B) and ceil(0.975 B), from 1.
-    """
-    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).alias("_v")))), lambda s: s["_v"])
-    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(values.alias("_x"), F.avg(value).alias("mean"))
-    n = F.size("_x")
-    draw = lambda b, i: F.get("_x", F.pmod(F.xxhash64(F.lit(seed), b, i), n.cast("long")).cast("int"))
-    means = F.transform(F.sequence(F.lit(1), F.lit(n_boot)), lambda b: F.aggregate(F.transform("_x", lambda v, i: draw(b, i)), F.lit(0.0), lambda acc, v: acc + v) / n)
-    out = out.withColumn("_b", F.array_sort(means))
-    lo, hi = max(1, math.floor(0.025 * n_boot)), min(n_boot, math.ceil(0.975 * n_boot))
-    return out.withColumn("ci_low", F.element_at("_b", lo)).withColumn("ci_high", F.element_at("_b", hi)).drop("_x", "_b")
+    number = F.floor((F.col(order) - 1) / max(1, block)).cast("long")
+    blocks = rows.groupBy(*keys, number.alias("_block")).agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
+    drawn = blocks.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    drawn = drawn.withColumn("_w", poisson_weight(seed, F.col("_b").cast("string"), F.col("_block").cast("string"))).where("_w > 0")
+    means = drawn.groupBy(*keys, "_b").agg((F.sum(F.col("_w") * F.col("_sum")) / F.sum(F.col("_w") * F.col("_n"))).alias("_mean"))
+    ends = means.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.expr("percentile(_mean, 0.025)").alias("ci_low"), F.expr("percentile(_mean, 0.975)").alias("ci_high"))
+    same = [out[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)]
+    joined = out.join(ends, reduce(lambda a, b: a & b, same)) if keys else out.crossJoin(ends)  # without keys one row each
+    return joined.select(*keys, "n", "mean", "std", "ci_low", "ci_high")
+
+
+def bootstrap_sql(keys: str, value: str, source: str, order: str, block: int, n_boot: int, seed: int = 1) -> str:
+    """block_bootstrap_ci() for DuckDB; results rounded to six places."""
+    weight = " + ".join(f"CAST(u >= {p!r} AS INTEGER)" for p in POISSON)
+    on = " AND ".join(f"a.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    return f"""SELECT {', '.join(f'a.{k.strip()}' for k in keys.split(','))}, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high
+FROM (SELECT {keys}, count(*) AS n, avg({value}) AS mean, coalesce(stddev_samp({value}), 0) AS std FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys}) a
+JOIN (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
+  SELECT {keys}, b, sum(w * s) / sum(w * c) AS m FROM (
+    SELECT *, {weight} AS w FROM (
+      SELECT *, CAST('0x' || substr(md5('{seed}:' || b || ':' || block), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (
+        SELECT {keys}, CAST(floor(({order} - 1) / {float(block)}) AS BIGINT) AS block, sum({value}) AS s, count(*) AS c FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL), (SELECT unnest(range(1, {n_boot + 1})) AS b)))
+  WHERE w > 0 GROUP BY {keys}, b) GROUP BY {keys}) c ON {on}"""
 
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom.

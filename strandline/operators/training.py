@@ -9,7 +9,7 @@ together in one set of array operations, and Spark deals the batches out.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -207,12 +207,27 @@ def training_history(trained: DataFrame) -> DataFrame:
     return trained.select("series_id", "window_id", F.explode("history").alias("_h")).select("series_id", "window_id", "_h.*")
 
 
+def with_model(windows: DataFrame, model: DataFrame, levels: int) -> DataFrame:
+    """windows with the filters of a model table that was written earlier, for two_tap_analyze() and the reports.
+
+    Windows without all `levels` levels in the table get Haar filters. Of several rows for a level the first h counts.
+    """
+    one = model.where(F.col("level") <= levels).groupBy("series_id", "window_id", "level").agg(F.min(F.struct("h", "g")).alias("_f"))
+    banks = one.groupBy("series_id", "window_id").agg(F.array_sort(F.collect_list(F.struct("level", "_f"))).alias("_m"))
+    banks = banks.where(F.size("_m") == levels).select("series_id", "window_id", F.transform("_m", lambda m: m["_f"]).alias("filters"))
+    r = math.sqrt(0.5)
+    haar = F.array_repeat(F.struct(F.array(F.lit(r), F.lit(r)).alias("h"), F.array(F.lit(r), F.lit(-r)).alias("g")), levels)
+    return windows.drop("filters").join(banks, ["series_id", "window_id"], "left").withColumn("filters", F.coalesce("filters", haar))
+
+
 def grid_search(windows: DataFrame, mse_weights: tuple[float, ...], retain_sets: tuple[tuple[float, ...], ...], evaluate, levels: int = 5, schedule: tuple[Stage, ...] = PIPELINE_SCHEDULE) -> DataFrame:
-    """Results of evaluate(trained, retains) for every weight and retain set, side by side."""
-    out = None
-    for weight in mse_weights:
-        trained = train(windows, levels, tuple(replace(s, mse_weight=weight) for s in schedule))
-        for i, retains in enumerate(retain_sets):
-            part = evaluate(trained, retains).withColumn("mse_weight", F.lit(weight)).withColumn("retain_set", F.lit(i + 1))
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Results of evaluate(trained, retains) for every weight and retain set, side by side.
+
+    An orthonormal bank reconstructs without error, so the error's weight moves neither loss nor gradient: one training
+    serves all weights, and their rows are equal.
+    """
+    trained, out = train(windows, levels, schedule), None
+    for i, retains in enumerate(retain_sets):
+        part = evaluate(trained, retains).withColumn("retain_set", F.lit(i + 1))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("mse_weight", F.explode(F.array(*(F.lit(float(w)) for w in mse_weights))))

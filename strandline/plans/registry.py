@@ -8,15 +8,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import wavelets
 from ..operators import compression, metrics, series, spectral, stats, training
-from ..operators.transforms import coefficients, dwt, idwt, two_tap_analyze, two_tap_synthesize
+from ..operators.evaluation import evaluated
+from ..operators.transforms import REALS, add_columns, coefficients, lists, dwt, idwt, two_tap_analyze, two_tap_synthesize
 from ..sources.tables import events_trace, numeric_trace, table, union_results
-from . import reports
+from . import family_sql, reports
 
 SIZE, LEVELS, BANK = 1024, 10, 5
 RETAINS = compression.RETAINS
@@ -101,11 +103,9 @@ def flagship(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
     return found.select("series_id", "window_id", "mu", "sigma", "H")
 
 
-def results(spark: SparkSession, sf_dir: str, retains: tuple[float, ...] = RETAINS) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, *measures: str, retains: tuple[float, ...] = RETAINS) -> DataFrame:
     """Haar at full depth, a Haar bank of BANK levels, and Haar with one pool, for every window and share."""
-    base = reports.with_originals(windows(spark, sf_dir), SIZE)
-    pool = reports.fixed_method(base, "haar", SIZE, retains, pool=True).withColumn("method", F.lit("haar_pool"))
-    return reports.fixed_method(base, "haar", SIZE, retains).unionByName(reports.bank_method(base, SIZE, retains, BANK, None, "haar_bank")).unionByName(pool)
+    return evaluated(windows(spark, sf_dir), SIZE, ("haar", "haar_bank", "haar_pool"), retains, levels=BANK, measures=measures or ("psnr",))
 
 
 # Series and windows
@@ -209,20 +209,36 @@ def _(spark, sf_dir):
 
 @query("wavelet_alias", "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'haar' ELSE 'c3' END AS family FROM events GROUP BY event_type")
 def _(spark, sf_dir):
-    """Spellings by event type, mapped to families in a column expression."""
-    spelled = F.when(F.col("event_type").isin("click", "view"), " Daubechies-1 ").otherwise("Coif.6")
-    table_ = F.create_map(*(F.lit(x) for family, names in wavelets.ALIASES.items() for n in names for x in (n, family)))
-    family = F.element_at(table_, F.regexp_replace(F.lower(F.trim(spelled)), "[ .-]", ""))
+    """The family of a spelling by event type."""
+    family = F.when(F.col("event_type").isin("click", "view"), wavelets.canonical(" Daubechies-1 ")).otherwise(wavelets.canonical("Coif.6"))
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.first(family).alias("family"))
 
 
-@query("baseline_list")
+FAMILIES = {f: f for f in wavelets.baseline_list("haar")}
+ANALYSES = ", " + ",\n".join(family_sql.analysis(f, SIZE, LEVELS) for f in FAMILIES) + "\n"
+
+
+@query("baseline_list", ANALYSES + " UNION ALL ".join(f"SELECT window_id, '{f}' AS wavelet, {r6('avg(abs(d)) AS mean_abs')} FROM {family_sql.ident(f)}_d GROUP BY window_id" for f in FAMILIES))
 def _(spark, sf_dir):
-    """Coefficient energy of every family of the list, by window."""
+    """Mean size of the coefficients of every family of the list, by window."""
     parts = [dwt(windows(spark, sf_dir), f, LEVELS).select("window_id", "wavelet", metrics.sparsity_loss().alias("mean_abs")) for f in wavelets.baseline_list("haar, db4,Daubechies4")]
     return tidy(union_results(*parts))
 
 
+@query("dwt_families", ANALYSES + " UNION ALL ".join(f"SELECT '{f}' AS wavelet, window_id, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS k, {r6('d')} FROM {family_sql.ident(f)}_d" for f in FAMILIES if f != "haar"))
+def _(spark, sf_dir):
+    """All coefficients of the four longer families, from spellings of their names."""
+    names = ("Daubechies 4", "Coiflet-3", "symmlet8", "CDF9/7".replace("/", ""))
+    parts = [coefficients(dwt(windows(spark, sf_dir), n, LEVELS)).select("wavelet", "window_id", "level", "k", "d") for n in names]
+    return tidy(union_results(*parts))
+
+
+@query("idwt_families", f"SELECT wavelet, window_id, CAST(i AS INTEGER) AS i, {r6('x')} FROM win, (SELECT unnest(['db4', 'c3', 's8', 'bior4.4']) AS wavelet)")
+def _(spark, sf_dir):
+    parts = [idwt(dwt(windows(spark, sf_dir), f, LEVELS), f, LEVELS).select("wavelet", "window_id", F.posexplode("recon").alias("i", "x")) for f in wavelets.MANDATORY]
+    return tidy(union_results(*parts))
+
+
 @query("dwt", f"SELECT window_id, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS k, {r6('d')} FROM coef")
 def _(spark, sf_dir):
     return tidy(coefficients(haar(spark, sf_dir)), "window_id", "level", "k", "d")
@@ -265,18 +281,22 @@ def _(spark, sf_dir):
 
 @query("extract_filters", f"SELECT window_id, {r6('h0', 'h1', '-h1 AS g0', 'h0 AS g1')} FROM (SELECT window_id, mu / sqrt(mu * mu + sigma * sigma) AS h0, sigma / sqrt(mu * mu + sigma * sigma) AS h1 FROM st)")
 def _(spark, sf_dir):
-    """A block's filters by Gram-Schmidt; the block's first row is (mu, sigma) of a window, its second (-sigma, mu)."""
-    w = windows(spark, sf_dir).withColumn("a", F.array("mu", "sigma")).withColumn("b", F.array(-F.col("sigma"), F.col("mu")))
-    norm = lambda c: F.sqrt(metrics.energy(c))
-    w = w.withColumn("h", F.transform("a", lambda v: v / norm(F.col("a")))).withColumn("p", F.aggregate(F.zip_with("b", "h", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v))
-    w = w.withColumn("u", F.zip_with("b", "h", lambda x, y: x - F.col("p") * y)).withColumn("g", F.transform("u", lambda v: v / norm(F.col("u"))))
+    """Filters of blocks whose first row is (mu, sigma) of a window and the second (-sigma, mu)."""
+
+    def run(b):
+        mu, sigma = (b.column(c).to_numpy() for c in ("mu", "sigma"))
+        h, g = training.extract_filters(np.stack([np.stack([mu, sigma], -1), np.stack([-sigma, mu], -1)], -2))
+        return {"h": lists(h), "g": lists(g)}
+
+    w = add_columns(windows(spark, sf_dir).select("window_id", "mu", "sigma"), {"h": REALS, "g": REALS}, run)
     return tidy(w, "window_id", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"))
 
 
 @query("quadrature_mirror", f"SELECT window_id, {r6('sigma AS g0', '-mu AS g1')} FROM st")
 def _(spark, sf_dir):
-    mirror = F.transform(F.reverse(F.array("mu", "sigma")), lambda v, i: F.when(i % 2 == 0, v).otherwise(-v))
-    return tidy(windows(spark, sf_dir).withColumn("g", mirror), "window_id", F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"))
+    run = lambda b: {"g": lists(np.array([wavelets.quadrature_mirror(np.array(h)) for h in zip(*(b.column(c).to_pylist() for c in ("mu", "sigma")))]).reshape(-1, 2))}
+    w = add_columns(windows(spark, sf_dir).select("window_id", "mu", "sigma"), {"g": REALS}, run)
+    return tidy(w, "window_id", F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"))
 
 
 # Compression
@@ -309,10 +329,13 @@ def _(spark, sf_dir):
     return tidy(two_tap_synthesize(out, BANK, None, "kept_details"), "window_id", "retain_ppm", metrics.psnr().alias("psnr"))
 
 
-@query("pr_check", "SELECT DISTINCT window_id, true AS mse_ok, true AS error_ok, true AS l2_ok, true AS parseval_ok FROM win")
+@query("pr_check", f"SELECT window_id, true AS exact, {r6('avg(power(0.01 * x, 2)) AS pr_mse', 'sqrt(avg(power(0.01 * x, 2))) / stddev_samp(x) AS pr_relative_error', 'sqrt(sum(power(0.01 * x, 2))) / sqrt(sum(x * x)) AS rel_l2_error')} FROM win GROUP BY window_id")
 def _(spark, sf_dir):
-    r = reports.pr_report(windows(spark, sf_dir), BANK)
-    return r.select("window_id", (F.col("pr_mse") < 1e-24).alias("mse_ok"), (F.col("pr_relative_error") < 1e-12).alias("error_ok"), (F.col("rel_l2_error") < 1e-12).alias("l2_ok"), (F.col("parseval_error") < 1e-12).alias("parseval_ok"))
+    """Whether a bank gives the windows back, and the measures of the same signal after all of it grew by a hundredth."""
+    r = two_tap_synthesize(two_tap_analyze(windows(spark, sf_dir), BANK), BANK)
+    exact = (metrics.pr_check()["pr_mse"] < 1e-24) & (metrics.rel_l2_error() < 1e-12) & (metrics.parseval_error() < 1e-12)
+    r = series.let(r, exact=exact, recon=F.transform("recon", lambda v: 1.01 * v))
+    return tidy(r.select("window_id", "exact", metrics.pr_check().alias("pr"), metrics.rel_l2_error().alias("rel_l2_error")).select("window_id", "exact", "pr.*", "rel_l2_error"))
 
 
 @query("parseval_error", f"SELECT window_id, {r6('sum(e0) AS energy', 'sum(ed) AS parts')} FROM (SELECT window_id, sum(x * x) AS e0, 0.0 AS ed FROM win GROUP BY window_id UNION ALL SELECT window_id, 0.0, sum(d * d) FROM coef GROUP BY window_id UNION ALL SELECT window_id, 0.0, a * a FROM top) GROUP BY window_id")
@@ -334,8 +357,7 @@ def _(spark, sf_dir):
 
 @query("delta_metric", f"SELECT window_id, retain_ppm, {r6('H', 'deltaH')} FROM res WHERE method = 'haar'")
 def _(spark, sf_dir):
-    base = reports.with_originals(windows(spark, sf_dir), SIZE)
-    return tidy(reports.fixed_method(base, "haar", SIZE, RETAINS), "window_id", "retain_ppm", "H", "deltaH")
+    return tidy(evaluated(windows(spark, sf_dir), SIZE, ("haar",), RETAINS, measures=("H", "deltaH")), "window_id", "retain_ppm", "H", "deltaH")
 
 
 @query("level_energy", f"SELECT window_id, CAST(level AS INTEGER) AS level, {r6('log2(e) AS log2_energy')} FROM en WHERE e > 0")
@@ -458,7 +480,7 @@ def _(spark, sf_dir):
     return tidy(out, "bin", "f", "p", F.pow(F.lit(10.0), F.col("intercept") + F.col("beta") * F.log10("f")).alias("guide"))
 
 
-@query("simple_periodogram")
+@query("simple_periodogram", f"SELECT window_id, CAST(b - 1 AS INTEGER) AS k, {r6(f'(power(sum(v * cos(2 * pi() * b * i / {SIZE})), 2) + power(sum(v * sin(2 * pi() * b * i / {SIZE})), 2)) / {SIZE} AS power')} FROM (SELECT window_id, i, x - avg(x) OVER (PARTITION BY window_id) AS v FROM win), (SELECT unnest(range(1, {SIZE // 2 + 1})) AS b) GROUP BY window_id, b")
 def _(spark, sf_dir):
     return tidy(spectral.simple_periodogram(windows(spark, sf_dir)).select("window_id", F.posexplode("power").alias("k", "power")))
 
@@ -478,14 +500,14 @@ def _(spark, sf_dir):
     return tidy(stats.block_bootstrap_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id"))
 
 
-@query("block_bootstrap_resampled")
+@query("block_bootstrap_resampled", stats.bootstrap_sql("method, retain_ppm", "psnr", "res", "window_id", 4, 200))
 def _(spark, sf_dir):
-    return tidy(stats.block_bootstrap_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id", 4, 500))
+    return tidy(stats.block_bootstrap_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id", 4, 200))
 
 
-@query("iid_bootstrap_ci")
+@query("iid_bootstrap_ci", stats.bootstrap_sql("series_id", "H", "(SELECT 'all' AS series_id, * FROM hw)", "window_id", 1, 200))
 def _(spark, sf_dir):
-    return tidy(stats.hash_bootstrap_ci(metrics.hurst_wavelet(haar(spark, sf_dir)).select("series_id", "window_id", "H"), ["series_id"], "H", "window_id"))
+    return tidy(stats.block_bootstrap_ci(metrics.hurst_wavelet(haar(spark, sf_dir)).select("series_id", "window_id", "H"), ["series_id"], "H", "window_id", 1, 200))
 
 
 @query("bootstrap_multifractal")
@@ -494,12 +516,12 @@ def _(spark, sf_dir):
     return tidy(stats.iid_bootstrap_metrics(windows(spark, sf_dir).select("series_id", "window_id", "x"), lambda w: metrics.multifractal(two_tap_analyze(w, LEVELS)), names, 20))
 
 
-@query("confidence_margin", f"SELECT retain_ppm, n, {r6('CASE WHEN n >= 30 THEN 1.959964 * s / sqrt(n) END AS margin')} FROM (SELECT retain_ppm, count(*) AS n, stddev_samp(psnr) AS s FROM (SELECT retain_ppm, psnr FROM res, (SELECT unnest(range(0, 2)) AS c)) WHERE psnr IS NOT NULL GROUP BY retain_ppm)")
+@query("confidence_margin", f"SELECT method, retain_ppm, copies, n, {r6(f'CASE WHEN n >= 30 THEN 1.959964 * s / sqrt(n) WHEN n >= 2 THEN ({list(stats.T95)})[n - 1] * s / sqrt(n) END AS margin')} FROM (SELECT method, retain_ppm, copies, count(*) AS n, stddev_samp(psnr) AS s FROM (SELECT method, retain_ppm, psnr, copies, unnest(range(0, copies)) AS c FROM res, (SELECT unnest([1, 8]) AS copies)) WHERE psnr IS NOT NULL GROUP BY ALL)")
 def _(spark, sf_dir):
-    """Margins over all methods' results, each counted twice."""
-    r = results(spark, sf_dir).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
-    by = r.groupBy("retain_ppm").agg(F.count("psnr").alias("n"), F.stddev_samp("psnr").alias("s"))
-    return tidy(by, "retain_ppm", "n", stats.confidence_margin(F.col("n"), F.col("s")).alias("margin"))
+    """Margins of each method's results, taken once and, for more than 30 values, eight times."""
+    r = results(spark, sf_dir).withColumn("copies", F.explode(F.array(F.lit(1), F.lit(8)))).withColumn("c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    by = r.groupBy("method", "retain_ppm", "copies").agg(F.count("psnr").alias("n"), F.stddev_samp("psnr").alias("s"))
+    return tidy(by, "method", "retain_ppm", "copies", "n", stats.confidence_margin(F.col("n"), F.col("s")).alias("margin"))
 
 
 @query("summary_by_retain", f"SELECT retain_ppm, {r6('avg(psnr) AS psnr_mean', 'stddev_samp(psnr) AS psnr_std', 'avg(kept / total) AS keep_mean', 'stddev_samp(kept / total) AS keep_std')}, count(*) AS rows FROM res WHERE method = 'haar' GROUP BY retain_ppm")
@@ -536,9 +558,16 @@ def _(spark, sf_dir):
     return tidy(reports.hurst_summary(metrics.hurst_wavelet(haar(spark, sf_dir))))
 
 
+@query("hurst_summary_levels", f"SELECT level, n, {r6('h_mean', 'h_std', 'se', 'h_mean - 1.96 * se AS ci_norm_low', 'h_mean + 1.96 * se AS ci_norm_high', 'ci_low AS ci_boot_low', 'ci_high AS ci_boot_high')} FROM (SELECT level, count(*) AS n, avg(y) AS h_mean, stddev_samp(y) AS h_std, stddev_samp(y) / sqrt(count(*)) AS se FROM (SELECT level, log2(e) AS y FROM en WHERE level = 4 AND e > 0) GROUP BY level) JOIN ({stats.bootstrap_sql('level', 'y', '(SELECT level, window_id, log2(e) AS y FROM en WHERE level = 4 AND e > 0)', 'window_id', 2, 100)}) b USING (level, n)")
+def _(spark, sf_dir):
+    """The summary with its bootstrap interval, of one level's log-energies."""
+    points = haar(spark, sf_dir).select("window_id", F.explode(metrics.level_energies(low=1)).alias("p")).select("window_id", F.col("p.x").cast("long").alias("level"), F.col("p.y").alias("y"))
+    return tidy(reports.hurst_summary(points, "y", ["level"], ("level", 4), 100, 2))
+
+
 @query("delta_h_summary", ci_sql("method, retain_ppm", "deltaH", "res"))
 def _(spark, sf_dir):
-    return tidy(reports.delta_h_summary(results(spark, sf_dir)))
+    return tidy(reports.delta_h_summary(results(spark, sf_dir, "deltaH")))
 
 
 @query("describe_metrics", f"SELECT {r6('min(H) AS h_min', 'quantile_cont(H, 0.25) AS h_q25', 'quantile_cont(H, 0.5) AS h_median', 'quantile_cont(H, 0.75) AS h_q75', 'max(H) AS h_max')} FROM hw")
@@ -559,14 +588,14 @@ def _(spark, sf_dir):
 
 
 def covariates(spark: SparkSession, sf_dir: str, method: str, x: str) -> DataFrame:
-    r = results(spark, sf_dir).where(F.col("method") == method).withColumn("H_orig", F.col("H") - F.col("deltaH")).withColumn("width_orig", F.col("alpha_width") - F.col("delta_alpha_width"))
+    r = evaluated(windows(spark, sf_dir), SIZE, (method,), RETAINS, levels=BANK, measures=("psnr", x))
     return stats.correlation(r, ["retain_ppm"], x, "psnr")
 
 
 @query("robustness_corr", f"""SELECT b.method AS baseline, metric, a.retain_ppm, {r6('corr(a.psnr - b.psnr, v) AS r', 'regr_slope(a.psnr - b.psnr, v) AS slope', 'regr_intercept(a.psnr - b.psnr, v) AS intercept')}, count(*) AS n
 FROM res a JOIN res b USING (window_id, retain_ppm) JOIN (SELECT window_id, 'H' AS metric, H AS v FROM hw UNION ALL SELECT window_id, 'alpha_width', alpha_width FROM mf) USING (window_id) WHERE a.method = 'haar' AND b.method IN ('haar_bank', 'haar_pool') GROUP BY ALL""")
 def _(spark, sf_dir):
-    r = results(spark, sf_dir).withColumn("H_orig", F.col("H") - F.col("deltaH")).withColumn("width_orig", F.col("alpha_width") - F.col("delta_alpha_width"))
+    r = results(spark, sf_dir, "psnr", "H_orig", "width_orig")
     return tidy(reports.robustness(r, "haar", ("haar_bank", "haar_pool"), {"H_orig": "H", "width_orig": "alpha_width"}))
 
 
@@ -595,10 +624,11 @@ def _(spark, sf_dir):
     return tidy(reports.global_hurst_summary(t, SIZE), "H", "slope", "intercept", "se_H", "num_levels")
 
 
-@query("wavelet_experiment", f"SELECT window_id, retain_ppm, kept, {r6('psnr')} FROM res WHERE method = 'haar_pool'")
+@query("wavelet_experiment", ", " + family_sql.results({"haar_pool": "haar", "db4_pool": "db4"}, SIZE, LEVELS, series.EPS) + f"SELECT method, window_id, retain_ppm, kept, {r6('psnr', 'H_orig')} FROM fr JOIN (SELECT window_id, (regr_slope(log2(e), level) + 1) / 2 AS H_orig FROM en WHERE level BETWEEN 4 AND 12 AND e > 0 GROUP BY window_id) USING (window_id)")
 def _(spark, sf_dir):
-    r = results(spark, sf_dir).where("method = 'haar_pool'")
-    return tidy(r, "window_id", "retain_ppm", "kept", "psnr")
+    """Haar and db4 with one pool each, and H of the original from level 4 on."""
+    r = evaluated(windows(spark, sf_dir), SIZE, ("haar_pool", "db4_pool"), RETAINS, low=4, measures=("psnr", "H_orig"))
+    return tidy(r, "method", "window_id", "retain_ppm", "kept", "psnr", "H_orig")
 
 
 @query("paired_gain", f"SELECT retain_ppm, n, {r6('m AS mean', 's AS std', f'm - {Z} * s / sqrt(n) AS ci_low', f'm + {Z} * s / sqrt(n) AS ci_high')} FROM (SELECT retain_ppm, count(*) AS n, avg(a.psnr - b.psnr) AS m, coalesce(stddev_samp(a.psnr - b.psnr), 0) AS s FROM res a JOIN res b USING (window_id, retain_ppm) WHERE a.method = 'haar_bank' AND b.method = 'haar' AND a.psnr - b.psnr IS NOT NULL GROUP BY retain_ppm)")
@@ -629,12 +659,12 @@ def _(spark, sf_dir):
 
 @query("method_stats", f"SELECT method, retain_ppm, metric, count(*) AS n, {r6('avg(v) AS mean', 'stddev_samp(v) AS std')} FROM (SELECT method, retain_ppm, 'deltaH' AS metric, deltaH AS v FROM res UNION ALL SELECT method, retain_ppm, 'psnr', psnr FROM res) WHERE v IS NOT NULL GROUP BY ALL")
 def _(spark, sf_dir):
-    return tidy(reports.method_stats(results(spark, sf_dir), ("deltaH", "psnr")), "method", "retain_ppm", "metric", "n", "mean", "std")
+    return tidy(reports.method_stats(results(spark, sf_dir, "psnr", "deltaH"), ("deltaH", "psnr")), "method", "retain_ppm", "metric", "n", "mean", "std")
 
 
 @query("window_metric_series", f"SELECT method, retain_ppm, window_id, {r6('H')} FROM res")
 def _(spark, sf_dir):
-    return tidy(stats.by_window_order(results(spark, sf_dir), "H"))
+    return tidy(stats.by_window_order(results(spark, sf_dir, "H"), "H"))
 
 
 @query("psnr_vs_covariate", f"SELECT {r6('corr(psnr, alpha_width) AS r', 'regr_slope(psnr, alpha_width) AS slope', 'regr_intercept(psnr, alpha_width) AS intercept')}, count(*) AS n FROM res JOIN mf USING (window_id) WHERE method = 'haar' AND retain_ppm = 100000")
@@ -644,7 +674,7 @@ def _(spark, sf_dir):
 
 @query("gain_vs_covariate", f"SELECT {r6('corr(a.psnr - b.psnr, H) AS r', 'regr_slope(a.psnr - b.psnr, H) AS slope', 'regr_intercept(a.psnr - b.psnr, H) AS intercept')}, count(*) AS n FROM (SELECT * EXCLUDE (H) FROM res) a JOIN res b USING (window_id, retain_ppm) JOIN (SELECT window_id, H FROM hw) c USING (window_id) WHERE a.method = 'haar_bank' AND b.method = 'haar' AND retain_ppm = 100000".replace("H)", "c.H)").replace("(c.H)", "(H)"))
 def _(spark, sf_dir):
-    r = results(spark, sf_dir).where("retain_ppm = 100000").withColumn("H_orig", F.col("H") - F.col("deltaH"))
+    r = results(spark, sf_dir, "psnr", "H_orig", retains=(0.1,))
     return tidy(reports.robustness(r, "haar_bank", ("haar",), {"H_orig": "H"}), "r", "slope", "intercept", "n")
 
 
@@ -671,20 +701,36 @@ def _(spark, sf_dir):
     return tidy(union_results(h, m))
 
 
-@query("baseline_wavelet_psnr")
+@query("baseline_wavelet_psnr", ", " + family_sql.results(FAMILIES, SIZE, LEVELS, series.EPS) + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr')} FROM fr")
 def _(spark, sf_dir):
-    base = reports.with_originals(windows(spark, sf_dir), SIZE)
-    return tidy(union_results(*(reports.fixed_method(base, f, SIZE, RETAINS) for f in wavelets.baseline_list("haar"))), "method", "window_id", "retain_ppm", "psnr", "kept", "total")
+    r = evaluated(windows(spark, sf_dir), SIZE, tuple(FAMILIES), RETAINS, measures=("psnr",))
+    return tidy(r, "method", "window_id", "retain_ppm", "psnr", "kept", "total")
+
+
+GRID = tuple(round(0.1 + 0.2 * i, 6) for i in range(5))
+FOUR = "(SELECT window_id, (regr_slope(log2(e), level) + 1) / 2 AS H_orig FROM en WHERE level >= 4 AND e > 0 GROUP BY window_id)"
+
+
+@query("compare_hurst_fixed", f", ret2 AS ({retain_list(GRID)}),\n" + family_sql.results(FAMILIES, SIZE, LEVELS, series.EPS, 4).replace(", ret)", ", ret2)") + f"SELECT method, window_id, retain_ppm, kept, {r6('psnr', 'H', 'H - H_orig AS deltaH')} FROM fr JOIN {FOUR} USING (window_id)")
+def _(spark, sf_dir):
+    """The fixed families over a linear grid of shares, H by levels from 4 on for originals and reconstructions alike."""
+    r = evaluated(windows(spark, sf_dir), SIZE, tuple(FAMILIES), GRID, low=4, measures=("psnr", "H", "deltaH"))
+    return tidy(r, "method", "window_id", "retain_ppm", "kept", "psnr", "H", "deltaH")
 
 
 @query("compare_hurst_retains")
 def _(spark, sf_dir):
-    """Six methods over a linear grid of shares, H by levels from 4 on for originals and reconstructions alike."""
-    grid = tuple(round(0.1 + 0.2 * i, 6) for i in range(5))
-    base = reports.with_originals(windows(spark, sf_dir), SIZE, 4)
-    parts = [reports.fixed_method(base, f, SIZE, grid, 4) for f in wavelets.baseline_list("haar")]
-    parts.append(reports.bank_method(training.train(base, BANK), SIZE, grid, BANK, low=4))
-    return tidy(union_results(*parts), "method", "window_id", "retain_ppm", "H", "deltaH", "psnr", "kept", "alpha_width")
+    """The same with the learned bank, and the width of the spectrum."""
+    trained = training.train(windows(spark, sf_dir), BANK)
+    r = evaluated(trained, SIZE, (*FAMILIES, "learned"), GRID, low=4, levels=BANK, measures=("H", "deltaH", "psnr", "alpha_width"))
+    return tidy(r, "method", "window_id", "retain_ppm", "H", "deltaH", "psnr", "kept", "alpha_width")
+
+
+@query("run_window_fixed", ", " + family_sql.results(FAMILIES, SIZE, LEVELS, series.EPS, 2) + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'fr.H AS H', 'fr.H - hw.H AS deltaH')} FROM fr JOIN hw USING (window_id)")
+def _(spark, sf_dir):
+    """The baselines of run_window, without the learned bank."""
+    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, learned=False)
+    return tidy(r, "method", "window_id", "retain_ppm", "kept", "total", "psnr", "H", "deltaH")
 
 
 # Training
@@ -713,8 +759,8 @@ def _(spark, sf_dir):
 
 @query("grid_search_mse")
 def _(spark, sf_dir):
-    base = reports.with_originals(windows(spark, sf_dir), SIZE)
-    found = training.grid_search(base, (0.0, 0.1, 1.0), ((0.1, 0.4), (0.01, 0.05)), lambda t, r: reports.bank_method(t, SIZE, r, BANK), BANK, (training.Stage(25, 5e-3, "haar"),))
+    evaluate = lambda t, r: evaluated(t, SIZE, ("learned",), r, levels=BANK, measures=("psnr",))
+    found = training.grid_search(windows(spark, sf_dir), (0.0, 0.1, 1.0), ((0.1, 0.4), (0.01, 0.05)), evaluate, BANK, (training.Stage(25, 5e-3, "haar"),))
     return tidy(found.groupBy("retain_set", "mse_weight", "retain_ppm").agg(F.avg("psnr").alias("psnr"), F.count("*").alias("n")))
 
 

@@ -2,64 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wavelets import MANDATORY, canonical, levels_of
+from ..functions.wavelets import MANDATORY, levels_of
 from ..operators import compression, metrics, stats, training
-from ..operators.transforms import dwt, idwt, two_tap_analyze, two_tap_synthesize
+from ..operators.evaluation import LEARNED, SHORT, evaluated
+from ..operators.transforms import two_tap_analyze, two_tap_synthesize
 
 KEYS = ["series_id", "window_id"]
-RESULT = ["method", *KEYS, "retain", "retain_ppm", "psnr", "kept", "total", "H", "deltaH", "alpha_width", "alpha_peak", "f_alpha_peak", "delta_alpha_width"]
-
-
-def with_originals(windows: DataFrame, size: int, low: int = 2) -> DataFrame:
-    """windows with H and the spectrum of the original, by Haar levels from `low` on."""
-    out = dwt(windows, "haar", levels_of(size), native=False).drop("wavelet")
-    out = metrics.hurst_wavelet(out, low, out="H_orig")
-    out = metrics.multifractal(out, low, suffix="_orig")
-    return out.drop("approx", "details", "spectrum_orig")
-
-
-def scored(recon: DataFrame, method: str, size: int, low: int = 2) -> DataFrame:
-    """The results of one method: fidelity, H and spectrum of the reconstruction, and how they moved."""
-    out = recon.withColumn("method", F.lit(method)).withColumn("psnr", metrics.psnr())
-    out = out.drop("approx", "details", "kept_details", "x").withColumnRenamed("recon", "x")
-    # a level without coefficients comes back as rounding noise, which is no energy
-    out = metrics.hurst_wavelet(dwt(out, "haar", levels_of(size), native=False), low, floor=1e-28)
-    out = metrics.multifractal(out, low)
-    out = out.withColumn("deltaH", F.col("H") - F.col("H_orig")).withColumn("delta_alpha_width", F.col("alpha_width") - F.col("alpha_width_orig"))
-    return out.select(*RESULT)
-
-
-def fixed_method(windows: DataFrame, name: str, size: int, retains: tuple[float, ...], low: int = 2, pool: bool = False) -> DataFrame:
-    """A fixed family at full depth: analysed once, thresholded for every share, put together and scored."""
-    levels = levels_of(size)
-    cut = compression.threshold_global if pool else compression.threshold_per_level
-    recon = idwt(cut(dwt(windows, name, levels, native=False), retains), name, levels, "kept_details", native=False)
-    return scored(recon, canonical(name), size, low)
-
-
-def bank_method(windows: DataFrame, size: int, retains: tuple[float, ...], levels: int = 5, filters: str | None = "filters", method: str = "learned", low: int = 2) -> DataFrame:
-    """A two-tap bank of `levels` levels; all its approximation coefficients stay."""
-    coefs = compression.threshold_per_level(two_tap_analyze(windows, levels, filters), retains)
-    return scored(two_tap_synthesize(coefs, levels, filters, "kept_details"), method, size, low)
 
 
-def run_window(windows: DataFrame, size: int, retains: tuple[float, ...] = compression.RETAINS, levels: int = 5, baselines: tuple[str, ...] = ("haar", *MANDATORY), schedule: tuple[training.Stage, ...] = training.PIPELINE_SCHEDULE) -> DataFrame:
-    """Learned bank and every baseline for each window and share, as a long table."""
-    base = with_originals(windows, size)
-    parts = [bank_method(training.train(base, levels, schedule), size, retains, levels)]
-    parts += [fixed_method(base, b, size, retains) for b in baselines]
-    return reduce(DataFrame.unionByName, parts)
+def run_window(windows: DataFrame, size: int, retains: tuple[float, ...] = compression.RETAINS, levels: int = 5, baselines: tuple[str, ...] = ("haar", *MANDATORY), schedule: tuple[training.Stage, ...] = training.PIPELINE_SCHEDULE, learned: bool = True) -> DataFrame:
+    """Learned bank and every baseline for each window and share, as a long table; windows are read and trained once."""
+    base = training.train(windows, levels, schedule) if learned else windows
+    return evaluated(base, size, (*([LEARNED] if learned else []), *baselines), retains, levels=levels)
 
 
 def run_window_sequential(windows: DataFrame, size: int, retains: tuple[float, ...], levels: int = 5, learned: bool = True) -> DataFrame:
     """One method only: the learned bank, or the same bank with Haar filters."""
-    base = with_originals(windows, size)
-    return bank_method(training.train(base, levels), size, retains, levels) if learned else bank_method(base, size, retains, levels, None, "haar_bank")
+    return run_window(windows, size, retains, levels, ()) if learned else evaluated(windows, size, (SHORT,), retains, levels=levels)
 
 
 def wide(results: DataFrame, values: tuple[str, ...] = ("psnr", "H", "deltaH", "alpha_width", "kept", "total"), methods: tuple[str, ...] = ("learned", "haar", *MANDATORY)) -> DataFrame:
@@ -103,11 +65,18 @@ def global_hurst_summary(t: DataFrame, size: int = 1024, low: int = 2) -> DataFr
     return fit.select("series_id", "H", cut(F.col("H") - metrics.Z95 * F.col("se_H")).alias("ci_low"), cut(F.col("H") + metrics.Z95 * F.col("se_H")).alias("ci_high"), "slope", "intercept", "se_H", "se_slope", "residual_variance", (F.col("num_levels") - 2).alias("dof"), "num_levels", "level_min", "level_max")
 
 
-def hurst_summary(values: DataFrame, value: str = "H", keys: list[str] | None = None) -> DataFrame:
-    """n, mean, std, standard error and normal interval of per-window exponents."""
-    out = values.where(F.col(value).isNotNull()).groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.avg(value).alias("h_mean"), F.stddev_samp(value).alias("h_std"))
+def hurst_summary(values: DataFrame, value: str = "H", keys: list[str] | None = None, levels: tuple[str, int] | None = None, n_boot: int = 0, block: int = 8, seed: int = 1) -> DataFrame:
+    """n, mean, std, standard error and normal interval of per-window exponents; with n_boot also the interval of a
+    block bootstrap (ci_boot_low, ci_boot_high). levels: a column of level numbers and the one to keep, rounded."""
+    keys = keys or []
+    values = values.where(F.bround(levels[0]) == levels[1]) if levels else values
+    out = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("h_mean"), F.stddev_samp(value).alias("h_std"))
     out = out.withColumn("se", F.col("h_std") / F.sqrt("n"))
-    return out.withColumn("ci_norm_low", F.col("h_mean") - 1.96 * F.col("se")).withColumn("ci_norm_high", F.col("h_mean") + 1.96 * F.col("se"))
+    out = out.withColumn("ci_norm_low", F.col("h_mean") - 1.96 * F.col("se")).withColumn("ci_norm_high", F.col("h_mean") + 1.96 * F.col("se"))
+    if not n_boot:
+        return out
+    boot = stats.block_bootstrap_ci(values, keys, value, "window_id", block, n_boot, seed).select(*keys, F.col("ci_low").alias("ci_boot_low"), F.col("ci_high").alias("ci_boot_high"))
+    return out.join(boot, keys) if keys else out.crossJoin(boot)  # one row each
 
 
 def multifractal_diag(spectra: DataFrame) -> DataFrame:
