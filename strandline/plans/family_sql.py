@@ -69,12 +69,16 @@ def synthesis(family: str, size: int, levels: int) -> str:
     return ",\n".join(parts)
 
 
-def results(families: dict[str, str], size: int, levels: int, eps: float, low: int | None = None) -> str:
-    """fr (method, window_id, retain, psnr, kept, total, H): methods by name and their families; `_pool` ends a name of one pool."""
+def results(families: dict[str, str], size: int, levels: int, eps: float, low: int | None = None, few: int = 5) -> str:
+    """fr (method, window_id, retain, psnr, kept, total, H): methods by name and their families; `_pool` ends a name of one
+    pool, and `learned` has the `few` levels of trained()'s bank."""
     parts, rows = [], []
     for method, family in families.items():
         f = ident(family)
-        parts += [analysis(family, size, levels), thresholds(family, method.endswith("_pool")), synthesis(family, size, levels)]
+        if method == "learned":  # of the filters in `bank`
+            parts.append(learned(size, few))
+        else:
+            parts += [analysis(family, size, levels), thresholds(family, method.endswith("_pool")), synthesis(family, size, levels)]
         psnr = f"(SELECT window_id, retain, CASE WHEN avg(power(y - x, 2)) >= {eps} AND max(abs(x)) > 0 THEN 10 * log10(power(max(abs(x)), 2) / avg(power(y - x, 2))) END AS psnr FROM {f}_y0 JOIN win USING (window_id) WHERE i = k GROUP BY ALL)"
         kept = f"(SELECT window_id, retain, CAST(count(*) FILTER (WHERE stays) AS INTEGER) AS kept, CAST(count(*) AS INTEGER) AS total FROM {f}_h GROUP BY ALL)"
         h = "(SELECT window_id, retain, CAST(NULL AS DOUBLE) AS H FROM " + f"{f}_y0 GROUP BY ALL)"
@@ -83,3 +87,51 @@ def results(families: dict[str, str], size: int, levels: int, eps: float, low: i
             h = f"(SELECT window_id, retain, CASE WHEN count(*) > 1 THEN (regr_slope(log2(e), level) + 1) / 2 END AS H FROM (SELECT window_id, retain, level, avg(d * d) AS e FROM ({d}) GROUP BY window_id, retain, level) WHERE e > 1e-28 GROUP BY window_id, retain)"
         rows.append(f"SELECT '{method}' AS method, window_id, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, psnr, kept, total, H FROM {psnr} JOIN {kept} USING (window_id, retain) LEFT JOIN {h} USING (window_id, retain)")
     return ",\n".join(parts) + ",\nfr AS (" + " UNION ALL ".join(rows) + ")\n"
+
+
+def trained(stages: tuple[tuple[int, float], ...], size: int, levels: int) -> str:
+    """bank0, bank1, ... (window_id, level, it, loss, h0, h1, g0, g1 and Adam's moments): one recursion for each stage of
+    (iterations, learning rate), from Haar filters; `bank` is the last stage's end. loss is that before the update.
+
+    The bank stays a reflection at every level: steps are too small to change the sign of a determinant.
+    """
+    m, r = size - (size >> levels), 0.5**0.5
+    zero = "0e0 AS m0, 0e0 AS m1, 0e0 AS v0, 0e0 AS v1"
+    start = f"SELECT window_id, level, 0 AS it, CAST(NULL AS DOUBLE) AS loss, {r!r}e0 AS h0, {r!r}e0 AS h1, {r!r}e0 AS g0, -{r!r}e0 AS g1, {zero} FROM (SELECT DISTINCT window_id FROM win), (SELECT unnest(range(1, {levels + 1})) AS level)"
+    parts = []
+    for s, (iterations, lr) in enumerate(stages):
+        inner, source = [], "(SELECT window_id, i AS k, x AS a FROM win)"
+        for j in range(1, levels + 1):
+            both = ", ".join(f"sum(a * CASE k % 2 WHEN 0 THEN {f}0 ELSE {f}1 END) AS {n}" for f, n in (("h", "a"), ("g", "d")))
+            inner.append(f"c{j} AS MATERIALIZED (SELECT window_id, k // 2 AS k, {both} FROM {source} JOIN bank{s} USING (window_id) WHERE level = {j} GROUP BY window_id, k // 2)")
+            source = f"c{j}"
+        inner.append(f"e{levels} AS MATERIALIZED (SELECT *, 0e0 AS back FROM c{levels})")
+        for j in range(levels - 1, 0, -1):
+            back = f"CASE c.k % 2 WHEN 0 THEN e.back * h0 + sign(e.d) / {m} * g0 ELSE e.back * h1 + sign(e.d) / {m} * g1 END"
+            inner.append(f"e{j} AS MATERIALIZED (SELECT c.*, {back} AS back FROM c{j} c JOIN e{j + 1} e ON e.window_id = c.window_id AND e.k = c.k // 2 JOIN bank{s} b ON b.window_id = c.window_id AND b.level = {j + 1})")
+        turns = " UNION ALL ".join(f"SELECT window_id, {j} AS level, sum(back * d) - sum(sign(d) * a) / {m} AS slope, sum(abs(d)) / {m} AS part FROM e{j} GROUP BY window_id" for j in range(1, levels + 1))
+        moments = ", ".join(f"0.9 * m{c} + 0.1 * slope * g{c} AS m{c}, 0.999 * v{c} + 0.001 * power(slope * g{c}, 2) AS v{c}" for c in (0, 1))
+        moved = ", ".join(f"h{c} - {lr} * (m{c} / (1 - power(0.9, it))) / (sqrt(v{c} / (1 - power(0.999, it))) + 1e-8) AS n{c}" for c in (0, 1))
+        step = f"SELECT window_id, level, it + 1 AS it, sum(part) OVER (PARTITION BY window_id) AS loss, h0, h1, g0, g1, {moments} FROM bank{s} JOIN ({turns}) USING (window_id, level) WHERE it < {iterations}"
+        step = f"SELECT *, n0 - g1 AS p, n1 + g0 AS q FROM (SELECT *, {moved} FROM ({step}))"
+        step = f"SELECT window_id, level, it, loss, p / s, q / s, q / s, -p / s, m0, m1, v0, v1 FROM (SELECT *, sqrt(p * p + q * q) AS s FROM ({step}))"
+        parts.append(f"bank{s} AS ({start} UNION ALL (WITH {', '.join(inner)} {step}))")
+        start = f"SELECT window_id, level, 0 AS it, loss, h0, h1, g0, g1, {zero} FROM bank{s} WHERE it = {iterations}"
+    parts.append(f"bank AS MATERIALIZED (SELECT * FROM bank{len(stages) - 1} WHERE it = {stages[-1][0]})")
+    return ",\n".join(parts)
+
+
+def learned(size: int, levels: int) -> str:
+    """f_learned_c1 ..., f_learned_d, _h and _y0 of the filters in `bank`, as analysis, thresholds and synthesis give them."""
+    parts, source = [], "(SELECT window_id, i AS k, x AS a FROM win)"
+    for j in range(1, levels + 1):
+        both = ", ".join(f"sum(a * CASE k % 2 WHEN 0 THEN {f}0 ELSE {f}1 END) AS {n}" for f, n in (("h", "a"), ("g", "d")))
+        parts.append(f"f_learned_c{j} AS MATERIALIZED (SELECT window_id, k // 2 AS k, {both} FROM {source} JOIN bank USING (window_id) WHERE level = {j} GROUP BY window_id, k // 2)")
+        source = f"f_learned_c{j}"
+    parts.append(f"f_learned_d AS MATERIALIZED ({' UNION ALL '.join(f'SELECT window_id, {j} AS level, k, d FROM f_learned_c{j}' for j in range(1, levels + 1))})")
+    parts.append(thresholds("learned", False))
+    parts.append(f"f_learned_y{levels} AS MATERIALIZED (SELECT window_id, retain, k, a AS y FROM f_learned_c{levels}, ret)")
+    for j in range(levels, 0, -1):
+        made = f"SELECT y.window_id, y.retain, 2 * y.k + o AS k, CASE o WHEN 0 THEN h0 * y.y + g0 * h.d ELSE h1 * y.y + g1 * h.d END AS y FROM f_learned_y{j} y JOIN f_learned_h h ON y.window_id = h.window_id AND y.retain = h.retain AND y.k = h.k AND h.level = {j} JOIN bank b ON b.window_id = y.window_id AND b.level = {j}, (SELECT unnest([0, 1]) AS o)"
+        parts.append(f"f_learned_y{j - 1} AS MATERIALIZED ({made})")
+    return ",\n".join(parts)

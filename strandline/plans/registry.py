@@ -53,7 +53,7 @@ def retain_list(retains: tuple[float, ...]) -> str:
 
 
 HAAR_SIGN = "CASE WHEN (i >> (level - 1)) % 2 = 0 THEN {x} ELSE -({x}) END"
-BASE = f"""WITH tr AS (SELECT event_id AS pos, value FROM events),
+BASE = f"""WITH RECURSIVE tr AS (SELECT event_id AS pos, value FROM events),
 dy AS (SELECT count(*) AS n, CAST(1 AS BIGINT) << (length(bin(count(*))) - 1) AS n2 FROM tr),
 cut AS (SELECT pos, value FROM tr, dy WHERE pos < n2),
 raw AS (SELECT CAST(pos // {SIZE} + 1 AS INTEGER) AS window_id, pos % {SIZE} AS i, value FROM cut, dy WHERE pos // {SIZE} < n2 // {SIZE}),
@@ -736,7 +736,14 @@ def _(spark, sf_dir):
 # Training
 
 
-@query("optimize_wavelet_sparsity")
+def stages_of(schedule: tuple[training.Stage, ...]) -> str:
+    return ", " + family_sql.trained(tuple((s.iterations, s.lr) for s in schedule), SIZE, BANK) + "\n"
+
+
+PIPELINE = stages_of(training.PIPELINE_SCHEDULE)
+
+
+@query("optimize_wavelet_sparsity", PIPELINE + f"SELECT window_id, {r6('any_value(loss) AS loss')}, CAST({sum(s.iterations for s in training.PIPELINE_SCHEDULE)} AS INTEGER) AS iterations_used, CAST(NULL AS VARCHAR) AS error FROM bank GROUP BY window_id")
 def _(spark, sf_dir):
     return tidy(training.train(windows(spark, sf_dir), BANK), "window_id", "loss", "iterations_used", "error")
 
@@ -746,21 +753,87 @@ def _(spark, sf_dir):
     return tidy(training.training_history(training.train(windows(spark, sf_dir), BANK, training.DEFAULT_SCHEDULE)))
 
 
+@query("training_history", PIPELINE + "SELECT 'all' AS series_id, window_id, CAST(stage AS INTEGER) AS stage, CAST(iterations AS INTEGER) AS iterations, CAST(lr AS DOUBLE) AS lr, round(loss, 6) + 0.0 AS loss FROM (" + " UNION ALL ".join(f"SELECT window_id, {i + 1} AS stage, {sum(t.iterations for t in training.PIPELINE_SCHEDULE[: i + 1])} AS iterations, {s.lr} AS lr, any_value(loss) AS loss FROM bank{i} WHERE it = {s.iterations} GROUP BY window_id" for i, s in enumerate(training.PIPELINE_SCHEDULE)) + ")")
+def _(spark, sf_dir):
+    """Loss at the end of each stage of the pipeline's schedule."""
+    return tidy(training.training_history(training.train(windows(spark, sf_dir), BANK)))
+
+
 @query("learn_wavelet_filters")
 def _(spark, sf_dir):
     return tidy(training.model_table(training.train(windows(spark, sf_dir), BANK)), "window_id", "level", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"), "theta", "det")
 
 
+#: A schedule short enough for six equal places of the filters; over hundreds of steps signs of the last bits add up.
+QUICK = (training.Stage(20, 5e-3, "haar"), training.Stage(10, 2.5e-3))
+TRIO = {"learned": "learned", "haar": "haar", "db4": "db4"}
+LEARNED_SQL = stages_of(QUICK) + ", " + family_sql.results(TRIO, SIZE, LEVELS, series.EPS, 2, BANK)
+
+
+def learned_results(spark: SparkSession, sf_dir: str, *measures: str) -> DataFrame:
+    """The learned bank beside Haar and db4, trained by the short schedule."""
+    return evaluated(training.train(windows(spark, sf_dir), BANK, QUICK), SIZE, tuple(TRIO), RETAINS, levels=BANK, measures=measures or ("psnr",))
+
+
+@query("learn_wavelet_filters_quick", stages_of(QUICK) + f"SELECT window_id, CAST(level AS INTEGER) AS level, {r6('h0', 'h1', 'g0', 'g1', 'atan2(h1, h0) AS theta', 'sign(h0 * g1 - h1 * g0) AS det')} FROM bank")
+def _(spark, sf_dir):
+    model = training.model_table(training.train(windows(spark, sf_dir), BANK, QUICK))
+    return tidy(model, "window_id", "level", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"), "theta", "det")
+
+
+@query("run_window_learned", LEARNED_SQL + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'fr.H AS H', 'fr.H - hw.H AS deltaH')} FROM fr JOIN hw USING (window_id)")
+def _(spark, sf_dir):
+    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, ("haar", "db4"), QUICK)
+    return tidy(r, "method", "window_id", "retain_ppm", "kept", "total", "psnr", "H", "deltaH")
+
+
+@query("merge_wide_learned", LEARNED_SQL + f"SELECT window_id, retain_ppm, {r6(*(f'max(psnr) FILTER (WHERE method = $${m}$$) AS psnr_{m}' for m in TRIO))} FROM fr GROUP BY window_id, retain_ppm")
+def _(spark, sf_dir):
+    return tidy(stats.merge_wide(learned_results(spark, sf_dir), tuple(TRIO)))
+
+
+@query("paired_gain_learned", LEARNED_SQL + f"SELECT retain_ppm, n, {r6('m AS mean', 's AS std', f'm - {Z} * s / sqrt(n) AS ci_low', f'm + {Z} * s / sqrt(n) AS ci_high')} FROM (SELECT retain_ppm, count(*) AS n, avg(a.psnr - b.psnr) AS m, coalesce(stddev_samp(a.psnr - b.psnr), 0) AS s FROM fr a JOIN fr b USING (window_id, retain_ppm) WHERE a.method = 'learned' AND b.method = 'db4' AND a.psnr - b.psnr IS NOT NULL GROUP BY retain_ppm)")
+def _(spark, sf_dir):
+    return tidy(reports.paired_gain(learned_results(spark, sf_dir), "learned", "db4"))
+
+
+@query("robustness_corr_learned", LEARNED_SQL + f"""SELECT b.method AS baseline, metric, a.retain_ppm, {r6('corr(a.psnr - b.psnr, v) AS r', 'regr_slope(a.psnr - b.psnr, v) AS slope', 'regr_intercept(a.psnr - b.psnr, v) AS intercept')}, count(*) AS n
+FROM fr a JOIN fr b USING (window_id, retain_ppm) JOIN (SELECT window_id, 'H' AS metric, H AS v FROM hw UNION ALL SELECT window_id, 'alpha_width', alpha_width FROM mf) USING (window_id) WHERE a.method = 'learned' AND b.method IN ('haar', 'db4') GROUP BY ALL""")
+def _(spark, sf_dir):
+    r = learned_results(spark, sf_dir, "psnr", "H_orig", "width_orig")
+    return tidy(reports.robustness(r, "learned", ("haar", "db4"), {"H_orig": "H", "width_orig": "alpha_width"}))
+
+
+POLAR_SQL = """SELECT window_id, {cols} FROM (SELECT *, sqrt(t + 2 * e) AS z FROM (SELECT *, a * a + b * b + c * c + d * d AS t, abs(a * d - b * c) AS e FROM (
+  SELECT window_id, max(CASE i WHEN 0 THEN x END) AS a, max(CASE i WHEN 1 THEN x END) AS b, max(CASE i WHEN 2 THEN x END) AS c, max(CASE i WHEN 3 THEN x END) AS d FROM win WHERE i < 4 GROUP BY window_id)))"""
+
+
+@query("isometry_project", POLAR_SQL.format(cols=r6(*(f"(({u} * ({q2}) - {v} * (a * b + c * d))) / (z * e) AS {n}" for n, u, v, q2 in (("w00", "a", "b", "b * b + d * d + e"), ("w01", "b", "a", "a * a + c * c + e"), ("w10", "c", "d", "b * b + d * d + e"), ("w11", "d", "c", "a * a + c * c + e"))))))
+def _(spark, sf_dir):
+    """The nearest isometry of each window's first four samples as a block; SQL inverts the root of A^T A."""
+
+    def run(b):
+        blocks = [training.isometry_project(np.array(x[:4]).reshape(2, 2)).ravel() for x in b.column("x").to_pylist()]
+        return {"w": lists(np.array(blocks).reshape(-1, 4))}
+
+    w = add_columns(windows(spark, sf_dir).select("window_id", "x"), {"w": REALS}, run)
+    return tidy(w, "window_id", *(F.get("w", i).alias(n) for i, n in enumerate(("w00", "w01", "w10", "w11"))))
+
+
 @query("init_random_tensors")
 def _(spark, sf_dir):
     schedule = (training.Stage(0, init="random"),)
     return tidy(training.model_table(training.train(windows(spark, sf_dir), BANK, schedule, 4, 4)), "window_id", "level", "theta", "det")
 
 
-@query("grid_search_mse")
+GRID_SETS = ((0.1, 0.4), (0.01, 0.05))
+
+
+@query("grid_search_mse", ", " + family_sql.trained(((25, 5e-3),), SIZE, BANK) + f", ret2 AS ({retain_list(sum(GRID_SETS, ()))}),\n" + family_sql.results({"learned": "learned"}, SIZE, LEVELS, series.EPS, None, BANK).replace(", ret)", ", ret2)")
+       + f"SELECT CAST(CASE WHEN retain_ppm >= 100000 THEN 1 ELSE 2 END AS INTEGER) AS retain_set, mse_weight, retain_ppm, {r6('avg(psnr) AS psnr')}, count(*) AS n FROM fr, (SELECT unnest(CAST([0, 0.1, 1] AS DOUBLE[])) AS mse_weight) GROUP BY ALL")
 def _(spark, sf_dir):
     evaluate = lambda t, r: evaluated(t, SIZE, ("learned",), r, levels=BANK, measures=("psnr",))
-    found = training.grid_search(windows(spark, sf_dir), (0.0, 0.1, 1.0), ((0.1, 0.4), (0.01, 0.05)), evaluate, BANK, (training.Stage(25, 5e-3, "haar"),))
+    found = training.grid_search(windows(spark, sf_dir), (0.0, 0.1, 1.0), GRID_SETS, evaluate, BANK, (training.Stage(25, 5e-3, "haar"),))
     return tidy(found.groupBy("retain_set", "mse_weight", "retain_ppm").agg(F.avg("psnr").alias("psnr"), F.count("*").alias("n")))
 
 
