@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import Z95
@@ -78,6 +78,34 @@ def summary(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs, F.count("*").alias("rows"))
 
 
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], parts: int = 256) -> DataFrame:
+    """One row with the exact quantiles of value by name, between ranks by proportion; null without values. Nulls are left out.
+
+    Approximate quantiles part the values into at most `parts` ranges, whose counts tell in which range each rank lies;
+    only these ranges are sorted, each in a task of its own and equal values as one row.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).persist()
+    cuts = rows.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())  # a row for each range
+    n = sum(c for _, c in counts)
+
+    def place(rank: int) -> tuple[int, int]:
+        """The range that holds a rank (from 0), and the rank in it from 1."""
+        for p, c in counts:
+            if rank < c:
+                return p, rank + 1
+            rank -= c
+        return -1, 0
+
+    ends = {name: [place(math.floor(q * (n - 1))), place(math.ceil(q * (n - 1)))] for name, q in wanted.items()}
+    used = rows.withColumn("p", part).where(F.col("p").isin(sorted({p for e in ends.values() for p, _ in e}))).groupBy("p", "v").agg(F.count("*").alias("c"))
+    upto = used.withColumn("r", F.sum("c").over(Window.partitionBy("p").orderBy("v")))
+    at = lambda p, r: F.max(F.when((F.col("p") == p) & (F.col("r") >= r) & (F.col("r") - F.col("c") < r), F.col("v")))
+    share = lambda q: q * (n - 1) - math.floor(q * (n - 1))
+    return upto.agg(*((at(*lo) + (at(*hi) - at(*lo)) * share(wanted[name])).alias(name) for name, (lo, hi) in ends.items()))
+
+
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson's r of pairs without nulls; null below three pairs or without variance."""
     sx, sy = F.regr_sxx(y, x), F.regr_syy(y, x)

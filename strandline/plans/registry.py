@@ -573,8 +573,7 @@ def _(spark, sf_dir):
 @query("describe_metrics", f"SELECT {r6('min(H) AS h_min', 'quantile_cont(H, 0.25) AS h_q25', 'quantile_cont(H, 0.5) AS h_median', 'quantile_cont(H, 0.75) AS h_q75', 'max(H) AS h_max')} FROM hw")
 def _(spark, sf_dir):
     h = metrics.hurst_wavelet(haar(spark, sf_dir))
-    quantile = lambda q: F.expr(f"percentile(H, {q})")
-    return tidy(h.agg(F.min("H").alias("h_min"), quantile(0.25).alias("h_q25"), quantile(0.5).alias("h_median"), quantile(0.75).alias("h_q75"), F.max("H").alias("h_max")))
+    return tidy(stats.quantiles(h, "H", {"h_min": 0.0, "h_q25": 0.25, "h_median": 0.5, "h_q75": 0.75, "h_max": 1.0}))
 
 
 @query("pearson", f"SELECT retain_ppm, {r6('corr(psnr, hw.H) AS r')}, count(*) AS n FROM res JOIN hw USING (window_id) WHERE method = 'haar' AND psnr IS NOT NULL GROUP BY retain_ppm")

@@ -159,6 +159,15 @@ def test_bootstrap_intervals(spark):
         assert got["b"]["ci_low"] == got["b"]["ci_high"] == 1.5
 
 
+def test_quantiles_are_exact(spark):
+    v = [float(x) for x in np.random.default_rng(2).integers(0, 40, 500)] + [7.0] * 300 + [1e6]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+    wanted = {"a": 0.0, "b": 0.013, "c": 0.25, "d": 0.5, "e": 0.9991, "f": 1.0}
+    for values, rows in ((v, df), ([3.5], df.where("v is null").unionByName(spark.createDataFrame([(3.5,)], "v double")))):
+        assert list(stats.quantiles(rows, "v", wanted, 16).first()) == pytest.approx([np.quantile(values, q) for q in wanted.values()])
+    assert list(stats.quantiles(df.where("v is null"), "v", wanted).first()) == [None] * 6
+
+
 def test_scan_trace(spark, tmp_path):
     from strandline.sources.tables import newest_file, scan_trace
 
