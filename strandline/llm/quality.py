@@ -126,5 +126,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, seed: int
 
 
 def query(docs: DataFrame, labels: DataFrame, keep: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; a null doc_id is not held out. Otherwise as score()."""
     found = score(docs, labels)
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
