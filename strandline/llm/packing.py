@@ -2,9 +2,9 @@
 
 A document's full windows are cut off first; what remains of it goes, whole, into the fill level that keeps the sum
 of squared level counts smallest. The counts of partially filled windows by level stand in one array, so a choice
-reads two slices of it. When a block of documents ends, the windows still open are filled up by cutting: their
-pieces, largest windows first, flow into full windows, and what is left over at the very end goes out in windows
-whose lengths are powers of two, which need no padding.
+reads two slices of it. When a partition ends, or before it does if its open windows outgrow their memory, the windows
+still open are filled up by cutting: their pieces, largest windows first, flow into full windows, and what is left over
+at the very end goes out in windows whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -99,13 +99,18 @@ class Ids:
         return b"".join([get(c) or chunk(c) for c in lower.split()]) + self.end
 
 
+#: About what a piece takes up in Python besides its token ids, in bytes.
+PIECE = 256
+
+
 class Packer:
-    """Packs documents of one block. Piece: (document, start, length, crc32, document's tokens, window, offset)."""
+    """Packs documents of one partition. Piece: (document, start, length, crc32, document's tokens, window, offset)."""
 
     def __init__(self, size: int, first: int):
         self.size, self.next, self.out = size, first, []
         self.counts = np.zeros(size + 1, np.int64)  # of open windows by fill level; level 0 and size stay 0
         self.open: list[list[list]] = [[] for _ in range(size)]  # by level: windows as lists of pieces
+        self.held = 0  # bytes of the pieces in open windows
 
     def emit(self, pieces: Iterable[tuple]) -> None:
         at = 0
@@ -138,8 +143,10 @@ class Packer:
             window = self.open[best].pop()
             counts[best] -= 1
         window.append(piece)
+        self.held += n * 4 + PIECE
         if best + n == size:
             self.emit(window)
+            self.held -= size * 4 + len(window) * PIECE
         else:
             self.open[best + n].append(window)
             counts[best + n] += 1
@@ -181,7 +188,7 @@ class Packer:
             self.emit(window)
             rest = after
         self.counts[:] = 0
-        self.open = [[] for _ in range(self.size)]
+        self.open, self.held = [[] for _ in range(self.size)], 0
         out, self.out = self.out, []
         return out
 
@@ -194,12 +201,14 @@ def ids_of(path: str, end: int) -> Ids:
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2, block: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2, most: int = 64 << 20) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    One pass, no shuffle: each partition is packed where it is read, in blocks of at most `block` documents, and the
-    token ids never leave the worker. sequence_id joins the partition's number and a count, so it is unique. The
-    rows of a partition must come in the same order when a lost task runs again, as they do from a table.
+    One pass, no shuffle: each partition is packed where it is read, and the token ids never leave the worker. Windows
+    stay open to the partition's end, or until they hold more than `most` bytes (as many documents of equal length make
+    them do, if no two fit together); then all are filled up by cutting. sequence_id joins the partition's number and a
+    count, so it is unique. The rows of a partition must come in the same order when a lost task runs again, as they do
+    from a table.
 
     A null text counts as empty: one piece that holds only the end id. Rows with a null or repeated doc_id are packed
     like others. An empty table gives no piece. Extra columns are not used. Very long texts are cut into full windows.
@@ -207,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2, block:
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer, n = ids_of(tokenizer, end), Packer(size, TaskContext.get().partitionId() << 40), 0
+        ids, packer = ids_of(tokenizer, end), Packer(size, TaskContext.get().partitionId() << 40)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = zip(*rows) if rows else [()] * len(COLUMNS)
@@ -216,10 +225,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2, block:
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 packer.add(doc, ids(text))
-                n += 1
-                if n == block:
+                if packer.held > most:
                     yield batch(packer.finish())
-                    n = 0
             if len(packer.out) > 10_000:
                 rows, packer.out = packer.out, []
                 yield batch(rows)

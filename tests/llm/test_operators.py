@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,6 +136,47 @@ def test_sum_of_squares_choice():
     assert p.next == 1 and p.counts.tolist() == [0, 0, 0, 0, 0, 1, 0, 0, 0]
 
 
+def test_placement_equals_trying_every_level():
+    r, size = random.Random(5), 24
+    p, counts = packing.Packer(size, 0), [0] * (size + 1)
+    for doc in range(600):
+        n = r.choice((r.randrange(1, size + 1), 13, 7))
+        tried = []
+        for level in range(size - n + 1):  # 0 opens a window; a full one leaves the sum
+            after = counts.copy()
+            if level and not after[level]:
+                continue
+            after[level] -= level > 0
+            after[level + n] += level + n < size
+            tried.append((sum(c * c for c in after), -level, after))
+        p.add(doc, bytes(4 * n))
+        counts = min(tried)[2] if n < size else counts
+        assert p.counts.tolist() == counts
+        assert [len(w) for w in p.open] == counts[:size]
+        assert p.held == sum(len(x[2]) + packing.PIECE for level in p.open for w in level for x in w)
+    p.finish()
+    assert p.held == 0 and not p.counts.any()
+
+
+def test_packing_in_little_memory(docs):
+    """Open windows that outgrow their memory are closed on the way; no token is lost or doubled."""
+    at = {}
+    for most in (0, 5_000, 64 << 20):
+        found = packing.pack(docs, tokenizer_path(), most=most).collect()
+        at[most] = Counter()
+        for r in found:
+            at[most][r["doc_id"]] += r["length"]
+        spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in found)
+        for (w, o, n), (v, q, _) in zip(spans, spans[1:]):
+            assert q == (o + n if w == v else 0)
+        assert all(o + n <= 4096 for _, o, n in spans)
+    assert at[0] == at[5_000] == at[64 << 20]
+
+
+def test_packing_an_empty_table(empty):
+    assert packing.pack(empty, tokenizer_path()).collect() == []
+
+
 def check_spans(text):
     return sorted((s, e, k) for s, e, k in pii.find(text, pii.anchors()) if k in pii.BASE)
 
