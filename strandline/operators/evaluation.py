@@ -8,6 +8,7 @@ read once, and a task works through methods and shares for all windows of an Arr
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,8 @@ def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains:
     """method, series_id, window_id, retain, retain_ppm, kept, total and the measures asked for, for every window,
     method and share; one map over the windows (series_id, window_id, x, and filters for the learned method).
 
-    Only what the measures need is computed; H and spectrum of the original stand in H_orig and width_orig if asked for.
+    Only what the measures need is computed; H and spectrum of the original stand in H_orig and width_orig if asked for,
+    and the time a result took in `seconds`, shared equally by the windows that are worked on at once.
     What cannot be estimated is null.
     """
     names = [m if m in (LEARNED, SHORT) else canonical(m.removesuffix(POOL)) + m[len(m.removesuffix(POOL)) :] for m in methods]
@@ -126,6 +128,7 @@ def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains:
             sizes = [d.shape[1] for d in details]
             places = [ranks(np.concatenate(details, axis=1))] if pool else [ranks(d) for d in details]
             for r in retains:
+                began = time.perf_counter()
                 keep = budgets(sizes, r, pool)
                 stay = [p < k for p, k in zip(places, keep)]
                 if pool:
@@ -138,6 +141,8 @@ def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains:
                     found |= {"H_orig": before["H"], "deltaH": found["H"] - before["H"]}
                     if spectrum:
                         found |= {"width_orig": before["alpha_width"], "delta_alpha_width": found["alpha_width"] - before["alpha_width"]}
+                if "seconds" in measures:
+                    found["seconds"] = np.full(n, (time.perf_counter() - began) / n)
                 same = lambda v, t: pa.array([v] * n, t)
                 whole = [same(v, pa.int32()) for v in (int(np.round(r * 1e6)), sum(keep), sum(sizes))]
                 yield pa.RecordBatch.from_arrays([b.column("series_id"), b.column("window_id"), same(name, pa.string()), same(float(r), pa.float64()), *whole, *(pa.array(found[m], pa.float64(), mask=~np.isfinite(found[m])) for m in measures)], names=schema.fieldNames())

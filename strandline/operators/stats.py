@@ -72,6 +72,15 @@ def confidence_margin(n: Column, std: Column) -> Column:
     return F.when(n >= 30, 1.959964 * std / F.sqrt(n)).when(n >= 2, t * std / F.sqrt(n))
 
 
+def window_time(df: DataFrame, window: str = "window_id", seconds: str = "seconds") -> DataFrame:
+    """windows and mean_seconds: the longest time of each window over its methods and shares, then the mean of these.
+
+    Windows without any time count, but not in the mean, which is null without times.
+    """
+    longest = df.groupBy(window).agg(F.max(seconds).alias("_s"))
+    return longest.agg(F.count("*").alias("windows"), F.avg("_s").alias("mean_seconds"))
+
+
 def summary(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """keys, mean and std of each value, and rows."""
     aggs = [f(v).alias(f"{v}_{s}") for v in values for f, s in ((F.avg, "mean"), (F.stddev_samp, "std"))]

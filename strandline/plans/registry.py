@@ -533,8 +533,13 @@ def _(spark, sf_dir):
 @query("window_time", f"SELECT count(*) AS windows, {r6('avg(s) AS mean_seconds')} FROM (SELECT user_id, max(value) AS s FROM events GROUP BY user_id)")
 def _(spark, sf_dir):
     """Mean over users of the longest event: the largest by key, then the mean."""
-    longest = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("s"))
-    return tidy(longest.agg(F.count("*").alias("windows"), F.avg("s").alias("mean_seconds")))
+    return tidy(stats.window_time(table(spark, sf_dir, "events"), "user_id", "value"))
+
+
+@query("window_time_measured")
+def _(spark, sf_dir):
+    """What a window took at most over three methods and all shares, on the mean. A time differs from run to run: no SQL."""
+    return stats.window_time(results(spark, sf_dir, "psnr", "seconds"))
 
 
 @query("psnr_by_wavelet_retain", f"SELECT method, retain_ppm, {r6('avg(psnr) AS psnr_mean', 'stddev_samp(psnr) AS psnr_std')}, count(*) AS rows FROM res GROUP BY ALL")

@@ -199,6 +199,12 @@ def test_streamed_windows_equal_batch(spark, data, tmp_path):
         q.stop()
         assert done
         assert spark.read.schema(stream.schema).parquet(found).count() == (0 if part.endswith("= 0") else 5)
+    late = t.where("pos < 128").unionByName(t.where("pos = 3").withColumn("pos", F.lit(-3).cast("long")))
+    late.write.mode("append").parquet(str(tmp_path / "in"))  # copies of two windows that went out, and no window's sample
+    q = stream.writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    done, states = q.awaitTermination(120), [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    q.stop()
+    assert done and states[-1] == 6 and spark.read.schema(stream.schema).parquet(found).count() == 5
     batch = {r["window_id"]: r["x"] for r in series.window_series(t, 64).collect()}
     assert {r["window_id"]: r["x"] for r in spark.read.parquet(found).collect()} == batch
 
@@ -220,6 +226,20 @@ def test_incomplete_windows_time_out(spark, tmp_path):
     assert dropped and {r["window_id"] for r in spark.sql("select * from timed").collect()} == {1, 2}
 
 
+def test_window_times(spark, data):
+    from strandline.operators.evaluation import evaluated
+
+    t = spark.createDataFrame([(1, 2.0), (1, 5.0), (2, 1.0), (3, None)], "window_id int, seconds double")
+    assert stats.window_time(t).collect() == [(3, 3.0)]
+    assert stats.window_time(t.where("false")).collect() == [(0, None)]
+    found = evaluated(registry.windows(spark, data, 64), 64, ("haar", "db4"), (0.1, 0.4), measures=("seconds",)).cache()
+    times = [r["seconds"] for r in found.collect()]
+    assert times and all(0 < s < 60 for s in times)
+    measured = stats.window_time(found).first()
+    assert measured["windows"] == len(times) // 4 and min(times) <= measured["mean_seconds"] <= max(times)
+    assert registry.QUERIES["window_time_measured"](spark, data).first()["windows"] == 0  # too short for its windows
+
+
 def test_evaluation_equals_the_operators(spark):
     from strandline.operators.evaluation import evaluated
 
