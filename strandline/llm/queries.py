@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, pii, quality, simhash, substrings, toxicity, warc, winnowing
+from . import media, mixing, packing, pii, quality, simhash, spelling, substrings, toxicity, warc, winnowing
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=0.6, max_epochs=2, seed=7)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
@@ -80,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.sql(share=0.6, max_epochs=2, seed=7)}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.sql(share=0.6, max_epochs=2, seed=7), "op11_spelling": spelling.sql()}
