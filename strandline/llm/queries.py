@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, media, mixing, packing, pii, quality, simhash, spelling, substrings, toxicity, warc, winnowing
+from . import divergence, media, mixing, packing, pii, quality, simhash, spelling, substrings, token_files, toxicity, warc, winnowing
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.query(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_files.query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
     "op11_spelling": op11_spelling,
+    "op12_token_files": op12_token_files,
     "op13_divergence": op13_divergence,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.sql(share=0.6, max_epochs=2, seed=7), "op11_spelling": spelling.sql(), "op13_divergence": divergence.sql()}
