@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,10 @@ def with_arrow_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict[str,
     Map-only, in the partitions that df has. The other columns pass through untouched.
     """
     small_batches(df.sparkSession)
+    names = df.columns
+    plain = [f"_{i}_{n.replace('.', '_').replace('`', '_')}" if "." in n or "`" in n else n for i, n in enumerate(names)]
+    df = df.toDF(*plain) if plain != names else df  # Spark's Arrow functions don't take such names
+    shown = dict(zip(plain, names))
     schema = T.StructType([f for f in df.schema.fields if f.name not in kinds])
     for name, kind in kinds.items():
         schema = schema.add(T.StructType.fromDDL(f"`{name}` {kind}").fields[0])
@@ -116,7 +120,8 @@ def with_arrow_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict[str,
             made = run(b)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(made[k] for k in kinds)], names=[*kept, *kinds])
 
-    return df.mapInArrow(each, schema)
+    out = df.mapInArrow(each, schema)
+    return out.toDF(*(shown.get(n, n) for n in schema.fieldNames())) if plain != names else out
 
 
 def ship(spark: SparkSession) -> None:
@@ -127,6 +132,22 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it from being that of a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column of df by its name, whatever signs that has."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def whole_text(name: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -124,7 +124,7 @@ def chunk_store(docs: DataFrame, level: int = 15) -> tuple[DataFrame, bytes]:
 
 
 def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
-    """media, data of every medium in recipes (media, digests), verified by the medium's digest.
+    """media, data of every medium in recipes (media, digests), each chunk and then the whole verified by digest.
 
     The head of a WAV follows from the size of its samples and is put in front of the chunks. A chunk goes straight to
     its owner; only references to other media's chunks are joined with the chunks that have several references.
@@ -132,8 +132,8 @@ def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
     recipes = recipes.dropDuplicates(["media"])
     places = recipes.select("media", F.posexplode("digests").alias("seq", "digest"))
     shared = store.where("refs > 1").select("digest", F.col("media").alias("_m"), F.col("seq").alias("_s"), "z")
-    others = places.join(shared, "digest").where("not (media = _m and seq = _s)").select("media", "seq", "z")
-    parts = store.select("media", "seq", "z").unionByName(others)
+    others = places.join(shared, "digest").where("not (media = _m and seq = _s)").select("media", "seq", "digest", "z")
+    parts = store.select("media", "seq", "digest", "z").unionByName(others)
     small_batches(store.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
 
         media, got, done, size = None, [], [], 0
         for b in batches:
-            for m, z in zip(b.column("media").to_pylist(), b.column("z").to_pylist()):
+            for m, d, z in zip(*(b.column(c).to_pylist() for c in ("media", "digest", "z"))):
                 if m != media:
                     if media is not None:
                         done.append((media, one(media, got)))
@@ -160,6 +160,8 @@ def read(store: DataFrame, raw: bytes, recipes: DataFrame) -> DataFrame:
                             done, size = [], 0
                     media, got = m, []
                 got.append(unpack.decompress(z))
+                if key(got[-1]) != d:
+                    raise ValueError(f"chunk {d.hex()} isn't what its digest says")
         if media is not None:
             done.append((media, one(media, got)))
         yield batch(done)

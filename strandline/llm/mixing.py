@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, stored, whole_text
+from .common import WORD, columns_of, stored, whole_text
 
 #: Hexadecimal digits of a document's place that name its slice of a leaf: 16 ** 3 slices, each summed on its own.
 SLICE = 3
@@ -106,7 +106,7 @@ def mix_documents(docs: DataFrame, share: float = 0.8, seed: int = 7, weights: d
     """
     taken = mix(docs, share, 1, seed, weights, "_digest").select(F.col("doc_id").alias("_taken"), "_digest").distinct()
     same = docs["doc_id"].eqNullSafe(taken["_taken"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == taken["_digest"])
-    return docs.join(taken, same, "left_semi").select(docs.columns)
+    return docs.join(taken, same, "left_semi").select(columns_of(docs))
 
 
 def sql(share: float = 0.6, max_epochs: int = 2, seed: int = 7, weights: dict[str, dict[str, int]] = WEIGHTS) -> str:

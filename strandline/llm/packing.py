@@ -111,6 +111,7 @@ class Packer:
         self.counts = np.zeros(size + 1, np.int64)  # of open windows by fill level; level 0 and size stay 0
         self.open: list[list[list]] = [[] for _ in range(size)]  # by level: windows as lists of pieces
         self.held = 0  # bytes of the pieces in open windows
+        self.moved = 0  # ids that left the window they were placed in when open windows were filled up
 
     def emit(self, pieces: Iterable[tuple]) -> None:
         at = 0
@@ -152,7 +153,10 @@ class Packer:
             counts[best + n] += 1
 
     def finish(self) -> list[tuple]:
-        """Windows still open become full ones by cutting; the last pieces go out in powers of two."""
+        """Windows still open become full ones by cutting; the last pieces go out in powers of two.
+
+        What stands in a window stays there. Only the emptiest windows are taken apart, to fill up the others.
+        """
         left = [w for level in reversed(self.open) for w in level]
         rest: list[tuple] = []
         # The emptiest windows are taken apart to fill up the fullest.
@@ -171,11 +175,13 @@ class Packer:
                     ids = ids[: room * 4]
                 window.append((doc, start, ids, total))
                 room -= len(ids) // 4
+                self.moved += len(ids) // 4
             if room:
                 rest = window
             else:
                 self.emit(window)
         rest = rest + loose if rest else loose
+        self.moved += sum(len(p[2]) for p in rest) // 4
         while (n := sum(len(p[2]) for p in rest) // 4):
             take, window, after = 1 << (min(n, self.size).bit_length() - 1), [], []
             for doc, start, ids, total in rest:

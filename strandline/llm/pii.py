@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_arrow_columns
+from .common import columns_of, unused, with_arrow_columns
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -208,5 +208,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """documents with every span replaced in text, n_chars to match, and the columns unchanged."""
-    out = with_spans(docs, redacted="text", spans="_pii")
-    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    (spans,) = unused(docs, "_pii")
+    out = with_spans(docs, redacted="text", spans=spans)
+    return out.select(*[F.length("text").cast("long").alias("n_chars") if name == "n_chars" else c for name, c in zip(docs.columns, columns_of(docs))])

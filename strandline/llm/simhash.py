@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import likeness
-from .common import stored, with_arrow_columns
+from .common import columns_of, stored, unused, with_arrow_columns
 from .graph import components
 
 BITS = 64
@@ -251,16 +251,18 @@ def keep_one(docs: DataFrame, radius: int = 2, least: float | None = None) -> Da
     and sets with that Jaccard likeness or more are linked. Rows without doc_id belong to components like others and
     stand last in them. Null and wordless texts share one node. Rows are told apart by a number stored with them.
     """
-    base = docs.withColumn("_row", F.monotonically_increasing_id())
-    base = stored(with_fingerprint(base, out="_node") if least is None else likeness.with_node(base, "_node"), "keep-one")
+    row, node = unused(docs, "_row", "_node")
+    base = docs.withColumn(row, F.monotonically_increasing_id())
+    base = stored(with_fingerprint(base, out=node) if least is None else likeness.with_node(base, node), "keep-one")
+    rows = base.select(F.col(row).alias("row"), F.col(node).alias("node"), "doc_id", "text")
     if least is None:
-        reps = stored(base.groupBy(F.col("_node").alias("fp")).agg(F.min("_row").alias("rep")), "simhash-reps")
+        reps = stored(rows.groupBy(F.col("node").alias("fp")).agg(F.min("row").alias("rep")), "simhash-reps")
         found = components(stored(links(reps, radius), "simhash-links"))
-        found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("_node"), "component")
+        found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("node"), "component")
     else:
-        found = likeness.alike(base.select(F.col("_row").alias("row"), F.col("_node").alias("node"), "text"), least).withColumnRenamed("node", "_node")
+        found = likeness.alike(rows.drop("doc_id"), least)
     # a component is named by one of its nodes, or by a row where a fingerprint stands for it; the flag keeps these apart
-    of = base.select("_row", "_node", "doc_id").join(found, "_node", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_node", "_row"))
-    one = of.groupBy(F.col("component").isNull(), F.coalesce("component", "_node")).agg(first.alias("_first")).select("_first._row")
-    return base.join(one, "_row", "left_semi").select(docs.columns)
+    of = rows.drop("text").join(found, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row"))
+    one = of.groupBy(F.col("component").isNull(), F.coalesce("component", "node")).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return base.join(one, row, "left_semi").select(columns_of(docs))

@@ -2,8 +2,9 @@
 
 The features of a text are densities: words of a lexicon (a fixed seed list, and words and word stems that mark
 toxic documents among the training labels), how near lexicon words stand to second-person words, capitals,
-punctuation, and words with signs or digits in them as in obfuscated insults. The lexicon and the trees come from most
-training rows; on the others, which neither has seen, an isotonic regression turns the trees' output into a probability.
+punctuation, and words with signs or digits in them as in obfuscated insults. An isotonic regression turns the trees'
+output into a probability. It is fitted to all training rows, each judged by a lexicon and trees that have not seen it,
+and read as a line through the middles of its steps, so that texts keep their order.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, with_arrow_columns
+from .common import columns_of, small_batches, stored, unused, with_arrow_columns
 from .learning import held_out, training_labels
 
 #: Insults to start from, and words of the second person.
@@ -97,10 +100,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     return [math.log1p(len(words)), seeds, seeds / n, hits, hits / n, weight, weight / n, len(kinds), near / n, you / n, len(CAPITALS.findall(text)) / n, marks / size, signs / size, len(OBFUSCATED.findall(text)) / n, text.count("\n") / size]
 
 
-OWN = "_toxic_"
-
-
-def with_features(docs: DataFrame, lexicon: dict[str, float], out: str = OWN + "features") -> DataFrame:
+def with_features(docs: DataFrame, lexicon: dict[str, float], out: str = "features") -> DataFrame:
     """docs with the features of each whole text; null text counts as empty. A column named like out is replaced."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -109,34 +109,83 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], out: str = OWN + "
     return with_arrow_columns(docs, run, {out: "array<double>"})
 
 
-def scored(docs: DataFrame, labels: DataFrame, out: str, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
-    """docs, every column and row of it, with the score as column out; higher: label 1 is likelier.
+@dataclass(frozen=True)
+class Forest:
+    """A lexicon and the boosted trees over its features."""
+
+    lexicon: dict[str, float]
+    trees: GBTClassificationModel
+
+    def output(self, docs: DataFrame, out: str) -> DataFrame:
+        """docs, every column of it, with the trees' probability of label 1 as column out, which is none of docs."""
+        x, p, raw, kind, dense = unused(docs, "_x", "_p", "_raw", "_class", "_features")
+        trees = self.trees.copy().setFeaturesCol(x).setProbabilityCol(p).setRawPredictionCol(raw).setPredictionCol(kind)
+        rows = with_features(docs, self.lexicon, dense).withColumn(x, array_to_vector(dense))
+        return trees.transform(rows).select(*columns_of(docs), F.element_at(vector_to_array(p), 2).alias(out))
+
+
+def grow(texts: DataFrame, rounds: int, depth: int, seed: int) -> Forest:
+    """The lexicon and trees of texts (text, label), which have both labels."""
+    lexicon = learn_lexicon(texts)
+    rows = stored(with_features(texts.select("text", "label"), lexicon).select("label", array_to_vector("features").alias("x")), "toxic-fit").cache()
+    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=seed).fit(rows)
+    rows.unpersist()
+    return Forest(lexicon, trees)
+
+
+def knots(boundaries: list[float], predictions: list[float]) -> list[tuple[float, float]]:
+    """The corners of a rising line from (0, 0) to (1, 1) through the middles of an isotonic regression's steps."""
+    steps: list[list[float]] = []
+    for x, y in zip(boundaries, predictions):
+        if steps and steps[-1][2] == y:
+            steps[-1][1] = x
+        else:
+            steps.append([x, x, y])
+    middles = [((a + b) / 2, y) for a, b, y in steps]
+    return [(0.0, 0.0), *((x, y) for x, y in middles if 0 < x < 1), (1.0, 1.0)]
+
+
+#: How much of a score is the trees' own output, which keeps the order of texts whose calibrated values are equal.
+ORDER = 0.02
+
+
+def along(corners: list[tuple[float, float]], p: Column) -> Column:
+    """The height of the line at p."""
+    xs, ys = (F.array(*(F.lit(float(c[i])) for c in corners)) for i in (0, 1))
+    k = F.least(F.size(F.filter(xs, lambda x: x <= p)), F.lit(len(corners) - 1))
+    at = lambda v, i: F.element_at(v, i)
+    x0, x1, y0, y1 = at(xs, k), at(xs, k + 1), at(ys, k), at(ys, k + 1)
+    return y0 + (y1 - y0) * (p - x0) / (x1 - x0)
+
+
+def scored(docs: DataFrame, labels: DataFrame, out: str, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1, folds: int = 3) -> DataFrame:
+    """docs, every column and row of it, with the score as column out, which is none of docs; higher: label 1 is likelier.
 
     Labels are read only for rows whose crc32(doc_id as text) mod 3 is not 1, and about `fit_rows` of those at most
-    are used for fitting; every text is scored whole. Null and empty texts are scored by their zero features. Each row
+    are used for fitting; every text is scored whole. All of them teach the lexicon and the trees; for the calibration
+    each is judged by trees of the other folds. A fold whose other folds lack a label is left out of that, and if all
+    are, the calibration is that of the trees' own rows. Null and empty texts are scored by their zero features. Each row
     is scored by its own text, whether ids repeat or are missing; rows of a null doc_id are never learned from. Without
-    labels of both kinds nothing can be learned and every score is 0. An empty table gives none. Columns whose names
-    begin with `_toxic_` are used up; others that clash with nothing pass through.
+    labels of both kinds nothing can be learned and every score is 0. An empty table gives none. Very long texts are read
+    whole. Extra columns pass through, whatever their names.
     """
     known = stored(training_labels(labels, "toxic", 3, 1, fit_rows), "toxic-labels")
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(folds))
     texts = stored(docs.select("doc_id", "text").join(known, "doc_id").withColumn("fold", fold), "toxic-training")
-    if texts.select("label").distinct().count() < 2:
+    seen = {(r["fold"], r["label"] >= 0.5) for r in texts.select("fold", "label").distinct().collect()}  # two a fold at most
+    if len({kind for _, kind in seen}) < 2:
         return docs.withColumn(out, F.lit(0.0))
-    if texts.select("fold", "label").distinct().count() < 8:  # too few rows to keep some for calibration
-        texts = texts.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
-    lexicon = learn_lexicon(texts.where("fold > 0"))
-    x, p = OWN + "x", OWN + "p"
-    rows = stored(with_features(texts, lexicon), "toxic-fit").select("label", "fold", array_to_vector(OWN + "features").alias(x)).cache()
-    trees = GBTClassifier(featuresCol=x, labelCol="label", predictionCol=OWN + "class", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=seed)
-    trees = trees.setProbabilityCol(OWN + "probability").setRawPredictionCol(OWN + "raw").fit(rows.where("fold > 0"))
-    output = F.element_at(vector_to_array(OWN + "probability"), 2)
-    held = trees.transform(rows.where("fold = 0")).select("label", output.alias(p))
-    rising = IsotonicRegression(featuresCol=p, labelCol="label", predictionCol=OWN + "score").fit(held)
-    rows.unpersist()
-    found = trees.transform(with_features(docs, lexicon).withColumn(x, array_to_vector(OWN + "features"))).withColumn(p, output)
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), OWN + "score"))
-    return rising.transform(found).select(*(F.col(f"`{c}`") for c in docs.columns if c != out), value.alias(out))
+    forest, held = grow(texts, rounds, depth, seed), []
+    for k in sorted({f for f, _ in seen}):
+        if len({kind for f, kind in seen if f != k}) == 2:
+            held.append(grow(texts.where(F.col("fold") != k), rounds, depth, seed).output(texts.where(F.col("fold") == k).select("text", "label"), "p"))
+    judged = reduce(DataFrame.unionByName, held) if held else forest.output(texts.select("text", "label"), "p")
+    rising = IsotonicRegression(featuresCol="p", labelCol="label").fit(stored(judged.select("label", "p"), "toxic-judged"))
+    corners = knots(rising.boundaries.tolist(), rising.predictions.tolist())
+    (p,) = unused(docs, "_p")
+    found = forest.output(docs, p)
+    value = (1 - ORDER) * along(corners, F.col(p)) + ORDER * F.col(p)
+    return found.select(*columns_of(docs), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias(out))
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
@@ -155,4 +204,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> Dat
 
     Each row is judged by its own text: rows without doc_id go like others, and of rows that share one only toxic ones.
     """
-    return scored(docs, labels, OWN + "out").where(F.col(OWN + "out") < reject).select(docs.columns)
+    (out,) = unused(docs, "_score")
+    return scored(docs, labels, out).where(F.col(out) < reject).select(columns_of(docs))

@@ -395,7 +395,7 @@ def test_toxicity(spark, docs, empty, labels):
     held = [r for r in found if r["held_out"]]
     assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
     assert np.mean([r["predicted"] == toxic(r["doc_id"]) for r in held]) > 0.98
-    features = {r["doc_id"]: r["_toxic_features"] for r in toxicity.with_features(docs, {"idiot": 2.5, "alph*": 3.0}).where("doc_id is not null").collect()}
+    features = {r["doc_id"]: r["features"] for r in toxicity.with_features(docs, {"idiot": 2.5, "alph*": 3.0}).where("doc_id is not null").collect()}
     for i, t in TEXTS:
         if i is not None:
             assert features[i] == pytest.approx(dense(t, {"idiot": 2.5, "alph*": 3.0}))
@@ -426,8 +426,16 @@ def dense(text, lexicon):
     near = sum(before(i, you) for i in hits) + sum(before(i, hits) for i in you)
     weight = sum(weigh(words[i]) for i in hits)
     seeds = sum(words[i] in toxicity.SEEDS for i in hits)
+
+
+    def hidden(token):
+        """Whether a token starts with letters, signs or digits, and letters again."""
+        kinds = ["a" if c.isalpha() else "s" if c in "@$!#*0123456789" else "x" for c in token]
+        runs = [k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k]
+        return runs[:3] == ["a", "s", "a"]
+
     shouted = sum(1 for w in re.findall(r"\w+", text) if len(w) > 1 and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜ" or "À" <= c <= "Ý" for c in w))
-    return [math.log1p(len(words)), seeds, seeds / n, len(hits), len(hits) / n, weight, weight / n, len({words[i] for i in hits}), near / n, len(you) / n, shouted / n, sum(c in "!?" for c in text) / size, sum(c in "#$%&*@|" for c in text) / size, 0.0, text.count("\n") / size]
+    return [math.log1p(len(words)), seeds, seeds / n, len(hits), len(hits) / n, weight, weight / n, len({words[i] for i in hits}), near / n, len(you) / n, shouted / n, sum(c in "!?" for c in text) / size, sum(c in "#$%&*@|" for c in text) / size, sum(map(hidden, text.split())) / n, text.count("\n") / size]
 
 
 def test_isotonic_step_is_pool_adjacent_violators(spark):
