@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -41,9 +41,13 @@ def first_numeric_column(df: DataFrame, skip: tuple[str, ...] = ()) -> str:
     raise ValueError("no numeric column")
 
 
+def finite() -> Column:
+    return F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+
+
 def finite_filter(t: DataFrame) -> DataFrame:
     """Samples that are neither null, NaN nor infinite."""
-    return t.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return t.where(finite())
 
 
 def with_statistics(t: DataFrame, statistics: DataFrame, most: int = 10_000) -> DataFrame:
@@ -53,13 +57,14 @@ def with_statistics(t: DataFrame, statistics: DataFrame, most: int = 10_000) ->
     `most` series get them by a broadcast of that many small rows; beyond that both sides are shuffled by series.
     """
     rows = statistics.limit(most + 1).collect()
-    if len(rows) > most:
-        return t.join(statistics, "series_id")
-    names = [c for c in statistics.columns if c != "series_id"]
+    return t.join(statistics, "series_id") if len(rows) > most else with_rows(t, rows, statistics.schema)
+
+
+def with_rows(t: DataFrame, rows: list, schema: T.StructType) -> DataFrame:
+    """with_statistics() of a few rows that are known already."""
     if len(rows) == 1:
-        return t.where(F.col("series_id") == rows[0]["series_id"]).select("*", *(F.lit(rows[0][c]).cast(statistics.schema[c].dataType).alias(c) for c in names))
-    few = t.sparkSession.createDataFrame(rows, statistics.schema)
-    return t.join(F.broadcast(few), "series_id")
+        return t.where(F.col("series_id") == rows[0]["series_id"]).select("*", *(F.lit(rows[0][f.name]).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "series_id"))
+    return t.join(F.broadcast(t.sparkSession.createDataFrame(rows, schema)), "series_id")
 
 
 def compact(t: DataFrame, block: int = 65_536) -> DataFrame:
@@ -79,8 +84,11 @@ def compact(t: DataFrame, block: int = 65_536) -> DataFrame:
 def dyadic_lengths(t: DataFrame) -> DataFrame:
     """series_id, n, length_pow2 (the largest power of two within n) and removed."""
     n = t.groupBy("series_id").agg(F.count("*").alias("n"))
-    pow2 = F.expr("shiftleft(1L, length(bin(n)) - 1)")
-    return n.select("series_id", "n", pow2.alias("length_pow2"), (F.col("n") - pow2).alias("removed"))
+    return n.select("series_id", "n", dyadic().alias("length_pow2"), (F.col("n") - dyadic()).alias("removed"))
+
+
+def dyadic(n: str = "n") -> Column:
+    return F.expr(f"shiftleft(1L, length(bin({n})) - 1)")
 
 
 def truncate_dyadic(t: DataFrame) -> DataFrame:
@@ -88,21 +96,48 @@ def truncate_dyadic(t: DataFrame) -> DataFrame:
     return with_statistics(t, dyadic_lengths(t).select("series_id", "length_pow2")).where("pos < length_pow2").drop("length_pow2")
 
 
-def window_series(t: DataFrame, size: int, step: int | None = None) -> DataFrame:
-    """series_id, window_id (from 1), x: full windows of `size` samples every `step`; a partial tail is dropped."""
+def window_series(t: DataFrame, size: int, step: int | None = None, tasks: int | None = None, alone: bool = False) -> DataFrame:
+    """series_id, window_id (from 1), x: full windows of `size` samples every `step`; a partial tail is dropped.
+
+    One shuffle of the samples, into `tasks` tasks if given, whether windows overlap or not. alone: t is a single series,
+    whose name is a constant in the plan, so it can't take part in the keys by which the shuffle serves the grouping.
+    """
     step = step or size
     if size < 1 or step < 1:
         raise ValueError("window size and step must be positive")
-    if step == size:
-        rows = t.select("series_id", F.expr(f"int(pos div {size} + 1)").alias("window_id"), "pos", "value")
-    else:
-        lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / step)).cast("long")
-        hi = F.expr(f"pos div {step}")
-        rows = t.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
-        rows = rows.select("series_id", F.explode(F.sequence("_lo", "_hi")).alias("_w"), "pos", "value").select("series_id", (F.col("_w") + 1).cast("int").alias("window_id"), "pos", "value")
+    if step < size:
+        return overlapping(t, size, step, tasks, alone)
+    rows = t.where(F.expr(f"pos % {step} < {size}")) if step > size else t
+    rows = rows.select("series_id", F.expr(f"int(pos div {step} + 1)").alias("window_id"), "pos", "value")
+    rows = rows.repartition(tasks, *KEYS[alone:]) if tasks else rows
     return let(rows.groupBy(*KEYS).agg(F.collect_list(F.struct("pos", "value")).alias("x")).where(F.size("x") == size), x=F.transform(F.array_sort("x"), lambda s: s["value"]))
 
 
+def overlapping(t: DataFrame, size: int, step: int, tasks: int | None = None, alone: bool = False) -> DataFrame:
+    """window_series() for windows that overlap.
+
+    Samples are grouped once, into panes of many steps. A window that reaches into the next pane needs only that one's
+    first samples, so of a pane no more than `size` samples are shuffled again, to the pane before it.
+    """
+    pane = step * max(1, -(-16 * size // step))
+    rows = t.select("series_id", F.expr(f"pos div {pane}").alias("_pane"), "pos", "value")
+    rows = rows.repartition(tasks, *["series_id", "_pane"][alone:]) if tasks else rows
+    own = rows.groupBy("series_id", "_pane").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_s"))
+    head = F.filter(F.slice("_s", 1, F.lit(size)), lambda s: s["pos"] < F.col("_pane") * pane + size)
+    heads = own.select("series_id", (F.col("_pane") - 1).alias("_before"), head.alias("_next")).withColumnRenamed("_before", "_pane")
+    both = own.join(heads, ["series_id", "_pane"], "left")
+    both = let(both, _s=F.when(F.col("_next").isNull(), F.col("_s")).otherwise(F.concat("_s", "_next")), _own=F.size("_s"))
+    starts = F.sequence(F.lit(0), F.lit(pane // step - 1))
+    first = F.col("_pane") * pane + F.col("_w") * step
+    # where nothing is missing a window's place is known; else its first sample is looked up
+    whole = F.col("_own") == pane
+    place = F.when(whole, F.col("_w") * step + 1).otherwise(F.array_position(F.transform("_s", lambda s: s["pos"]), first)).cast("int")
+    cut = both.withColumn("_w", F.explode(starts)).withColumn("_at", place).where("_at > 0")
+    cut = let(cut.withColumn("_first", first), x=F.slice("_s", F.col("_at"), F.lit(size)))
+    full = (F.size("x") == size) & (F.get("x", 0)["pos"] == F.col("_first")) & (F.get("x", size - 1)["pos"] == F.col("_first") + size - 1)
+    return cut.where(full).select("series_id", F.expr(f"int(_first div {step} + 1)").alias("window_id"), F.transform("x", lambda s: s["value"]).alias("x"))
+
+
 def overlap_windows(t: DataFrame, size: int, overlap: float) -> DataFrame:
     """Windows whose step is max(1, floor(size * (1 - overlap)))."""
     if not 0 <= overlap < 1:
@@ -141,20 +176,42 @@ def zscore(t: DataFrame) -> DataFrame:
     return with_statistics(t, s).withColumn("z", (F.col("value") - F.col("mu")) / F.col("sigma"))
 
 
-def spread(windows: DataFrame, rows: int) -> DataFrame:
-    """windows dealt out by their number: what is done to a window costs far more than its bytes tell, so tasks must not
-    be joined by bytes. 64 windows a task, or as few as the cores take at once."""
-    cores = windows.sparkSession.sparkContext.defaultParallelism
-    return windows.repartition(max(1, min(rows, max(cores, rows // 64))), *KEYS)
+def window_tasks(windows: int, size: int, cores: int, most: int = 4096, task_bytes: int = 1 << 30) -> int:
+    """How many tasks so many windows are dealt to.
+
+    What is done to a window costs far more than its bytes tell, so tasks must not be joined by bytes: 64 windows a task
+    or as few as the cores take at once, until `most` tasks are full; then more windows a task, up to `task_bytes`.
+    """
+    by_cost = max(1, min(windows, max(cores, windows // 64)))
+    return max(min(by_cost, most), -(-windows * size * 8 // task_bytes))
+
+
+def facts(t: DataFrame) -> DataFrame:
+    """series_id, n, good (finite samples) and whether positions run from 0 on without a gap: one pass over the series."""
+    found = t.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(finite()).alias("good"), F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    return found.select("series_id", "n", "good", ((F.col("_lo") == 0) & (F.col("_hi") == F.col("n") - 1)).alias("dense"))
+
 
+def prepare_window_dataset(t: DataFrame, size: int, step: int | None = None, normalize: bool = True, most: int = 10_000) -> DataFrame:
+    """Finite samples, numbered anew if any was dropped, dyadic truncation, windows, normalisation.
 
-def prepare_window_dataset(t: DataFrame, size: int, step: int | None = None, normalize: bool = True) -> DataFrame:
-    """Finite samples, numbered anew if any was dropped, dyadic truncation, windows, normalisation."""
-    ok = finite_filter(t)
-    good = ok.count()
-    if t.count() > good:
-        ok = compact(ok)
-    windows = spread(window_series(truncate_dyadic(ok), size, step), good // (step or size) + 1)
+    One pass for what the plan needs to know of the series, and one shuffle of their samples.
+    """
+    known = facts(t).where("good > 0").withColumn("length_pow2", dyadic("good"))
+    rows = known.limit(most + 1).collect()
+    few = len(rows) <= most
+    if few:
+        dropped, dense = any(r["n"] > r["good"] for r in rows), all(r["dense"] for r in rows)
+        samples = sum(r["length_pow2"] for r in rows)
+    else:
+        r = known.agg(F.max(F.col("n") > F.col("good")).alias("dropped"), F.min("dense").alias("dense"), F.sum("length_pow2").alias("samples")).first()
+        dropped, dense, samples = r["dropped"], r["dense"], r["samples"]
+    ok = finite_filter(t) if dropped else t
+    ok = compact(ok) if dropped or not dense else ok
+    lengths = known.select("series_id", "length_pow2")
+    cut = with_rows(ok, [Row(series_id=r["series_id"], length_pow2=r["length_pow2"]) for r in rows], lengths.schema) if few else ok.join(lengths, "series_id")
+    tasks = window_tasks(samples // (step or size) + 1, size, t.sparkSession.sparkContext.defaultParallelism)
+    windows = window_series(cut.where("pos < length_pow2").drop("length_pow2"), size, step, tasks, len(rows) == 1)
     return normalize_windows(windows) if normalize else windows
 
 
