@@ -24,8 +24,9 @@ QS = np.arange(-5.0, 6.0)
 MEASURES = ("psnr", "H", "deltaH", "alpha_width", "alpha_peak", "f_alpha_peak", "delta_alpha_width")
 #: Methods besides the wavelet families: a family with one pool for all levels, Haar with few levels, learned filters.
 POOL, SHORT, LEARNED = "_pool", "haar_bank", "learned"
-#: A level that lost all its coefficients comes back as rounding noise, which is no energy.
-NOISE = 1e-28
+#: A level that lost all its coefficients comes back as rounding noise, which is no energy; a coefficient that was set to
+#: zero comes back below FAINT, and is zero for the spectrum, whose negative powers would be those of the noise.
+NOISE, FAINT = 1e-28, 1e-10
 
 
 def decompose(x: np.ndarray, family: str, levels: int, filters: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -75,15 +76,15 @@ def slopes(y: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.where(sxx > EPS, (dx * y).sum(axis=1) / np.where(sxx > EPS, sxx, 1.0), np.nan)
 
 
-def scaling(x: np.ndarray, low: int, floor: float, spectrum: bool) -> dict[str, np.ndarray]:
-    """H by Haar levels from low on, and alpha_width, alpha_peak and f_alpha_peak of the spectrum."""
-    details = decompose(x, "haar", levels_of(x.shape[1]), None)[1][low - 1 :]
+def scaling(x: np.ndarray, low: int, floor: float, spectrum: bool, family: str = "haar") -> dict[str, np.ndarray]:
+    """H by a family's levels from low on, and alpha_width, alpha_peak and f_alpha_peak of the spectrum."""
+    details = decompose(x, family, levels_of(x.shape[1]), None)[1][low - 1 :]
     with np.errstate(divide="ignore", invalid="ignore"):
         e = np.stack([(d * d).mean(axis=1) for d in details], axis=1) if details else np.zeros((len(x), 0))
         ok = (e > floor) & np.isfinite(e)
         out = {"H": (slopes(np.log2(np.where(ok, e, 1.0)), ok) + 1) / 2}
         if spectrum:
-            size = [np.abs(d) + 1e-12 for d in details]
+            size = [np.where((floor > 0) & (np.abs(d) < FAINT), 0.0, np.abs(d)) + 1e-12 for d in details]
             logs = [np.stack([np.log(d).mean(axis=1) / np.log(2.0) if q == 0 else np.log2((d**q).mean(axis=1)) for d in size], axis=1) if size else np.zeros((len(x), 0)) for q in QS]
             zeta = np.stack([-slopes(y, np.ones_like(y, bool)) for y in logs], axis=1)
             lo, hi = np.maximum(np.arange(len(QS)) - 1, 0), np.minimum(np.arange(len(QS)) + 1, len(QS) - 1)
@@ -100,14 +101,16 @@ def fidelity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(ok, 10 * np.log10(np.where(ok, peak * peak, 1.0) / np.where(ok, mse, 1.0)), np.nan)
 
 
-def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains: tuple[float, ...], low: int = 2, levels: int = 5, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains: tuple[float, ...], low: int = 2, levels: int = 5, measures: tuple[str, ...] = MEASURES, analysis: str = "haar") -> DataFrame:
     """method, series_id, window_id, retain, retain_ppm, kept, total and the measures asked for, for every window,
     method and share; one map over the windows (series_id, window_id, x, and filters for the learned method).
 
-    Only what the measures need is computed; H and spectrum of the original stand in H_orig and width_orig if asked for,
+    analysis is the family by whose levels H and spectra are measured, of originals and reconstructions alike, whatever
+    the method. Only what the measures need is computed; H and spectrum of the original stand in H_orig and width_orig if asked for,
     and the time a result took in `seconds`, shared equally by the windows that are worked on at once.
     What cannot be estimated is null.
     """
+    measured = canonical(analysis)
     names = [m if m in (LEARNED, SHORT) else canonical(m.removesuffix(POOL)) + m[len(m.removesuffix(POOL)) :] for m in methods]
     spectrum = any("alpha" in m or m == "width_orig" for m in measures)
     scaled, moved = spectrum or any(m in ("H", "deltaH", "H_orig") for m in measures), any("delta" in m or m.endswith("_orig") for m in measures)
@@ -117,7 +120,7 @@ def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains:
 
     def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x, n = matrix(b.column("x")), b.num_rows
-        before = scaling(x, low, 0.0, spectrum) if moved else {}
+        before = scaling(x, low, 0.0, spectrum, measured) if moved else {}
         for name in names:
             bank = None
             if name == LEARNED:
@@ -136,7 +139,7 @@ def evaluated(windows: DataFrame, size: int, methods: tuple[str, ...], retains:
                 y = recompose(approx, [np.where(s, d, 0.0) for s, d in zip(stay, details)], family, bank)
                 found = {"psnr": fidelity(x, y)} if "psnr" in measures else {}
                 if scaled:
-                    found |= scaling(y, low, NOISE, spectrum)
+                    found |= scaling(y, low, NOISE, spectrum, measured)
                 if moved:
                     found |= {"H_orig": before["H"], "deltaH": found["H"] - before["H"]}
                     if spectrum:

@@ -209,6 +209,33 @@ def whittle_objective(d: np.ndarray, freqs: np.ndarray, power: np.ndarray) -> np
     return np.log((freqs ** (2 * d[:, None]) * power).mean(axis=1)) - 2 * d * np.log(freqs).mean()
 
 
+GOLDEN, SECTIONS, WIDEST = (math.sqrt(5) - 1) / 2, 60, 0.49
+
+
+def whittle_frequencies(n: int) -> int:
+    """How many of the lowest frequencies of n samples count: the larger of 10 and the smaller of n / 10 and sqrt(n)."""
+    return min(max(10, min(n // 10, math.isqrt(n))), max(1, n // 2 - 1))
+
+
+def whittle_minimum(freqs: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Per row of power the d that minimises the objective, by golden sections of (-0.49, 0.49)."""
+    lo, hi = np.full(len(power), -WIDEST), np.full(len(power), WIDEST)
+    for _ in range(SECTIONS):
+        a, c = hi - GOLDEN * (hi - lo), lo + GOLDEN * (hi - lo)
+        left = whittle_objective(a, freqs, power) < whittle_objective(c, freqs, power)
+        hi, lo = np.where(left, c, hi), np.where(left, lo, a)
+    return (lo + hi) / 2
+
+
+def whittle_sql(points: str, keys: str) -> str:
+    """(keys, H_lw) for DuckDB, by the same sections: points is a relation (keys, pts), a list of (l, p) by frequency."""
+    value = lambda d: f"ln(list_sum(list_transform(pts, lambda q: power(q.l, 2 * {d}) * q.p)) / len(pts)) - 2 * {d} * logs"
+    a, c = f"(hi - {GOLDEN!r} * (hi - lo))", f"(lo + {GOLDEN!r} * (hi - lo))"
+    start = f"SELECT {keys}, pts, list_sum(list_transform(pts, lambda q: ln(q.l))) / len(pts) AS logs, -{WIDEST}::DOUBLE AS lo, {WIDEST}::DOUBLE AS hi, 0 AS it FROM {points}"
+    step = f"SELECT {keys}, pts, logs, CASE WHEN low THEN lo ELSE {a} END AS lo, CASE WHEN low THEN {c} ELSE hi END AS hi, it + 1 AS it FROM (SELECT *, {value(a)} < {value(c)} AS low FROM lw WHERE it < {SECTIONS})"
+    return f"lw AS ({start} UNION ALL {step}), lwh AS (SELECT {keys}, (lo + hi) / 2 + 0.5 AS H_lw FROM lw WHERE it = {SECTIONS})"
+
+
 def local_whittle(windows: DataFrame, out: str = "H_lw") -> DataFrame:
     """windows with H = d + 1/2, se and m: d in (-0.49, 0.49) minimises the local Whittle objective.
 
@@ -219,18 +246,12 @@ def local_whittle(windows: DataFrame, out: str = "H_lw") -> DataFrame:
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
         x = matrix(b.column("x"))
         n = x.shape[1]
-        m = min(max(10, min(n // 10, math.isqrt(n))), max(1, n // 2 - 1))
+        m = whittle_frequencies(n)
         freqs = 2 * np.pi * np.arange(1, m + 1) / n
         power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1 : m + 1]) ** 2
         ok = power.sum(axis=1) > 0
         power[~ok] = 1.0
-        g = (math.sqrt(5) - 1) / 2
-        lo, hi = np.full(len(x), -0.49), np.full(len(x), 0.49)
-        for _ in range(60):
-            a, c = hi - g * (hi - lo), lo + g * (hi - lo)
-            left = whittle_objective(a, freqs, power) < whittle_objective(c, freqs, power)
-            hi, lo = np.where(left, c, hi), np.where(left, lo, a)
-        h = (lo + hi) / 2 + 0.5
+        h = whittle_minimum(freqs, power) + 0.5
         return {out: pa.array([float(v) if k else None for v, k in zip(h, ok)], pa.float64()), f"{out}_se": pa.array(np.full(len(x), 0.5 / math.sqrt(m))), f"{out}_m": pa.array(np.full(len(x), m, np.int64))}
 
     return add_columns(windows, {out: T.DoubleType(), f"{out}_se": T.DoubleType(), f"{out}_m": T.LongType()}, run)

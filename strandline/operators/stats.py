@@ -48,6 +48,85 @@ def block_bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, b
     return joined.select(*keys, "n", "mean", "std", "ci_low", "ci_high")
 
 
+def ranked_sums(rows: DataFrame, part: int = 4096) -> DataFrame:
+    """_g, _i, _p: of the values of each group in order, the first _i of them and their sum, for every _i from 1 on.
+
+    rows: _g, _o (a whole number that gives the order) and _v. Places and sums run within parts of the order, and a
+    running sum over the parts' own is added, so no task holds a group.
+    """
+    rows = rows.withColumn("_part", F.floor(F.col("_o") / part).cast("long"))
+    parts = rows.groupBy("_g", "_part").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_g", "_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s"))
+    inside = Window.partitionBy("_g", "_part").orderBy("_o", "_v")
+    placed = rows.withColumn("_i", F.row_number().over(inside)).withColumn("_p", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.join(before, ["_g", "_part"]).select("_g", (F.col("_i") + F.col("_c")).alias("_i"), (F.col("_p") + F.col("_s")).alias("_p"))
+
+
+def drawn(seed: int, b: Column, j: Column, n: Column) -> Column:
+    """The start of the j-th block of replicate b: a digest modulo the number of starts."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), j.cast("string"))), 1, 12), 16, 10).cast("long"), n)
+
+
+def moving_block_ci(df: DataFrame, keys: list[str], value: str, order: str, block: int = 8, n_boot: int = 500, seed: int = 1, ends: str = "quantile", alpha: float = 0.05) -> DataFrame:
+    """keys, n, mean, std, ci_low, ci_high of value by moving blocks.
+
+    The n values of a group, in the whole numbers of `order`, have n - block + 1 blocks of neighbours that overlap. A
+    replicate draws ceil(n / block) of them with replacement, cuts the last so that n values are drawn in all, and takes
+    their mean. Blocks of one value are the plain bootstrap. The interval's ends are quantiles of the replicates between
+    ranks, or (ends "order") the replicates of rank floor(alpha / 2 B) and ceil((1 - alpha / 2) B). With n_boot 0 the
+    interval is the normal one. A single value has itself as ends; nulls are left out.
+
+    Every block's sum is a difference of two running sums, found by a join on places; drawn places are joined with these
+    sums and added up by replicate, so no group stands in one task, however long its series.
+    """
+    group = F.struct(*keys) if keys else F.lit(0)
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(order).cast("long").alias("_o"), F.col(value).cast("double").alias("_v"))
+    totals = rows.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std"))
+    named = [F.col("_g")[k].alias(k) for k in keys]
+    if n_boot <= 0:
+        gap = Z95 * F.col("std") / F.sqrt("n")
+        return totals.select(*named, "n", "mean", "std", (F.col("mean") - gap).alias("ci_low"), (F.col("mean") + gap).alias("ci_high"))
+    size = F.least(F.lit(max(1, block)).cast("long"), F.col("n"))
+    shape = totals.select("_g", "n", size.alias("_b")).withColumn("_k", F.expr("(n + _b - 1) div _b")).withColumn("_r", F.expr("n - (_k - 1) * _b"))
+    sums = ranked_sums(rows).unionByName(totals.select("_g", F.lit(0).cast("long").alias("_i"), F.lit(0.0).alias("_p")))
+    at = lambda shift, kind: F.struct((F.col("_i") - shift).alias("_s"), F.lit(kind).alias("_kind"))
+    starts = sums.join(shape, "_g").select("_g", "_p", "n", "_b", F.inline(F.array(at(F.lit(0), 0), at(F.col("_b"), 1), at(F.col("_r"), 2)))).where("_s >= 0 and _s <= n - _b")
+    pick = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_p")))
+    starts = starts.groupBy("_g", "_s").agg((pick(1) - pick(0)).alias("_whole"), (pick(2) - pick(0)).alias("_cut"))
+    chunk = 4096
+    draws = shape.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_k - 1) div {chunk}"))))
+    draws = draws.withColumn("_j", F.explode(F.sequence(F.col("_c") * chunk + 1, F.least(F.col("_c") * chunk + chunk, F.col("_k")))))
+    draws = draws.select("_g", "b", (F.col("_j") == F.col("_k")).alias("_last"), drawn(seed, F.col("b"), F.col("_j"), F.col("n") - F.col("_b") + 1).alias("_s"))
+    found = draws.join(starts, ["_g", "_s"]).groupBy("_g", "b").agg(F.sum(F.when(F.col("_last"), F.col("_cut")).otherwise(F.col("_whole"))).alias("_sum"))
+    means = found.join(totals.select("_g", "n"), "_g").select("_g", (F.col("_sum") / F.col("n")).alias("_m"))
+    if ends == "quantile":
+        low, high = F.expr(f"percentile(_m, {alpha / 2})"), F.expr(f"percentile(_m, {1 - alpha / 2})")
+    elif ends == "order":
+        ranks = max(1, math.floor(alpha / 2 * n_boot)), min(n_boot, math.ceil((1 - alpha / 2) * n_boot))
+        low, high = (F.element_at(F.sort_array(F.collect_list("_m")), r) for r in ranks)  # n_boot numbers
+    else:
+        raise ValueError(f"unknown ends {ends!r}")
+    return totals.join(means.groupBy("_g").agg(low.alias("ci_low"), high.alias("ci_high")), "_g").select(*named, "n", "mean", "std", "ci_low", "ci_high")
+
+
+def moving_sql(keys: str, value: str, source: str, order: str, block: int, n_boot: int, seed: int = 1, ends: str = "quantile", alpha: float = 0.05) -> str:
+    """moving_block_ci() for DuckDB, value by value as it is defined; results rounded to six places."""
+    names = [k.strip() for k in keys.split(",")]
+    by, using = ", ".join(names), f"USING ({', '.join(names)})"
+    if ends == "quantile":
+        low, high = f"quantile_cont(m, {alpha / 2})", f"quantile_cont(m, {1 - alpha / 2})"
+    else:
+        low, high = (f"list_sort(list(m))[{r}]" for r in (max(1, math.floor(alpha / 2 * n_boot)), min(n_boot, math.ceil((1 - alpha / 2) * n_boot))))
+    ranked = f"SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY {order}, {value}) - 1 AS i, {value} AS v FROM {source} WHERE {value} IS NOT NULL"
+    shape = f"SELECT {by}, count(*) AS n, least({block}, count(*)) AS bs, avg({value}) AS mean, coalesce(stddev_samp({value}), 0) AS std FROM {source} WHERE {value} IS NOT NULL GROUP BY {by}"
+    draws = f"SELECT {by}, n, bs, b, j, CAST('0x' || substr(md5('{seed}:' || b || ':' || j), 1, 12) AS BIGINT) % (n - bs + 1) AS s FROM (SELECT *, unnest(range(1, (n + bs - 1) // bs + 1)) AS j FROM ({shape})), (SELECT unnest(range(1, {n_boot + 1})) AS b)"
+    values = f"SELECT {by}, b, s + o AS i FROM (SELECT *, unnest(range(0, bs)) AS o FROM ({draws})) WHERE (j - 1) * bs + o < n"
+    means = f"SELECT {by}, b, avg(v) AS m FROM ({values}) JOIN ({ranked}) USING ({by}, i) GROUP BY {by}, b"
+    return f"""SELECT {by}, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high
+FROM ({shape}) JOIN (SELECT {by}, {low} AS ci_low, {high} AS ci_high FROM ({means}) GROUP BY {by}) {using}"""
+
+
 def bootstrap_sql(keys: str, value: str, source: str, order: str, block: int, n_boot: int, seed: int = 1) -> str:
     """block_bootstrap_ci() for DuckDB; results rounded to six places."""
     weight = " + ".join(f"CAST(u >= {p!r} AS INTEGER)" for p in POISSON)

@@ -13,27 +13,41 @@ def ident(family: str) -> str:
     return "f_" + family.replace(".", "_")
 
 
-def analysis(family: str, size: int, levels: int) -> str:
-    """<f>_c1 ... (window_id, k, a, d), <f>_d (window_id, level, k, d)."""
-    f, parts = ident(family), []
+def analysis(family: str, size: int, levels: int, source: str = "(SELECT window_id, i AS k, x AS a FROM win)", keys: str = "window_id", name: str | None = None) -> str:
+    """<f>_c1 ... (keys, k, a, d), <f>_d (keys, level, k, d) of a relation (keys, k, a); f is the name, if any, or the family."""
+    f, parts = name or ident(family), []
     if family != "bior4.4":
         h, g = filters(family)
         parts.append(f"{f}_t(m, h, g) AS (VALUES {', '.join(f'({m}, {a!r}, {b!r})' for m, (a, b) in enumerate(zip(h.tolist(), g.tolist())))})")
-    source = "(SELECT window_id, i AS k, x AS a FROM win)"
     for j in range(1, levels + 1):
         n = size >> (j - 1)
         if family != "bior4.4":
-            parts.append(f"{f}_c{j} AS MATERIALIZED (SELECT window_id, ((k - m + {64 * n}) % {n}) // 2 AS k, sum(h * a) AS a, sum(g * a) AS d FROM {source} JOIN {f}_t ON (k - m) % 2 = 0 GROUP BY ALL)")
+            parts.append(f"{f}_c{j} AS MATERIALIZED (SELECT {keys}, ((k - m + {64 * n}) % {n}) // 2 AS k, sum(h * a) AS a, sum(g * a) AS d FROM {source} JOIN {f}_t ON (k - m) % 2 = 0 GROUP BY ALL)")
         else:
-            step = f"(SELECT window_id, k // 2 AS k, max(CASE WHEN k % 2 = 0 THEN a END) AS s, max(CASE WHEN k % 2 = 1 THEN a END) AS d FROM {source} GROUP BY window_id, k // 2)"
+            step = f"(SELECT {keys}, k // 2 AS k, max(CASE WHEN k % 2 = 0 THEN a END) AS s, max(CASE WHEN k % 2 = 1 THEN a END) AS d FROM {source} GROUP BY {keys}, k // 2)"
             for i, c in enumerate(LIFTING):
-                step = lifted(step, i, c, "window_id")
-            parts.append(f"{f}_c{j} AS MATERIALIZED (SELECT window_id, k, s * {LIFTING_SCALE!r} AS a, d / {LIFTING_SCALE!r} AS d FROM {step})")
+                step = lifted(step, i, c, keys)
+            parts.append(f"{f}_c{j} AS MATERIALIZED (SELECT {keys}, k, s * {LIFTING_SCALE!r} AS a, d / {LIFTING_SCALE!r} AS d FROM {step})")
         source = f"{f}_c{j}"
-    parts.append(f"{f}_d AS MATERIALIZED ({' UNION ALL '.join(f'SELECT window_id, {j} AS level, k, d FROM {f}_c{j}' for j in range(1, levels + 1))})")
+    parts.append(f"{f}_d AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {keys}, {j} AS level, k, d FROM {f}_c{j}' for j in range(1, levels + 1))})")
     return ",\n".join(parts)
 
 
+def hurst(source: str, keys: str, low: int, floor: float = 0.0) -> str:
+    """(keys, H) of a relation (keys, level, k, d)."""
+    energies = f"SELECT {keys}, level, avg(d * d) AS e FROM {source} WHERE level >= {low} GROUP BY {keys}, level"
+    return f"(SELECT {keys}, CASE WHEN count(*) > 1 THEN (regr_slope(log2(e), level) + 1) / 2 END AS H FROM ({energies}) WHERE e > {floor} GROUP BY {keys})"
+
+
+def spectrum(source: str, keys: str, low: int, faint: float = 0.0) -> str:
+    """(keys, alpha_width, alpha_peak, f_alpha_peak) of a relation (keys, level, k, d); sizes below faint count as zero."""
+    source = f"(SELECT {keys}, level, k, CASE WHEN abs(d) < {faint} THEN 0.0 ELSE d END AS d FROM {source})" if faint else source
+    sums = f"SELECT {keys}, level, q, CASE WHEN q = 0 THEN avg(ln(abs(d) + 1e-12)) / ln(2.0) ELSE log2(avg(power(abs(d) + 1e-12, q))) END AS y FROM {source}, (SELECT CAST(unnest(range(-5, 6)) AS DOUBLE) AS q) WHERE level >= {low} GROUP BY {keys}, level, q"
+    zeta = f"SELECT {keys}, q, -regr_slope(y, level) AS zeta FROM ({sums}) GROUP BY {keys}, q"
+    alpha = f"SELECT {keys}, q, zeta, (coalesce(lead(zeta) OVER s, zeta) - coalesce(lag(zeta) OVER s, zeta)) / (coalesce(lead(q) OVER s, q) - coalesce(lag(q) OVER s, q)) AS alpha FROM ({zeta}) WINDOW s AS (PARTITION BY {keys} ORDER BY q)"
+    return f"(SELECT {keys}, max(alpha) - min(alpha) AS alpha_width, arg_max(alpha, q * alpha - zeta + 1) AS alpha_peak, max(q * alpha - zeta + 1) AS f_alpha_peak FROM ({alpha}) GROUP BY {keys})"
+
+
 def lifted(step: str, i: int, c: float, keys: str) -> str:
     """One lifting step over a relation (keys, k, s, d): even numbers change d by the next s, odd ones s by the last d."""
     by = f"PARTITION BY {keys} ORDER BY k"
@@ -69,9 +83,10 @@ def synthesis(family: str, size: int, levels: int) -> str:
     return ",\n".join(parts)
 
 
-def results(families: dict[str, str], size: int, levels: int, eps: float, low: int | None = None, few: int = 5) -> str:
+def results(families: dict[str, str], size: int, levels: int, eps: float, low: int | None = None, few: int = 5, by: str | None = None) -> str:
     """fr (method, window_id, retain, psnr, kept, total, H): methods by name and their families; `_pool` ends a name of one
-    pool, and `learned` has the `few` levels of trained()'s bank."""
+    pool, and `learned` has the `few` levels of trained()'s bank. H is by Haar levels; with `by`, by that family's, and
+    fr has alpha_width, alpha_peak and f_alpha_peak too."""
     parts, rows = [], []
     for method, family in families.items():
         f = ident(family)
@@ -85,7 +100,12 @@ def results(families: dict[str, str], size: int, levels: int, eps: float, low: i
         if low:
             d = f"SELECT window_id, retain, level, k >> level AS q, sum(CASE WHEN (k >> (level - 1)) % 2 = 0 THEN y ELSE -y END) / sqrt(CAST(1 << level AS DOUBLE)) AS d FROM {f}_y0, (SELECT unnest(range({low}, {levels + 1})) AS level) GROUP BY window_id, retain, level, k >> level"
             h = f"(SELECT window_id, retain, CASE WHEN count(*) > 1 THEN (regr_slope(log2(e), level) + 1) / 2 END AS H FROM (SELECT window_id, retain, level, avg(d * d) AS e FROM ({d}) GROUP BY window_id, retain, level) WHERE e > 1e-28 GROUP BY window_id, retain)"
-        rows.append(f"SELECT '{method}' AS method, window_id, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, psnr, kept, total, H FROM {psnr} JOIN {kept} USING (window_id, retain) LEFT JOIN {h} USING (window_id, retain)")
+        more = ""
+        if by:
+            parts.append(analysis(by, size, levels, f"(SELECT window_id, retain, k, y AS a FROM {f}_y0)", "window_id, retain", f"{f}_by"))
+            h, more = hurst(f"{f}_by_d", "window_id, retain", low, 1e-28), f" LEFT JOIN {spectrum(f'{f}_by_d', 'window_id, retain', low, 1e-10)} USING (window_id, retain)"
+        extra = ", alpha_width, alpha_peak, f_alpha_peak" if by else ""
+        rows.append(f"SELECT '{method}' AS method, window_id, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, psnr, kept, total, H{extra} FROM {psnr} JOIN {kept} USING (window_id, retain) LEFT JOIN {h} USING (window_id, retain){more}")
     return ",\n".join(parts) + ",\nfr AS (" + " UNION ALL ".join(rows) + ")\n"
 
 

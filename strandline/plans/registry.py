@@ -427,7 +427,18 @@ def _(spark, sf_dir):
     return tidy(metrics.hurst_rs(windows(spark, sf_dir), SIZE), "window_id", "H_rs")
 
 
-@query("local_whittle")
+def whittle_points(source: str, keys: str, n: int) -> str:
+    """(keys, pts) of a relation (keys, i, x) of n samples: frequency and power of the lowest terms."""
+    m = metrics.whittle_frequencies(n)
+    terms = f"SELECT {keys}, k, 2 * pi() * k / {n} AS l, power(sum(x * cos(2 * pi() * k * i / {n})), 2) + power(sum(x * sin(2 * pi() * k * i / {n})), 2) AS p FROM {source}, (SELECT unnest(range(1, {m + 1})) AS k) GROUP BY {keys}, k"
+    return f"(SELECT {keys}, list({{'l': l, 'p': p}} ORDER BY k) AS pts FROM ({terms}) GROUP BY {keys})"
+
+
+WHITTLE = metrics.whittle_sql(whittle_points("win", "window_id", SIZE), "window_id")
+WHITTLE_M = metrics.whittle_frequencies(SIZE)
+
+
+@query("local_whittle", f", {WHITTLE} SELECT window_id, {r6('H_lw', f'0.5 / sqrt({WHITTLE_M}) AS H_lw_se')}, CAST({WHITTLE_M} AS BIGINT) AS H_lw_m FROM lwh")
 def _(spark, sf_dir):
     return tidy(metrics.local_whittle(windows(spark, sf_dir)), "window_id", "H_lw", "H_lw_se", "H_lw_m")
 
@@ -510,6 +521,26 @@ def _(spark, sf_dir):
     return tidy(stats.block_bootstrap_ci(metrics.hurst_wavelet(haar(spark, sf_dir)).select("series_id", "window_id", "H"), ["series_id"], "H", "window_id", 1, 200))
 
 
+@query("moving_block_ci", stats.moving_sql("method, retain_ppm", "psnr", "res", "window_id", 3, 200))
+def _(spark, sf_dir):
+    """Intervals of the mean PSNR by overlapping blocks of three windows, the last of a replicate cut short."""
+    return tidy(stats.moving_block_ci(results(spark, sf_dir), ["method", "retain_ppm"], "psnr", "window_id", 3, 200))
+
+
+@query("moving_block_ci_fine", stats.moving_sql("level", "y", "(SELECT CAST(level AS BIGINT) AS level, window_id * 512 + k AS place, log2(d * d) AS y FROM coef WHERE level <= 2 AND d <> 0)", "place", 50, 40, 3))
+def _(spark, sf_dir):
+    """Many values: log-energies of single coefficients by level, in blocks of fifty."""
+    d = coefficients(haar(spark, sf_dir)).where("level <= 2 and d <> 0").select(F.col("level").cast("long").alias("level"), (F.col("window_id") * 512 + F.col("k")).alias("place"), F.log2(F.col("d") * F.col("d")).alias("y"))
+    return tidy(stats.moving_block_ci(d, ["level"], "y", "place", 50, 40, 3))
+
+
+@query("iid_bootstrap_fixed", stats.moving_sql("series_id", "H", "(SELECT 'all' AS series_id, * FROM hw)", "window_id", 1, 500, 1, "order"))
+def _(spark, sf_dir):
+    """Resamples of as many windows as there are, the interval's ends at whole ranks."""
+    h = metrics.hurst_wavelet(haar(spark, sf_dir)).select("series_id", "window_id", "H")
+    return tidy(stats.moving_block_ci(h, ["series_id"], "H", "window_id", 1, 500, 1, "order"))
+
+
 @query("bootstrap_multifractal")
 def _(spark, sf_dir):
     names = ["alpha_width", "alpha_peak"]
@@ -625,7 +656,37 @@ gf AS (SELECT regr_slope(log2(e), level) AS slope, regr_intercept(log2(e), level
 SELECT {r6('(slope + 1) / 2 AS H', 'slope', 'intercept', 'sqrt(greatest(0, syy - slope * sxy) / (num_levels - 2) / sxx) / 2 AS se_H')}, num_levels FROM gf""")
 def _(spark, sf_dir):
     t = series.truncate_dyadic(series.finite_filter(events_trace(spark, sf_dir)))
-    return tidy(reports.global_hurst_summary(t, SIZE), "H", "slope", "intercept", "se_H", "num_levels")
+    return tidy(reports.global_hurst_summary(t, analysis="haar"), "H", "slope", "intercept", "se_H", "num_levels")
+
+
+def global_sql(family: str, n: str) -> str:
+    """The levels of the whole series by a longer filter: a recursion over levels whose lengths follow from the table."""
+    if family == "bior4.4":
+        step = "(SELECT level, n, k // 2 AS k, max(CASE WHEN k % 2 = 0 THEN a END) AS s, max(CASE WHEN k % 2 = 1 THEN a END) AS d FROM gd WHERE n > 1 GROUP BY level, n, k // 2)"
+        for i, c in enumerate(wavelets.LIFTING):
+            step = family_sql.lifted(step, i, c, "level, n")
+        turn = f"SELECT level + 1 AS level, n // 2 AS n, k, s * {wavelets.LIFTING_SCALE!r} AS a, d / {wavelets.LIFTING_SCALE!r} AS d FROM {step}"
+    else:
+        h, g = wavelets.filters(family)
+        taps = ", ".join(f"({m}, {a!r}, {b!r})" for m, (a, b) in enumerate(zip(h.tolist(), g.tolist())))
+        turn = f"SELECT level + 1 AS level, n // 2 AS n, ((k - m + 64 * n) % n) // 2 AS k, sum(h * a) AS a, sum(g * a) AS d FROM gd JOIN (VALUES {taps}) t(m, h, g) ON (k - m) % 2 = 0 WHERE n > 1 GROUP BY level, n, ((k - m + 64 * n) % n) // 2"
+    return f""", gd AS (SELECT 0 AS level, n2 AS n, pos AS k, value AS a, CAST(0 AS DOUBLE) AS d FROM cut, dy UNION ALL {turn}),
+ge AS (SELECT level, avg(d * d) AS e FROM gd WHERE level >= 2 GROUP BY level),
+gf AS (SELECT regr_slope(log2(e), level) AS slope, regr_intercept(log2(e), level) AS intercept, regr_sxx(log2(e), level) AS sxx, regr_syy(log2(e), level) AS syy, regr_sxy(log2(e), level) AS sxy, count(*) AS num_levels, max(level) AS level_max FROM ge WHERE e > 0),
+gv AS (SELECT *, (slope + 1) / 2 AS H, greatest(0, syy - slope * sxy) / (num_levels - 2) AS v FROM gf)
+SELECT '{family}' AS wavelet, {r6('H', 'slope', 'intercept', 'v AS residual_variance', 'sqrt(v) AS residual_std', 'sqrt(v / sxx) AS se_slope', 'sqrt(v / sxx) / 2 AS se_H', f'greatest(0, least(1, H - {Z} * sqrt(v / sxx) / 2)) AS ci_low', f'greatest(0, least(1, H + {Z} * sqrt(v / sxx) / 2)) AS ci_high')}, num_levels, CAST(level_max AS INTEGER) AS level_max, n2 AS series_length FROM gv, dy"""
+
+
+def global_query(family: str, name: str) -> None:
+    @query(name, global_sql(family, name))
+    def _(spark, sf_dir):
+        """The whole series by blocks of 1,024 samples with margins, so that rounds and circular ends take part at any size."""
+        t = series.truncate_dyadic(series.finite_filter(events_trace(spark, sf_dir)))
+        return tidy(reports.global_hurst_summary(t, analysis=family, block=1024), "wavelet", "H", "slope", "intercept", "residual_variance", "residual_std", "se_slope", "se_H", "ci_low", "ci_high", "num_levels", "level_max", "series_length")
+
+
+for _family in wavelets.MANDATORY:
+    global_query(_family, f"global_hurst_{family_sql.ident(_family)[2:]}")
 
 
 @query("wavelet_experiment", ", " + family_sql.results({"haar_pool": "haar", "db4_pool": "db4"}, SIZE, LEVELS, series.EPS) + f"SELECT method, window_id, retain_ppm, kept, {r6('psnr', 'H_orig')} FROM fr JOIN (SELECT window_id, (regr_slope(log2(e), level) + 1) / 2 AS H_orig FROM en WHERE level BETWEEN 4 AND 12 AND e > 0 GROUP BY window_id) USING (window_id)")
@@ -726,17 +787,51 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The same with the learned bank, and the width of the spectrum."""
     trained = training.train(windows(spark, sf_dir), BANK)
-    r = evaluated(trained, SIZE, (*FAMILIES, "learned"), GRID, low=4, levels=BANK, measures=("H", "deltaH", "psnr", "alpha_width"))
+    r = evaluated(trained, SIZE, (*FAMILIES, "learned"), GRID, low=4, levels=BANK, measures=("H", "deltaH", "psnr", "alpha_width"), analysis="db4")
     return tidy(r, "method", "window_id", "retain_ppm", "H", "deltaH", "psnr", "kept", "alpha_width")
 
 
 @query("run_window_fixed", ", " + family_sql.results(FAMILIES, SIZE, LEVELS, series.EPS, 2) + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'fr.H AS H', 'fr.H - hw.H AS deltaH')} FROM fr JOIN hw USING (window_id)")
 def _(spark, sf_dir):
     """The baselines of run_window, without the learned bank."""
-    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, learned=False)
+    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, learned=False, analysis="haar")
     return tidy(r, "method", "window_id", "retain_ppm", "kept", "total", "psnr", "H", "deltaH")
 
 
+def original(family: str, low: int) -> str:
+    """orig (window_id, H_orig, width_orig): the windows themselves by the levels of a family."""
+    return family_sql.analysis(family, SIZE, LEVELS, name="orig") + f""",
+orig AS (SELECT window_id, H AS H_orig, alpha_width AS width_orig FROM {family_sql.hurst('orig_d', 'window_id', low)} JOIN {family_sql.spectrum('orig_d', 'window_id', low)} USING (window_id))
+"""
+
+
+def by_family(methods: dict[str, str], family: str, low: int) -> str:
+    return ", " + original(family, low) + ", " + family_sql.results(methods, SIZE, LEVELS, series.EPS, low, BANK, family)
+
+
+WHOLE = ("method", "window_id", "retain_ppm", "kept", "total", "psnr", "H", "deltaH", "alpha_width", "alpha_peak", "f_alpha_peak", "delta_alpha_width")
+WHOLE_SQL = f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'H', 'H - H_orig AS deltaH', 'alpha_width', 'alpha_peak', 'f_alpha_peak', 'alpha_width - width_orig AS delta_alpha_width')} FROM fr JOIN orig USING (window_id)"
+
+
+@query("run_window_db4", by_family(FAMILIES, "db4", 2) + WHOLE_SQL)
+def _(spark, sf_dir):
+    """The baselines of run_window, measured as by default: exponents and spectra by db4."""
+    return tidy(reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, learned=False), *WHOLE)
+
+
+@query("run_window_bior", by_family({"haar": "haar", "s8": "s8"}, "bior4.4", 3) + WHOLE_SQL)
+def _(spark, sf_dir):
+    """Two baselines measured by the biorthogonal family from level 3 on."""
+    return tidy(evaluated(windows(spark, sf_dir), SIZE, ("haar", "s8"), RETAINS, low=3, analysis="CDF97"), *WHOLE)
+
+
+@query("compare_hurst_db4", f", ret2 AS ({retain_list(GRID)})" + by_family(FAMILIES, "db4", 4).replace(", ret)", ", ret2)") + f"SELECT method, window_id, retain_ppm, kept, {r6('psnr', 'H', 'H - H_orig AS deltaH', 'alpha_width')} FROM fr JOIN orig USING (window_id)")
+def _(spark, sf_dir):
+    """The fixed families over the linear grid, by db4 levels from 4 on."""
+    r = evaluated(windows(spark, sf_dir), SIZE, tuple(FAMILIES), GRID, low=4, measures=("psnr", "H", "deltaH", "alpha_width"), analysis="db4")
+    return tidy(r, "method", "window_id", "retain_ppm", "kept", "psnr", "H", "deltaH", "alpha_width")
+
+
 # Training
 
 
@@ -787,10 +882,16 @@ def _(spark, sf_dir):
 
 @query("run_window_learned", LEARNED_SQL + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'fr.H AS H', 'fr.H - hw.H AS deltaH')} FROM fr JOIN hw USING (window_id)")
 def _(spark, sf_dir):
-    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, ("haar", "db4"), QUICK)
+    r = reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, ("haar", "db4"), QUICK, analysis="haar")
     return tidy(r, "method", "window_id", "retain_ppm", "kept", "total", "psnr", "H", "deltaH")
 
 
+@query("run_window_learned_db4", stages_of(QUICK) + by_family(TRIO, "db4", 2) + f"SELECT method, window_id, retain_ppm, kept, total, {r6('psnr', 'H', 'H - H_orig AS deltaH')} FROM fr JOIN orig USING (window_id)")
+def _(spark, sf_dir):
+    """The learned bank beside Haar and db4, measured by db4."""
+    return tidy(reports.run_window(windows(spark, sf_dir), SIZE, RETAINS, BANK, ("haar", "db4"), QUICK), *WHOLE[:8])
+
+
 @query("merge_wide_learned", LEARNED_SQL + f"SELECT window_id, retain_ppm, {r6(*(f'max(psnr) FILTER (WHERE method = $${m}$$) AS psnr_{m}' for m in TRIO))} FROM fr GROUP BY window_id, retain_ppm")
 def _(spark, sf_dir):
     return tidy(stats.merge_wide(learned_results(spark, sf_dir), tuple(TRIO)))

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wavelets import MANDATORY, levels_of
-from ..operators import compression, metrics, stats, training
+from ..functions.wavelets import MANDATORY, canonical
+from ..operators import compression, long_series, metrics, stats, training
 from ..operators.evaluation import LEARNED, SHORT, evaluated
 from ..operators.transforms import two_tap_analyze, two_tap_synthesize
 
 KEYS = ["series_id", "window_id"]
 
 
-def run_window(windows: DataFrame, size: int, retains: tuple[float, ...] = compression.RETAINS, levels: int = 5, baselines: tuple[str, ...] = ("haar", *MANDATORY), schedule: tuple[training.Stage, ...] = training.PIPELINE_SCHEDULE, learned: bool = True) -> DataFrame:
-    """Learned bank and every baseline for each window and share, as a long table; windows are read and trained once."""
+def run_window(windows: DataFrame, size: int, retains: tuple[float, ...] = compression.RETAINS, levels: int = 5, baselines: tuple[str, ...] = ("haar", *MANDATORY), schedule: tuple[training.Stage, ...] = training.PIPELINE_SCHEDULE, learned: bool = True, analysis: str = "db4") -> DataFrame:
+    """Learned bank and every baseline for each window and share, as a long table; windows are read and trained once.
+
+    H and spectra are measured by the levels of the analysis family.
+    """
     base = training.train(windows, levels, schedule) if learned else windows
-    return evaluated(base, size, (*([LEARNED] if learned else []), *baselines), retains, levels=levels)
+    return evaluated(base, size, (*([LEARNED] if learned else []), *baselines), retains, levels=levels, analysis=analysis)
 
 
-def run_window_sequential(windows: DataFrame, size: int, retains: tuple[float, ...], levels: int = 5, learned: bool = True) -> DataFrame:
+def run_window_sequential(windows: DataFrame, size: int, retains: tuple[float, ...], levels: int = 5, learned: bool = True, analysis: str = "db4") -> DataFrame:
     """One method only: the learned bank, or the same bank with Haar filters."""
-    return run_window(windows, size, retains, levels, ()) if learned else evaluated(windows, size, (SHORT,), retains, levels=levels)
+    return run_window(windows, size, retains, levels, (), analysis=analysis) if learned else evaluated(windows, size, (SHORT,), retains, levels=levels, analysis=analysis)
 
 
 def wide(results: DataFrame, values: tuple[str, ...] = ("psnr", "H", "deltaH", "alpha_width", "kept", "total"), methods: tuple[str, ...] = ("learned", "haar", *MANDATORY)) -> DataFrame:
@@ -35,34 +38,20 @@ def pr_report(windows: DataFrame, levels: int = 5, filters: str | None = None) -
     return out.select(*KEYS, metrics.pr_check().alias("pr"), metrics.rel_l2_error().alias("rel_l2_error"), metrics.parseval_error().alias("parseval_error"), metrics.sparsity_loss().alias("sparsity_loss")).select(*KEYS, "pr.*", "rel_l2_error", "parseval_error", "sparsity_loss")
 
 
-def global_hurst_summary(t: DataFrame, size: int = 1024, low: int = 2) -> DataFrame:
-    """Hurst exponent with its interval for a whole dyadic series (series_id, pos, value), by all Haar levels.
+def global_hurst_summary(t: DataFrame, low: int = 2, analysis: str = "db4", block: int = 1 << 14) -> DataFrame:
+    """Hurst exponent with its interval for whole dyadic series (series_id, pos, value), by all levels of a family.
 
-    Levels within blocks of `size` samples come from the blocks; the levels above them from the blocks' sums, block by
-    block twice as long, so no array holds more than one block and a series of any length is spread over tasks.
+    residual_std, level range, family, length and the parameters stand beside it, as in a run's summary.
     """
-    from ..operators.series import window_series
-
-    levels = levels_of(size)
-    blocks = two_tap_analyze(window_series(t, size), levels)
-    # Levels beyond the blocks: each block leaves one approximation coefficient, and those form the next series.
-    coarse = blocks.select("series_id", (F.col("window_id") - 1).cast("long").alias("pos"), F.get("approx", 0).alias("value"))
-    fine = blocks.select("series_id", F.posexplode("details").alias("_j", "_d")).groupBy("series_id", (F.col("_j") + 1).alias("level"))
-    fine = fine.agg(F.sum(metrics.energy(F.col("_d"))).alias("e"), F.sum(F.size("_d").cast("long")).alias("n"))
-    j = F.explode(F.sequence(F.lit(1), F.lit(62)))
-    n = coarse.groupBy("series_id").agg(F.count("*").alias("_n"))
-    # sums over 2 ** j neighbouring blocks with the sign of the half they are in
-    rows = coarse.join(n, "series_id").withColumn("_l", j).where("shiftleft(1L, _l) <= _n")
-    sign = F.when(F.expr("shiftright(pos, _l - 1) % 2") == 0, F.col("value")).otherwise(-F.col("value"))
-    high = rows.groupBy("series_id", "_l", F.expr("shiftright(pos, _l)").alias("_k")).agg((F.sum(sign) / F.sqrt(F.max(F.expr("shiftleft(1L, _l)")).cast("double"))).alias("d"))
-    high = high.groupBy("series_id", (F.col("_l") + levels).alias("level")).agg(F.sum(F.col("d") * F.col("d")).alias("e"), F.count("*").alias("n"))
-    energies = fine.unionByName(high).where((F.col("level") >= low) & (F.col("e") > 0)).select("series_id", "level", F.log2(F.col("e") / F.col("n")).alias("y"))
+    energies = long_series.level_energies(t, analysis, block).where((F.col("level") >= low) & (F.col("e") > 0)).select("series_id", "level", F.log2(F.col("e") / F.col("n")).alias("y"), "series_length")
     x, y = F.col("level"), F.col("y")
-    fit = energies.groupBy("series_id").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count("*").alias("num_levels"), F.min("level").alias("level_min"), F.max("level").alias("level_max"))
+    fit = energies.groupBy("series_id").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count("*").alias("num_levels"), F.min("level").alias("level_min"), F.max("level").alias("level_max"), F.max("series_length").alias("series_length"))
     fit = fit.withColumn("residual_variance", F.when(F.col("num_levels") >= 3, F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")) / F.greatest(F.col("num_levels") - 2, F.lit(1))))
     fit = fit.withColumn("H", (F.col("slope") + 1) / 2).withColumn("se_slope", F.sqrt(F.try_divide(F.col("residual_variance"), F.col("sxx")))).withColumn("se_H", F.col("se_slope") / 2)
     cut = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    return fit.select("series_id", "H", cut(F.col("H") - metrics.Z95 * F.col("se_H")).alias("ci_low"), cut(F.col("H") + metrics.Z95 * F.col("se_H")).alias("ci_high"), "slope", "intercept", "se_H", "se_slope", "residual_variance", (F.col("num_levels") - 2).alias("dof"), "num_levels", "level_min", "level_max")
+    fit = fit.withColumn("residual_std", F.sqrt("residual_variance")).withColumn("dof", F.col("num_levels") - 2).withColumn("wavelet", F.lit(canonical(analysis))).withColumn("min_level_param", F.lit(low)).withColumn("alpha", F.lit(0.05))
+    ends = (cut(F.col("H") - metrics.Z95 * F.col("se_H")).alias("ci_low"), cut(F.col("H") + metrics.Z95 * F.col("se_H")).alias("ci_high"))
+    return fit.select("series_id", "H", *ends, "slope", "intercept", "se_H", "se_slope", "residual_variance", "residual_std", "dof", "num_levels", "level_min", "level_max", "min_level_param", "alpha", "wavelet", "series_length")
 
 
 def hurst_summary(values: DataFrame, value: str = "H", keys: list[str] | None = None, levels: tuple[str, int] | None = None, n_boot: int = 0, block: int = 8, seed: int = 1) -> DataFrame:
