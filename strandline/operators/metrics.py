@@ -159,13 +159,30 @@ def residual(s: int):
     return lambda k: F.aggregate(F.slice("_y", k * s + 1, F.lit(s)), zero, add, left)
 
 
-def dfa(windows: DataFrame, size: int, out: str = "H_dfa") -> DataFrame:
-    """windows with the exponent of detrended fluctuation (order 1); null below four usable scales or a zero fluctuation.
+def trends(s: int, order: int) -> np.ndarray:
+    """Orthonormal polynomials up to an order over s places, as columns."""
+    u = (np.arange(s) - (s - 1) / 2) / s
+    return np.linalg.qr(np.vander(u, order + 1, increasing=True))[0]
+
+
+def detrended(y: np.ndarray, s: int, order: int) -> np.ndarray:
+    """The mean squared residual of each segment of s samples of the profiles in rows about its polynomial."""
+    segments = y[:, : y.shape[1] // s * s].reshape(len(y), -1, s)
+    q = trends(s, order)
+    return ((segments - segments @ q @ q.T) ** 2).mean(axis=2)
+
+
+def dfa(windows: DataFrame, size: int, out: str = "H_dfa", order: int = 1) -> DataFrame:
+    """windows with the exponent of detrended fluctuation; null below four usable scales or a zero fluctuation.
+
+    Segments are detrended by polynomials of any order, for orders above 1 in one Arrow function.
 
     The profile is the running sum of the centred window; a segment's mean squared residual about its line is
     (Syy - Sxy^2 / Sxx) / s, taken from prefix sums, so each scale costs a few array reads per segment.
     """
     scales = [s for s in dfa_scales(size) if size // s >= 4]
+    if order != 1:
+        return dfa_of_order(windows, scales, order, out)
     # running sums of whole windows at once: growing an array in an aggregate would copy it for every sample
     centred = lambda m: m - m.mean(axis=1, keepdims=True)
     df = add_columns(windows, {"_y": REALS}, lambda b: {"_y": lists(centred(matrix(b.column("x"))).cumsum(axis=1))})
@@ -178,6 +195,19 @@ def dfa(windows: DataFrame, size: int, out: str = "H_dfa") -> DataFrame:
     return df.withColumn(out, F.when(F.col("_fit.n") >= 4, F.col("_fit.slope"))).drop("_y", "_f", "_fit")
 
 
+def dfa_of_order(windows: DataFrame, scales: list[int], order: int, out: str) -> DataFrame:
+    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        x = matrix(b.column("x"))
+        y = (x - x.mean(axis=1, keepdims=True)).cumsum(axis=1)
+        return {"_f": lists(np.stack([detrended(y, s, order).mean(axis=1) for s in scales], axis=1) if scales else np.zeros((len(x), 0)))}
+
+    df = add_columns(windows, {"_f": REALS}, run)
+    points = F.transform("_f", lambda f, i: F.struct(F.log(F.get(F.array(*(F.lit(float(s)) for s in scales or [1])), i)).alias("x"), f.alias("f2")))
+    df = let(df, _f=F.filter(points, lambda p: p["f2"] > 0))
+    df = with_fit(df, F.transform("_f", lambda p: F.struct(p["x"].alias("x"), (F.log(p["f2"]) / 2).alias("y"))), "_fit")
+    return df.withColumn(out, F.when(F.col("_fit.n") >= 4, F.col("_fit.slope"))).drop("_f", "_fit")
+
+
 def hurst_rs(windows: DataFrame, size: int, out: str = "H_rs") -> DataFrame:
     """windows with the rescaled-range exponent: chunks of 8, 16, ... 1024 samples while eight of them fit.
 

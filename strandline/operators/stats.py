@@ -166,32 +166,59 @@ def summary(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs, F.count("*").alias("rows"))
 
 
-def quantiles(df: DataFrame, value: str, wanted: dict[str, float], parts: int = 256) -> DataFrame:
-    """One row with the exact quantiles of value by name, between ranks by proportion; null without values. Nulls are left out.
+FIVE = {"min": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "max": 1.0}
+
 
-    Approximate quantiles part the values into at most `parts` ranges, whose counts tell in which range each rank lies;
-    only these ranges are sorted, each in a task of its own and equal values as one row.
+def describe(df: DataFrame, columns: list[str], wanted: dict[str, float] = FIVE, parts: int = 256) -> DataFrame:
+    """variable, count, missing, mean, std and the exact quantiles wanted, for each numeric column; between ranks by proportion.
+
+    All columns are worked on together. Approximate quantiles part each one's values into at most `parts` ranges, whose
+    counts tell in which range each rank lies; only these ranges are sorted, each in a task of its own and equal values as
+    one row. NaN counts as missing. The result is a row a column, so it is small, and what was kept for it is released.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).persist()
-    cuts = rows.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
-    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())  # a row for each range
-    n = sum(c for _, c in counts)
-
-    def place(rank: int) -> tuple[int, int]:
-        """The range that holds a rank (from 0), and the rank in it from 1."""
-        for p, c in counts:
-            if rank < c:
-                return p, rank + 1
-            rank -= c
-        return -1, 0
-
-    ends = {name: [place(math.floor(q * (n - 1))), place(math.ceil(q * (n - 1)))] for name, q in wanted.items()}
-    used = rows.withColumn("p", part).where(F.col("p").isin(sorted({p for e in ends.values() for p, _ in e}))).groupBy("p", "v").agg(F.count("*").alias("c"))
-    upto = used.withColumn("r", F.sum("c").over(Window.partitionBy("p").orderBy("v")))
-    at = lambda p, r: F.max(F.when((F.col("p") == p) & (F.col("r") >= r) & (F.col("r") - F.col("c") < r), F.col("v")))
-    share = lambda q: q * (n - 1) - math.floor(q * (n - 1))
-    return upto.agg(*((at(*lo) + (at(*hi) - at(*lo)) * share(wanted[name])).alias(name) for name, (lo, hi) in ends.items()))
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for c in columns)))
+    rows = df.select(values.alias("x")).select("x.*").persist()
+    cuts = [i / parts for i in range(1, parts)]
+    known = rows.groupBy("variable").agg(F.count("*").alias("n"), F.count("v").alias("c"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile_approx("v", cuts, 10_000).alias("cuts")).collect()
+    few = df.sparkSession.createDataFrame([(r["variable"], sorted(set(r["cuts"] or []))) for r in known], "variable string, cuts array<double>") if known else None
+    out = []
+    if known:
+        placed = rows.where("v is not null").join(F.broadcast(few), "variable").withColumn("p", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).select("variable", "p", "v")
+        sizes: dict[str, list[tuple[int, int]]] = {}
+        for r in placed.groupBy("variable", "p").count().orderBy("variable", "p").collect():  # a row for each range
+            sizes.setdefault(r["variable"], []).append((r["p"], r["count"]))
+
+        def place(variable: str, rank: int) -> tuple[int, int]:
+            """The range that holds a rank (from 0), and the rank in it from 1."""
+            for p, c in sizes.get(variable, []):
+                if rank < c:
+                    return p, rank + 1
+                rank -= c
+            return -1, 0
+
+        ends = {(r["variable"], name): [place(r["variable"], f(q * (r["c"] - 1))) for f in (math.floor, math.ceil)] for r in known for name, q in wanted.items()}
+        asked = df.sparkSession.createDataFrame(sorted({(v, *e) for (v, _), both in ends.items() for e in both}), "variable string, p int, r long")
+        used = placed.join(F.broadcast(asked.select("variable", "p").distinct()), ["variable", "p"]).groupBy("variable", "p", "v").agg(F.count("*").alias("c"))
+        upto = used.withColumn("to", F.sum("c").over(Window.partitionBy("variable", "p").orderBy("v")))
+        hits = upto.join(F.broadcast(asked), ["variable", "p"]).where("r <= to and r > to - c")
+        at = {(r["variable"], r["p"], r["r"]): r["v"] for r in hits.select("variable", "p", "r", "v").collect()}  # two a quantile
+        for r in known:
+            row = [r["variable"], r["c"], r["n"] - r["c"], r["mean"], r["std"]]
+            for name, q in wanted.items():
+                lo, hi = (at.get((r["variable"], *e)) for e in ends[r["variable"], name])
+                share = q * (r["c"] - 1) - math.floor(q * (r["c"] - 1))
+                row.append(None if lo is None else lo + (hi - lo) * share)
+            out.append(tuple(row))
+    else:
+        out = [(c, 0, 0, None, None, *(None for _ in wanted)) for c in columns]
+    rows.unpersist()
+    kind = "variable string, count long, missing long, mean double, std double" + "".join(f", `{name}` double" for name in wanted)
+    return df.sparkSession.createDataFrame(sorted(out), kind)
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], parts: int = 256) -> DataFrame:
+    """One row with the exact quantiles of value by name, as describe() finds them; null without values."""
+    return describe(df, [value], wanted, parts).select(*wanted)
 
 
 def guarded_corr(x: str, y: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import wavelets
-from ..operators import compression, metrics, series, spectral, stats, training
+from ..operators import compression, long_series, metrics, series, spectral, stats, training
 from ..operators.evaluation import evaluated
 from ..operators.transforms import REALS, add_columns, coefficients, lists, dwt, idwt, two_tap_analyze, two_tap_synthesize
 from ..sources.tables import events_trace, numeric_trace, table, union_results
@@ -417,6 +417,53 @@ def _(spark, sf_dir):
     return tidy(metrics.dfa(windows(spark, sf_dir), SIZE), "window_id", "H_dfa")
 
 
+def dfa_sql(order: int) -> str:
+    """DFA of every window with polynomials of an order, whose values are a table."""
+    scales = [s for s in metrics.dfa_scales(SIZE) if SIZE // s >= 4]
+    table = ", ".join(f"({s}, {i}, " + ", ".join(repr(float(v)) for v in row) + ")" for s in scales for i, row in enumerate(metrics.trends(s, order)))
+    names = [f"q{k}" for k in range(order + 1)]
+    fitted = " + ".join(f"power(sum(y * {q}), 2)" for q in names)
+    return f""", poly(s, o, {', '.join(names)}) AS (VALUES {table}),
+prof AS (SELECT window_id, i, sum(x) OVER (PARTITION BY window_id ORDER BY i) AS y FROM (SELECT window_id, i, x - avg(x) OVER (PARTITION BY window_id) AS x FROM win)),
+seg AS (SELECT window_id, s, i // s AS seg, (sum(y * y) - ({fitted})) / s AS r FROM prof JOIN poly ON o = i % s WHERE i // s < {SIZE} // s GROUP BY window_id, s, i // s)
+SELECT window_id, {r6('regr_slope(ln(f2) / 2, ln(s)) AS H_dfa')} FROM (SELECT window_id, s, avg(r) AS f2 FROM seg GROUP BY window_id, s) GROUP BY window_id"""
+
+
+def dfa_queries(order: int) -> None:
+    @query(f"dfa_order_{order}", dfa_sql(order))
+    def _(spark, sf_dir):
+        return tidy(metrics.dfa(windows(spark, sf_dir), SIZE, order=order), "window_id", "H_dfa")
+
+
+for _order in (2, 3):
+    dfa_queries(_order)
+
+
+def long_dfa_sql(order: int) -> str:
+    """DFA of the whole series: segments by regression on powers of the place, whose sums are taken from the rows."""
+    scale = lambda i: f"CAST(round_even(exp(ln(16) + (ln(greatest(32, n // 8)) - ln(16)) * {i} / 11.0), 0) AS BIGINT)"
+    pair = lambda a, b, p, q, r: f"({r} * {a} * {a} - 2 * {q} * {a} * {b} + {p} * {b} * {b}) / ({p} * {r} - {q} * {q})"
+    even, odd = ("y0 * y0 / g0" if order < 2 else pair("y0", "y2", "g0", "g2", "g4")), ("y1 * y1 / g2" if order < 3 else pair("y1", "y3", "g2", "g4", "g6"))
+    sums = ", ".join([*(f"sum(y * power(u, {k})) AS y{k}" for k in range(4)), *(f"sum(power(u, {k})) AS g{k}" for k in (0, 2, 4, 6))])
+    return f""", sc AS (SELECT DISTINCT unnest([{', '.join(scale(i) for i in range(12))}]) AS s, n FROM dy),
+prof AS (SELECT pos, sum(value - (SELECT avg(value) FROM tr)) OVER (ORDER BY pos) AS y FROM tr),
+seg AS (SELECT s, sum(y * y) AS yy, {sums} FROM (SELECT s, pos // s AS seg, y, (pos % s - (s - 1) / 2.0) / s AS u FROM prof, sc WHERE n // s >= 4 AND pos < n // s * s) GROUP BY s, seg),
+fl AS (SELECT s, avg((yy - {even} - {odd}) / s) AS f2 FROM seg GROUP BY s)
+SELECT {order} AS fit_order, {r6('regr_slope(ln(f2) / 2, ln(s)) AS H_dfa')}, count(*) AS scales FROM fl"""
+
+
+def long_dfa_query(order: int) -> None:
+    @query(f"dfa_series_{order}", long_dfa_sql(order))
+    def _(spark, sf_dir):
+        """The whole series, by blocks of 1,000 samples, which the segments don't fit into."""
+        found = long_series.dfa(series.finite_filter(events_trace(spark, sf_dir)), order, 1000)
+        return tidy(found, F.lit(order).alias("fit_order"), "H_dfa", "scales")
+
+
+for _order in (1, 2, 3):
+    long_dfa_query(_order)
+
+
 @query("hurst_rs", f"""SELECT window_id, {r6('regr_slope(ln(rs), ln(s)) AS H_rs')} FROM (
   SELECT window_id, s, avg((hi - lo) / sd) AS rs FROM (
     SELECT window_id, s, seg, max(y) AS hi, min(y) AS lo, any_value(sd) AS sd FROM (
@@ -438,6 +485,17 @@ WHITTLE = metrics.whittle_sql(whittle_points("win", "window_id", SIZE), "window_
 WHITTLE_M = metrics.whittle_frequencies(SIZE)
 
 
+WHOLE_WHITTLE = f"""wf AS (SELECT n, least(greatest(10, least(n // 10, CAST(floor(sqrt(n)) AS BIGINT))), greatest(1, n // 2 - 1)) AS m FROM dy),
+wt AS (SELECT n, m, k, 2 * pi() * k / n AS l, power(sum(value * cos(2 * pi() * (k * pos % n) / n)), 2) + power(sum(value * sin(2 * pi() * (k * pos % n) / n)), 2) AS p FROM tr, (SELECT n, m, unnest(range(1, m + 1)) AS k FROM wf) GROUP BY n, m, k),
+wp AS (SELECT n, m, list({{'l': l, 'p': p}} ORDER BY k) AS pts FROM wt GROUP BY n, m),
+{metrics.whittle_sql('wp', 'n, m')}"""
+
+
+@query("local_whittle_series", f", {WHOLE_WHITTLE} SELECT n, m, {r6('H_lw', '0.5 / sqrt(m) AS H_lw_se', 'H_lw - 1.96 * 0.5 / sqrt(m) AS H_lw_ci_low', 'H_lw + 1.96 * 0.5 / sqrt(m) AS H_lw_ci_high')} FROM lwh")
+def _(spark, sf_dir):
+    return tidy(long_series.local_whittle(series.finite_filter(events_trace(spark, sf_dir)), 1000), "n", "m", "H_lw", "H_lw_se", "H_lw_ci_low", "H_lw_ci_high")
+
+
 @query("local_whittle", f", {WHITTLE} SELECT window_id, {r6('H_lw', f'0.5 / sqrt({WHITTLE_M}) AS H_lw_se')}, CAST({WHITTLE_M} AS BIGINT) AS H_lw_m FROM lwh")
 def _(spark, sf_dir):
     return tidy(metrics.local_whittle(windows(spark, sf_dir)), "window_id", "H_lw", "H_lw_se", "H_lw_m")
@@ -612,6 +670,15 @@ def _(spark, sf_dir):
     return tidy(stats.quantiles(h, "H", {"h_min": 0.0, "h_q25": 0.25, "h_median": 0.5, "h_q75": 0.75, "h_max": 1.0}))
 
 
+DESCRIBED = ("retain", "kept", "total", "psnr", "H", "deltaH")
+
+
+@query("describe_metrics_all", ", ds AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM res" for c in DESCRIBED) + f") SELECT variable, count(v) AS count, count(*) - count(v) AS missing, {r6('avg(v) AS mean', 'stddev_samp(v) AS std', 'min(v) AS min', 'quantile_cont(v, 0.25) AS q25', 'quantile_cont(v, 0.5) AS median', 'quantile_cont(v, 0.75) AS q75', 'max(v) AS max')} FROM ds GROUP BY variable")
+def _(spark, sf_dir):
+    """Every metric column of the results described, missing values counted."""
+    return tidy(stats.describe(results(spark, sf_dir, "psnr", "H", "deltaH"), list(DESCRIBED)))
+
+
 @query("pearson", f"SELECT retain_ppm, {r6('corr(psnr, hw.H) AS r')}, count(*) AS n FROM res JOIN hw USING (window_id) WHERE method = 'haar' AND psnr IS NOT NULL GROUP BY retain_ppm")
 def _(spark, sf_dir):
     return tidy(covariates(spark, sf_dir, "haar", "H_orig"), "retain_ppm", "r", "n")
@@ -748,6 +815,16 @@ def _(spark, sf_dir):
     return tidy(reports.raw_hurst_report(windows(spark, sf_dir), SIZE), "dfa_windows", "H_dfa_mean", "H_dfa_std")
 
 
+DFA_ROWS = DFA_SQL.replace(", 6) + 0.0 AS H_dfa", ", 15) AS H_dfa")
+
+
+@query("raw_hurst_report_full", f", dfas AS (SELECT 'all' AS series_id, * FROM ({DFA_ROWS})), {WHOLE_WHITTLE}, boot AS ({stats.moving_sql('series_id', 'H_dfa', 'dfas', 'window_id', 1, 500, 1, 'order')}) SELECT lwh.n AS N, boot.n AS dfa_windows, mean AS H_dfa_mean, std AS H_dfa_std, ci_low AS H_dfa_ci_low, ci_high AS H_dfa_ci_high, {r6('H_lw', '0.5 / sqrt(m) AS H_lw_se', 'H_lw - 1.96 * 0.5 / sqrt(m) AS H_lw_ci_low', 'H_lw + 1.96 * 0.5 / sqrt(m) AS H_lw_ci_high')}, m AS lw_m FROM lwh, boot")
+def _(spark, sf_dir):
+    """The report with all its intervals, local Whittle on the whole trace."""
+    found = reports.raw_hurst_report(windows(spark, sf_dir), SIZE, series.finite_filter(events_trace(spark, sf_dir)))
+    return tidy(found.drop("series_id"))
+
+
 @query("external_model_compare", f"SELECT retain_ppm, {r6('p AS psnr_ours', 'p - max(CASE WHEN retain_ppm = 800000 THEN p END) OVER () AS delta_ours', 'q AS psnr_theirs', 'q - max(CASE WHEN retain_ppm = 800000 THEN q END) OVER () AS delta_theirs')} FROM (SELECT retain_ppm, avg(psnr) FILTER (WHERE method = 'haar_bank') AS p, avg(psnr) FILTER (WHERE method = 'haar') AS q FROM res GROUP BY retain_ppm)")
 def _(spark, sf_dir):
     r = results(spark, sf_dir)

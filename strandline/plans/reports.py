@@ -111,10 +111,16 @@ def method_stats(results: DataFrame, values: tuple[str, ...] = ("deltaH", "psnr"
     return out.withColumn("margin", stats.confidence_margin(F.col("n"), F.col("std")))
 
 
-def raw_hurst_report(windows: DataFrame, size: int) -> DataFrame:
-    """Mean, std and interval of DFA over windows, and local Whittle beside it."""
-    out = metrics.local_whittle(metrics.dfa(windows, size))
-    return out.groupBy("series_id").agg(F.count("H_dfa").alias("dfa_windows"), F.avg("H_dfa").alias("H_dfa_mean"), F.stddev_samp("H_dfa").alias("H_dfa_std"), F.avg("H_lw").alias("H_lw_mean"), F.max("H_lw_se").alias("H_lw_se"), F.max("H_lw_m").alias("lw_m"))
+def raw_hurst_report(windows: DataFrame, size: int, trace: DataFrame | None = None, order: int = 1, n_boot: int = 500, seed: int = 1) -> DataFrame:
+    """Mean, std and bootstrap interval of DFA over windows; with the whole trace (series_id, pos, value) also its length
+    and its local Whittle estimate with the interval of 1.96 standard errors."""
+    h = metrics.dfa(windows, size, order=order).select("series_id", "window_id", "H_dfa")
+    names = {"n": "dfa_windows", "mean": "H_dfa_mean", "std": "H_dfa_std", "ci_low": "H_dfa_ci_low", "ci_high": "H_dfa_ci_high"}
+    out = stats.moving_block_ci(h, ["series_id"], "H_dfa", "window_id", 1, n_boot, seed, "order").withColumnsRenamed(names)
+    if trace is None:
+        return out
+    whole = long_series.local_whittle(trace).withColumnsRenamed({"n": "N", "m": "lw_m"})
+    return whole.join(out, "series_id", "left")
 
 
 def external_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
