@@ -31,7 +31,13 @@ def bank(level: int, filters: str | None) -> tuple[tuple[Column, Column], tuple[
 
 
 def two_tap_analyze(windows: DataFrame, levels: int, filters: str | None = None) -> DataFrame:
-    """windows with approx and details of `levels` levels; each length must be divisible by two that often."""
+    """windows with approx and details of `levels` levels; each length must be divisible by two that often.
+
+    Haar is one fold over the levels, which keeps the plan short; a bank of columns gets a projection for each level, as
+    its filters would be looked up for every element.
+    """
+    if filters is None:
+        return haar_analyze(windows, levels)
     out = let(windows, _a=F.col("x"))
     for j in range(1, levels + 1):
         h, g = bank(j, filters)
@@ -43,8 +49,23 @@ def two_tap_analyze(windows: DataFrame, levels: int, filters: str | None = None)
     return let(out, details=F.array(*details), approx=F.col("_a")).drop("_a", "_p", *details)
 
 
+def haar_analyze(windows: DataFrame, levels: int) -> DataFrame:
+    def level(acc: Column, _: Column) -> Column:
+        at = F.sequence(F.lit(0), F.shiftright(F.size(acc["a"]), 1) - 1)
+        u, v = (lambda i, o=o: F.get(acc["a"], 2 * i + o) * R for o in (0, 1))
+        return F.struct(F.transform(at, lambda i: u(i) + v(i)).alias("a"), F.concat(acc["d"], F.array(F.transform(at, lambda i: u(i) - v(i)))).alias("d"))
+
+    start = F.struct(F.col("x").alias("a"), F.array().cast("array<array<double>>").alias("d"))
+    turns = F.sequence(F.lit(1), F.lit(levels)) if levels else F.array().cast("array<int>")
+    out = let(windows, _w=F.aggregate(turns, start, level))
+    return out.select(*(c for c in windows.columns if c not in ("details", "approx")), F.col("_w.d").alias("details"), F.col("_w.a").alias("approx"))
+
+
 def two_tap_synthesize(coefs: DataFrame, levels: int, filters: str | None = None, details: str = "details", out: str = "recon") -> DataFrame:
     """coefs with the signal that approx and details stand for."""
+    if filters is None:
+        both = lambda a, d: F.flatten(F.zip_with(a, d, lambda u, v: F.array(u * R + v * R, u * R - v * R)))
+        return let(coefs, **{out: F.aggregate(F.reverse(details), F.col("approx"), both)})
     df = let(coefs, **{out: F.col("approx")})
     for j in range(levels, 0, -1):
         h, g = bank(j, filters)
