@@ -20,12 +20,17 @@ from pyspark.sql import types as T
 from .transforms import REALS, add_columns, matrix
 
 FILTERS = T.ArrayType(T.StructType([T.StructField("h", REALS), T.StructField("g", REALS)]))
-HISTORY = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("stage", T.IntegerType()), ("iterations", T.IntegerType()), ("lr", T.DoubleType()), ("loss", T.DoubleType()))]))
+HISTORY = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("stage", T.IntegerType()), ("iterations", T.IntegerType()), ("lr", T.DoubleType()), ("loss", T.DoubleType()), ("levels", T.IntegerType()), ("chi", T.IntegerType()), ("chimid", T.IntegerType()), ("init", T.StringType()))]))
 
 
 @dataclass(frozen=True)
 class Stage:
-    """One run of the optimiser; moments of Adam start anew. init: haar, random or previous."""
+    """One run of the optimiser; moments of Adam start anew. init: haar, random or previous.
+
+    levels, chi and chimid are those of the stage before unless given. A stage that changes one of them, or says reinit,
+    can't go on from the bank before it: with init previous it starts from random filters. mse_weight has no effect, since
+    an orthonormal bank reconstructs without error; it is kept with the other settings of a run.
+    """
 
     iterations: int = 50
     lr: float = 5e-3
@@ -38,6 +43,10 @@ class Stage:
     tol: float = 1e-6
     patience: int = 10
     min_iter: int = 10
+    levels: int | None = None
+    chi: int | None = None
+    chimid: int | None = None
+    reinit: bool = False
 
 
 DEFAULT_SCHEDULE = (Stage(200, 5e-3, "haar"), Stage(150, 2.5e-3))
@@ -157,38 +166,59 @@ def optimize(x: np.ndarray, w: np.ndarray, stage: Stage) -> tuple[np.ndarray, np
     return w, final, used
 
 
-def train(windows: DataFrame, levels: int = 5, schedule: tuple[Stage, ...] = PIPELINE_SCHEDULE, chi: int = 2, chimid: int = 2) -> DataFrame:
+def settled(schedule: tuple[Stage, ...], levels: int, chi: int, chimid: int) -> list[tuple[Stage, int, int, int, str]]:
+    """(stage, levels, chi, chimid, start) of every stage: what it inherits, and whether it starts from haar, random or previous."""
+    out = []
+    for stage in schedule:
+        now = (stage.levels or levels, stage.chi or chi, stage.chimid or chimid)
+        anew = stage.reinit or now != (levels, chi, chimid) or stage.init != "previous"
+        start = "previous" if not anew else "haar" if stage.init == "haar" and now[1:] == (2, 2) else "random"
+        levels, chi, chimid = now
+        out.append((stage, *now, start))
+    return out
+
+
+def train(windows: DataFrame, levels: int = 5, schedule: tuple[Stage, ...] = PIPELINE_SCHEDULE, chi: int = 2, chimid: int = 2, resume: bool = False) -> DataFrame:
     """windows with filters (h and g by level), loss, iterations_used, history and error.
 
     A stage with init haar starts from Haar filters if chi = chimid = 2 and from random ones otherwise; previous goes on
-    from the stage before. A window that isn't finite gets an error and Haar filters instead of stopping the job.
+    from the stage before, and a first stage from Haar filters or, with resume, from the filters that the windows bring
+    (with_model() adds them from a table). A window that isn't finite, or can't be halved so often, gets an error and Haar
+    filters instead of stopping the job; so does one whose own filters have another number of levels.
     """
+    plan = settled(schedule, levels, chi, chimid)
+    deepest = max([levels, *(p[1] for p in plan)])
 
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
         x, ids = matrix(b.column("x")), b.column("window_id").to_pylist()
         n = len(x)
-        ok = np.isfinite(x).all(axis=1) if x.shape[1] % (1 << levels) == 0 else np.zeros(n, bool)
+        ok = np.isfinite(x).all(axis=1) if x.shape[1] % (1 << deepest) == 0 else np.zeros(n, bool)
+        w, loss, used, last = haar_blocks(n, levels), np.zeros(n), np.zeros(n, int), levels
+        if resume:
+            banks = b.column("filters").to_pylist()
+            ok &= np.array([bank is not None and len(bank) == levels for bank in banks], bool)
+            for k in np.flatnonzero(ok):
+                w[k] = [[f["h"], f["g"]] for f in banks[k]]
         safe = np.where(ok[:, None], x, 0.0)
-        w, loss, used = haar_blocks(n, levels), np.zeros(n), np.zeros(n, int)
         history: list[list[dict]] = [[] for _ in range(n)]
-        for i, stage in enumerate(schedule):
-            if stage.init == "random" or stage.init == "haar" and (chi, chimid) != (2, 2):
-                w = random_blocks(n, levels, [stage.seed * 1_000_003 + (k or 0) for k in ids], chi, chimid)
-            elif stage.init == "haar":
-                w = haar_blocks(n, levels)
+        for i, (stage, last, wide, inner, start) in enumerate(plan):
+            if start == "random":
+                w = random_blocks(n, last, [stage.seed * 1_000_003 + (k or 0) for k in ids], wide, inner)
+            elif start == "haar":
+                w = haar_blocks(n, last)
             if ok.any():
                 w, loss, steps = optimize(safe, w, stage)
                 used = used + steps
             for k in range(n):
-                history[k].append({"stage": i + 1, "iterations": int(used[k]), "lr": stage.lr, "loss": float(loss[k]) if ok[k] else None})
-        w = np.where(ok[:, None, None, None], w, haar_blocks(n, levels))
+                history[k].append({"stage": i + 1, "iterations": int(used[k]), "lr": stage.lr, "loss": float(loss[k]) if ok[k] else None, "levels": last, "chi": wide, "chimid": inner, "init": start})
+        w = np.where(ok[:, None, None, None], w, haar_blocks(n, last))
         h, g = extract_filters(w)
         return {
-            "filters": pa.array([[{"h": h[i, j].tolist(), "g": g[i, j].tolist()} for j in range(levels)] for i in range(n)], pa.list_(pa.struct([("h", pa.list_(pa.float64())), ("g", pa.list_(pa.float64()))]))),
+            "filters": pa.array([[{"h": h[i, j].tolist(), "g": g[i, j].tolist()} for j in range(last)] for i in range(n)], pa.list_(pa.struct([("h", pa.list_(pa.float64())), ("g", pa.list_(pa.float64()))]))),
             "loss": pa.array([float(v) if k else None for v, k in zip(loss, ok)], pa.float64()),
             "iterations_used": pa.array(used.astype(np.int32)),
-            "history": pa.array(history, pa.list_(pa.struct([("stage", pa.int32()), ("iterations", pa.int32()), ("lr", pa.float64()), ("loss", pa.float64())]))),
-            "error": pa.array([None if k else "window is not finite or too short" for k in ok], pa.string()),
+            "history": pa.array(history, pa.list_(pa.struct([("stage", pa.int32()), ("iterations", pa.int32()), ("lr", pa.float64()), ("loss", pa.float64()), ("levels", pa.int32()), ("chi", pa.int32()), ("chimid", pa.int32()), ("init", pa.string())]))),
+            "error": pa.array([None if k else "window is not finite or too short, or has another bank" for k in ok], pa.string()),
         }
 
     kinds = {"filters": FILTERS, "loss": T.DoubleType(), "iterations_used": T.IntegerType(), "history": HISTORY, "error": T.StringType()}
@@ -203,8 +233,10 @@ def model_table(trained: DataFrame) -> DataFrame:
     return rows.select("series_id", "window_id", (F.col("_j") + 1).alias("level"), h.alias("h"), g.alias("g"), F.atan2(F.get(h, 1), F.get(h, 0)).alias("theta"), F.signum(det).alias("det"))
 
 
-def training_history(trained: DataFrame) -> DataFrame:
-    return trained.select("series_id", "window_id", F.explode("history").alias("_h")).select("series_id", "window_id", "_h.*")
+def training_history(trained: DataFrame, settings: bool = False) -> DataFrame:
+    """A row for each stage of a window: what it had done by its end, and with settings the bank's size and its start."""
+    names = ["stage", "iterations", "lr", "loss"] + (["levels", "chi", "chimid", "init"] if settings else [])
+    return trained.select("series_id", "window_id", F.explode("history").alias("_h")).select("series_id", "window_id", *(f"_h.{n}" for n in names))
 
 
 def with_model(windows: DataFrame, model: DataFrame, levels: int) -> DataFrame:

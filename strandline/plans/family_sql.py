@@ -109,7 +109,7 @@ def results(families: dict[str, str], size: int, levels: int, eps: float, low: i
     return ",\n".join(parts) + ",\nfr AS (" + " UNION ALL ".join(rows) + ")\n"
 
 
-def trained(stages: tuple[tuple[int, float], ...], size: int, levels: int) -> str:
+def trained(stages: tuple[tuple[int, float], ...], size: int, levels: int, bank: str = "bank") -> str:
     """bank0, bank1, ... (window_id, level, it, loss, h0, h1, g0, g1 and Adam's moments): one recursion for each stage of
     (iterations, learning rate), from Haar filters; `bank` is the last stage's end. loss is that before the update.
 
@@ -123,21 +123,21 @@ def trained(stages: tuple[tuple[int, float], ...], size: int, levels: int) -> st
         inner, source = [], "(SELECT window_id, i AS k, x AS a FROM win)"
         for j in range(1, levels + 1):
             both = ", ".join(f"sum(a * CASE k % 2 WHEN 0 THEN {f}0 ELSE {f}1 END) AS {n}" for f, n in (("h", "a"), ("g", "d")))
-            inner.append(f"c{j} AS MATERIALIZED (SELECT window_id, k // 2 AS k, {both} FROM {source} JOIN bank{s} USING (window_id) WHERE level = {j} GROUP BY window_id, k // 2)")
+            inner.append(f"c{j} AS MATERIALIZED (SELECT window_id, k // 2 AS k, {both} FROM {source} JOIN {bank}{s} USING (window_id) WHERE level = {j} GROUP BY window_id, k // 2)")
             source = f"c{j}"
         inner.append(f"e{levels} AS MATERIALIZED (SELECT *, 0e0 AS back FROM c{levels})")
         for j in range(levels - 1, 0, -1):
             back = f"CASE c.k % 2 WHEN 0 THEN e.back * h0 + sign(e.d) / {m} * g0 ELSE e.back * h1 + sign(e.d) / {m} * g1 END"
-            inner.append(f"e{j} AS MATERIALIZED (SELECT c.*, {back} AS back FROM c{j} c JOIN e{j + 1} e ON e.window_id = c.window_id AND e.k = c.k // 2 JOIN bank{s} b ON b.window_id = c.window_id AND b.level = {j + 1})")
+            inner.append(f"e{j} AS MATERIALIZED (SELECT c.*, {back} AS back FROM c{j} c JOIN e{j + 1} e ON e.window_id = c.window_id AND e.k = c.k // 2 JOIN {bank}{s} b ON b.window_id = c.window_id AND b.level = {j + 1})")
         turns = " UNION ALL ".join(f"SELECT window_id, {j} AS level, sum(back * d) - sum(sign(d) * a) / {m} AS slope, sum(abs(d)) / {m} AS part FROM e{j} GROUP BY window_id" for j in range(1, levels + 1))
         moments = ", ".join(f"0.9 * m{c} + 0.1 * slope * g{c} AS m{c}, 0.999 * v{c} + 0.001 * power(slope * g{c}, 2) AS v{c}" for c in (0, 1))
         moved = ", ".join(f"h{c} - {lr} * (m{c} / (1 - power(0.9, it))) / (sqrt(v{c} / (1 - power(0.999, it))) + 1e-8) AS n{c}" for c in (0, 1))
-        step = f"SELECT window_id, level, it + 1 AS it, sum(part) OVER (PARTITION BY window_id) AS loss, h0, h1, g0, g1, {moments} FROM bank{s} JOIN ({turns}) USING (window_id, level) WHERE it < {iterations}"
+        step = f"SELECT window_id, level, it + 1 AS it, sum(part) OVER (PARTITION BY window_id) AS loss, h0, h1, g0, g1, {moments} FROM {bank}{s} JOIN ({turns}) USING (window_id, level) WHERE it < {iterations}"
         step = f"SELECT *, n0 - g1 AS p, n1 + g0 AS q FROM (SELECT *, {moved} FROM ({step}))"
         step = f"SELECT window_id, level, it, loss, p / s, q / s, q / s, -p / s, m0, m1, v0, v1 FROM (SELECT *, sqrt(p * p + q * q) AS s FROM ({step}))"
-        parts.append(f"bank{s} AS ({start} UNION ALL (WITH {', '.join(inner)} {step}))")
-        start = f"SELECT window_id, level, 0 AS it, loss, h0, h1, g0, g1, {zero} FROM bank{s} WHERE it = {iterations}"
-    parts.append(f"bank AS MATERIALIZED (SELECT * FROM bank{len(stages) - 1} WHERE it = {stages[-1][0]})")
+        parts.append(f"{bank}{s} AS ({start} UNION ALL (WITH {', '.join(inner)} {step}))")
+        start = f"SELECT window_id, level, 0 AS it, loss, h0, h1, g0, g1, {zero} FROM {bank}{s} WHERE it = {iterations}"
+    parts.append(f"{bank} AS MATERIALIZED (SELECT * FROM {bank}{len(stages) - 1} WHERE it = {stages[-1][0]})")
     return ",\n".join(parts)
 
 

@@ -935,6 +935,17 @@ def _(spark, sf_dir):
     return tidy(training.training_history(training.train(windows(spark, sf_dir), BANK)))
 
 
+SIZES = (training.Stage(20, 5e-3, "haar"), training.Stage(10, 4e-3, "haar", levels=3), training.Stage(10, 2e-3))
+SIZES_SQL = ", " + family_sql.trained(((20, 5e-3),), SIZE, BANK, "five") + ", " + family_sql.trained(((10, 4e-3), (10, 2e-3)), SIZE, 3, "three") + "\n"
+
+
+@query("schedule_of_sizes", SIZES_SQL + "SELECT window_id, CAST(stage AS INTEGER) AS stage, CAST(iterations AS INTEGER) AS iterations, CAST(lr AS DOUBLE) AS lr, round(loss, 6) + 0.0 AS loss, CAST(levels AS INTEGER) AS levels, init FROM (" + " UNION ALL ".join(f"SELECT window_id, {n} AS stage, {total} AS iterations, {lr} AS lr, any_value(loss) AS loss, {levels} AS levels, '{init}' AS init FROM {bank} WHERE it = {it} GROUP BY window_id" for n, total, lr, levels, init, bank, it in ((1, 20, 5e-3, BANK, "haar", "five0", 20), (2, 30, 4e-3, 3, "haar", "three0", 10), (3, 40, 2e-3, 3, "previous", "three1", 10))) + ")")
+def _(spark, sf_dir):
+    """A schedule whose second stage is a smaller bank, and whose third goes on from that."""
+    found = training.training_history(training.train(windows(spark, sf_dir), BANK, SIZES), settings=True)
+    return tidy(found, "window_id", "stage", "iterations", "lr", "loss", "levels", "init")
+
+
 @query("learn_wavelet_filters")
 def _(spark, sf_dir):
     return tidy(training.model_table(training.train(windows(spark, sf_dir), BANK)), "window_id", "level", F.get("h", 0).alias("h0"), F.get("h", 1).alias("h1"), F.get("g", 0).alias("g0"), F.get("g", 1).alias("g1"), "theta", "det")
