@@ -17,6 +17,7 @@ from ..functions import wavelets
 from ..operators import compression, long_series, metrics, series, spectral, stats, training
 from ..operators.evaluation import evaluated
 from ..operators.transforms import REALS, add_columns, coefficients, lists, dwt, idwt, two_tap_analyze, two_tap_synthesize
+from ..sources import runs
 from ..sources.tables import events_trace, numeric_trace, table, union_results
 from . import family_sql, reports
 
@@ -997,6 +998,36 @@ def _(spark, sf_dir):
     return tidy(reports.robustness(r, "learned", ("haar", "db4"), {"H_orig": "H", "width_orig": "alpha_width"}))
 
 
+RUN = {"L": BANK, "chi": 2, "chimid": 2, "param": "block", "analysis_wavelet": "db4", "iters1": QUICK[0].iterations, "iters2": QUICK[1].iterations, "seed": 1}
+SUFFIX = {"learned": "learn", "haar": "haar", "db4": "db4"}
+WIDE = ("psnr", "H", "deltaH", "kept", "total")
+
+
+@query("run_window_wide", stages_of(QUICK) + by_family(TRIO, "db4", 2) + f"SELECT window_id, retain_ppm, {', '.join(f'{v!r} AS {k}' if isinstance(v, str) else f'CAST({v} AS INTEGER) AS {k}' for k, v in RUN.items())}, CAST({QUICK[0].iterations + QUICK[1].iterations} AS INTEGER) AS iters_used, any_value(round(H_orig, 6)) + 0.0 AS H_orig, "
+       + ", ".join(f"round(max({'H - H_orig' if v == 'deltaH' else v}) FILTER (WHERE method = '{m}'), 6) + 0.0 AS {v}_{s}" if v not in ("kept", "total") else f"max({v}) FILTER (WHERE method = '{m}') AS {v}_{s}" for m, s in SUFFIX.items() for v in WIDE)
+       + " FROM (SELECT fr.*, H_orig FROM fr JOIN orig USING (window_id)) GROUP BY window_id, retain_ppm")
+def _(spark, sf_dir):
+    """The wide table of a run, a row for each window and share: settings, then every method's measures."""
+    trained = training.train(windows(spark, sf_dir), BANK, QUICK)
+    found = evaluated(trained, SIZE, tuple(TRIO), RETAINS, levels=BANK, measures=("psnr", "H", "deltaH", "H_orig"), analysis="db4")
+    wide = found.groupBy("window_id", "retain_ppm").pivot("method", list(SUFFIX)).agg(*(F.first(v).alias(v) for v in (*WIDE, "H_orig")))
+    used = trained.select("window_id", F.col("iterations_used").alias("iters_used"))
+    rows = runs.with_settings(wide.join(used, "window_id"), **RUN)
+    return tidy(rows, "window_id", "retain_ppm", *RUN, "iters_used", F.col("learned_H_orig").alias("H_orig"), *(F.col(f"{m}_{v}").alias(f"{v}_{s}") for m, s in SUFFIX.items() for v in WIDE))
+
+
+@query("compare_runs", f", lv AS (SELECT unnest([3, {BANK}]) AS L), r2 AS ({retain_list(SMALL)}), kp AS (SELECT window_id, L, retain, CAST(round_even(retain * 1e6, 0) AS INTEGER) AS retain_ppm, count(*) FILTER (WHERE r <= ceil(retain * n)) AS kept, count(*) AS total, sum(CASE WHEN r <= ceil(retain * n) THEN 0 ELSE d * d END) / {SIZE} AS mse FROM rk, lv, r2 WHERE level <= L GROUP BY window_id, L, retain), pk AS (SELECT window_id, max(abs(x)) AS peak FROM win GROUP BY window_id) SELECT CAST(L AS INTEGER) AS L, retain_ppm, count(*) AS windows, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(total) AS BIGINT) AS total, {r6('avg(10 * log10(peak * peak / mse)) AS psnr')} FROM kp JOIN pk USING (window_id) GROUP BY L, retain_ppm")
+def _(spark, sf_dir):
+    """Two runs of Haar banks with 3 and 5 levels, written part by part, read back together and compared by the level that their
+    folders name. By Parseval SQL needs no reconstruction."""
+    root, w = runs.scratch(spark, "compare-runs"), windows(spark, sf_dir)
+    for levels in (3, BANK):
+        runs.Run(f"{root}/L_{levels}").resume(w, "haar", lambda part, n=levels: evaluated(part, SIZE, ("haar_bank",), SMALL, levels=n, measures=("psnr",)))
+    both = runs.read_runs(spark, *(f"{root}/L_{n}/results" for n in (3, BANK)))
+    out = both.groupBy("L", "retain_ppm").agg(F.count("*").alias("windows"), F.sum("kept").alias("kept"), F.sum("total").alias("total"), F.avg("psnr").alias("psnr"))
+    return tidy(out)
+
+
 POLAR_SQL = """SELECT window_id, {cols} FROM (SELECT *, sqrt(t + 2 * e) AS z FROM (SELECT *, a * a + b * b + c * c + d * d AS t, abs(a * d - b * c) AS e FROM (
   SELECT window_id, max(CASE i WHEN 0 THEN x END) AS a, max(CASE i WHEN 1 THEN x END) AS b, max(CASE i WHEN 2 THEN x END) AS c, max(CASE i WHEN 3 THEN x END) AS d FROM win WHERE i < 4 GROUP BY window_id)))"""
 
