@@ -91,10 +91,56 @@ def scaling(x: np.ndarray, low: int, floor: float, spectrum: bool, family: str =
             alpha = (zeta[:, hi] - zeta[:, lo]) / (QS[hi] - QS[lo])
             f = QS * alpha - zeta + 1.0
             peak = np.argmax(f, axis=1)[:, None]
-            out |= {"alpha_width": alpha.max(axis=1) - alpha.min(axis=1), "alpha_peak": np.take_along_axis(alpha, peak, 1)[:, 0], "f_alpha_peak": np.take_along_axis(f, peak, 1)[:, 0]}
+            out |= {"alpha_min": alpha.min(axis=1), "alpha_max": alpha.max(axis=1), "alpha_width": alpha.max(axis=1) - alpha.min(axis=1), "alpha_peak": np.take_along_axis(alpha, peak, 1)[:, 0], "f_alpha_peak": np.take_along_axis(f, peak, 1)[:, 0]}
     return out
 
 
+#: A 31-bit prime, and the steps of a counter's hash below it that numpy and SQL have alike.
+PRIME, STEPS = (1 << 31) - 1, ((1103515245, 12345, 16), (69069, 1, 13), (48271, 11, 15))
+
+
+def drawn(counter: np.ndarray) -> np.ndarray:
+    """Numbers below the prime that look random, one for each counter."""
+    h = counter.astype(np.int64) % PRIME
+    for a, b, shift in STEPS:
+        h = (h * a + b) % PRIME
+        h ^= h >> shift
+    return h
+
+
+def drawn_sql(counter: str) -> str:
+    """drawn() for DuckDB."""
+    h = f"(({counter}) % {PRIME})"
+    for a, b, shift in STEPS:
+        h = f"list_transform([({h} * {a} + {b}) % {PRIME}], lambda h: xor(h, h >> {shift}))[1]"
+    return h
+
+
+def resampled_spectra(windows: DataFrame, n_boot: int = 50, seed: int = 1, low: int = 2, analysis: str = "haar") -> DataFrame:
+    """series_id, window_id, and the mean and the 2.5 and 97.5 % quantiles of alpha_min, alpha_max, alpha_width, alpha_peak
+    and f_alpha_peak over resamples of each window, as <name>_mean, <name>_lower and <name>_upper.
+
+    A resample draws as many of a window's samples as it has, with replacement, by a hash of the window's number, the
+    resample's and the place; differences of a sample drawn twice are zero, whatever rounding leaves. It is drawn, measured and forgotten within a task; no window is copied. Null where a
+    window's spectrum can't be had.
+    """
+    family, names = canonical(analysis), ("alpha_min", "alpha_max", "alpha_width", "alpha_peak", "f_alpha_peak")
+    columns = [f"{n}_{s}" for n in names for s in ("mean", "lower", "upper")]
+    schema = T.StructType([windows.schema[c] for c in ("series_id", "window_id")] + [T.StructField(c, T.DoubleType()) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x, window in zip(matrix(b.column("x")) if b.num_rows else (), b.column("window_id").to_pylist()):
+                at = np.arange(n_boot * len(x)) + (window or 0) * n_boot * len(x) + seed * 7919
+                found = scaling(x[drawn(at) % len(x)].reshape(n_boot, -1), low, NOISE, True, family)
+                rows.append([float(v) if np.isfinite(v) else None for n in names for v in (found[n].mean(), *np.quantile(found[n], (0.025, 0.975)))])
+            cols = zip(*rows) if rows else [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([b.column("series_id"), b.column("window_id"), *(pa.array(c, pa.float64()) for c in cols)], names=["series_id", "window_id", *columns])
+
+    return windows.select("series_id", "window_id", "x").mapInArrow(run, schema)
+
+
 def fidelity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mse, peak = ((y - x) ** 2).mean(axis=1), np.abs(x).max(axis=1)
     ok = (mse >= EPS) & (peak > 0)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -256,20 +255,6 @@ def delta_vs_reference(df: DataFrame, value: str, at_ppm: int = 800_000) -> Data
     return df.crossJoin(F.broadcast(ref)).withColumn("delta", F.col(value) - F.coalesce("_r", "_m")).drop("_r", "_m")  # one row
 
 
-def iid_bootstrap_metrics(windows: DataFrame, metric: Callable[[DataFrame], DataFrame], names: list[str], n_boot: int = 50, seed: int = 1, block: int = 1) -> DataFrame:
-    """series_id, window_id and for each name mean, lower and upper over resampled windows.
-
-    Every window is exploded into n_boot resamples (samples, or blocks of neighbours, drawn by a hash), the metric's
-    own operator runs over them like over any windows, and quantiles are taken by window.
-    """
-    n = F.size("x")
-    place = lambda b, i: F.pmod(F.xxhash64(F.lit(seed), F.col("window_id"), b, F.floor(i / block)), (n - block + 1).cast("long")).cast("int") + i % block
-    copies = windows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("_x", F.transform("x", lambda v, i: F.get("x", place(F.col("_b"), i))))
-    found = metric(copies.drop("x").withColumnRenamed("_x", "x"))
-    aggs = [f.alias(f"{m}_{s}") for m in names for f, s in ((F.avg(m), "mean"), (F.expr(f"percentile({m}, 0.025)"), "lower"), (F.expr(f"percentile({m}, 0.975)"), "upper"))]
-    return found.groupBy("series_id", "window_id").agg(*aggs)
-
-
 def by_window_order(df: DataFrame, value: str) -> DataFrame:
     """The metric by window and method, in order: what a chart of it would show."""
     return df.select("method", "retain_ppm", "window_id", value).orderBy("method", "retain_ppm", "window_id")

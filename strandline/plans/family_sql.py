@@ -40,12 +40,12 @@ def hurst(source: str, keys: str, low: int, floor: float = 0.0) -> str:
 
 
 def spectrum(source: str, keys: str, low: int, faint: float = 0.0) -> str:
-    """(keys, alpha_width, alpha_peak, f_alpha_peak) of a relation (keys, level, k, d); sizes below faint count as zero."""
+    """(keys, alpha_min, alpha_max, alpha_width, alpha_peak, f_alpha_peak) of a relation (keys, level, k, d); sizes below faint count as zero."""
     source = f"(SELECT {keys}, level, k, CASE WHEN abs(d) < {faint} THEN 0.0 ELSE d END AS d FROM {source})" if faint else source
     sums = f"SELECT {keys}, level, q, CASE WHEN q = 0 THEN avg(ln(abs(d) + 1e-12)) / ln(2.0) ELSE log2(avg(power(abs(d) + 1e-12, q))) END AS y FROM {source}, (SELECT CAST(unnest(range(-5, 6)) AS DOUBLE) AS q) WHERE level >= {low} GROUP BY {keys}, level, q"
     zeta = f"SELECT {keys}, q, -regr_slope(y, level) AS zeta FROM ({sums}) GROUP BY {keys}, q"
     alpha = f"SELECT {keys}, q, zeta, (coalesce(lead(zeta) OVER s, zeta) - coalesce(lag(zeta) OVER s, zeta)) / (coalesce(lead(q) OVER s, q) - coalesce(lag(q) OVER s, q)) AS alpha FROM ({zeta}) WINDOW s AS (PARTITION BY {keys} ORDER BY q)"
-    return f"(SELECT {keys}, max(alpha) - min(alpha) AS alpha_width, arg_max(alpha, q * alpha - zeta + 1) AS alpha_peak, max(q * alpha - zeta + 1) AS f_alpha_peak FROM ({alpha}) GROUP BY {keys})"
+    return f"(SELECT {keys}, min(alpha) AS alpha_min, max(alpha) AS alpha_max, max(alpha) - min(alpha) AS alpha_width, arg_max(alpha, q * alpha - zeta + 1) AS alpha_peak, max(q * alpha - zeta + 1) AS f_alpha_peak FROM ({alpha}) GROUP BY {keys})"
 
 
 def lifted(step: str, i: int, c: float, keys: str) -> str:

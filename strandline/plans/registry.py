@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import wavelets
 from ..operators import compression, long_series, metrics, series, spectral, stats, training
-from ..operators.evaluation import evaluated
+from ..operators.evaluation import drawn_sql, evaluated, resampled_spectra
 from ..operators.transforms import REALS, add_columns, coefficients, lists, dwt, idwt, two_tap_analyze, two_tap_synthesize
 from ..sources import runs
 from ..sources.tables import events_trace, numeric_trace, table, union_results
@@ -600,10 +600,24 @@ def _(spark, sf_dir):
     return tidy(stats.moving_block_ci(h, ["series_id"], "H", "window_id", 1, 500, 1, "order"))
 
 
-@query("bootstrap_multifractal")
+BOOT = 20
+SPECTRAL = ("alpha_min", "alpha_max", "alpha_width", "alpha_peak", "f_alpha_peak")
+RESAMPLED = f""", bs AS (SELECT window_id, b, j AS i, {drawn_sql(f'j + b * {SIZE} + window_id::BIGINT * {BOOT * SIZE} + 7919')} % {SIZE} AS pick FROM (SELECT DISTINCT window_id FROM win), (SELECT unnest(range(0, {BOOT})) AS b), (SELECT unnest(range(0, {SIZE})) AS j)),
+bx AS (SELECT bs.window_id, b, bs.i, x FROM bs JOIN win ON win.window_id = bs.window_id AND win.i = pick),
+bc AS (SELECT window_id, b, level, i >> level AS k, sum({HAAR_SIGN.format(x='x')}) / sqrt(CAST(1 << level AS DOUBLE)) AS d FROM bx, lev GROUP BY window_id, b, level, i >> level),
+br AS (SELECT window_id, {', '.join(f'avg({n}) AS {n}_mean, quantile_cont({n}, 0.025) AS {n}_lower, quantile_cont({n}, 0.975) AS {n}_upper' for n in SPECTRAL)} FROM {family_sql.spectrum('bc', 'window_id, b', 2, 1e-10)} GROUP BY window_id)
+"""
+SPECTRAL_COLUMNS = [f"{n}_{s}" for n in SPECTRAL for s in ("mean", "lower", "upper")]
+
+
+@query("bootstrap_multifractal", RESAMPLED + f"SELECT window_id, {r6(*SPECTRAL_COLUMNS)} FROM br")
+def _(spark, sf_dir):
+    return tidy(resampled_spectra(windows(spark, sf_dir), BOOT), "window_id", *SPECTRAL_COLUMNS)
+
+
+@query("multifractal_diag_resampled", RESAMPLED + f"SELECT window_id, {r6('alpha_width_mean', 'alpha_width_lower')}, CASE WHEN alpha_width_mean > 0.1 AND alpha_width_lower > 0 THEN 'multifractal' ELSE 'monofractal' END AS diagnosis FROM br")
 def _(spark, sf_dir):
-    names = ["alpha_width", "alpha_peak"]
-    return tidy(stats.iid_bootstrap_metrics(windows(spark, sf_dir).select("series_id", "window_id", "x"), lambda w: metrics.multifractal(two_tap_analyze(w, LEVELS)), names, 20))
+    return tidy(reports.diagnosed(resampled_spectra(windows(spark, sf_dir), BOOT)), "window_id", "alpha_width_mean", "alpha_width_lower", "diagnosis")
 
 
 @query("confidence_margin", f"SELECT method, retain_ppm, copies, n, {r6(f'CASE WHEN n >= 30 THEN 1.959964 * s / sqrt(n) WHEN n >= 2 THEN ({list(stats.T95)})[n - 1] * s / sqrt(n) END AS margin')} FROM (SELECT method, retain_ppm, copies, count(*) AS n, stddev_samp(psnr) AS s FROM (SELECT method, retain_ppm, psnr, copies, unnest(range(0, copies)) AS c FROM res, (SELECT unnest([1, 8]) AS copies)) WHERE psnr IS NOT NULL GROUP BY ALL)")

@@ -74,6 +74,12 @@ def multifractal_diag(spectra: DataFrame) -> DataFrame:
     return out.withColumn("diagnosis", F.when((F.col("mean") > 0.1) & (F.col("ci_low") > 0), "multifractal").otherwise("monofractal"))
 
 
+def diagnosed(resampled: DataFrame) -> DataFrame:
+    """resampled_spectra() with a verdict by window: multifractal if the mean width exceeds 0.1 and its lower end is above zero."""
+    yes = (F.col("alpha_width_mean") > 0.1) & (F.col("alpha_width_lower") > 0)
+    return resampled.withColumn("diagnosis", F.when(yes, "multifractal").otherwise("monofractal"))
+
+
 def paired_gain(results: DataFrame, a: str, b: str, value: str = "psnr", n_boot: int = 0, seed: int = 1) -> DataFrame:
     """Per share the mean of a's value less b's over windows that both have, with the interval of the differences."""
     pairs = stats.paired(results.where(F.col("method") == a), results.where(F.col("method") == b), value)

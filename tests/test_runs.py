@@ -89,6 +89,30 @@ def test_a_restart_equals_an_unbroken_run(spark, wins):
     assert {r["error"] is not None for r in short.collect()} == {True}  # a bank of two levels for three
 
 
+def test_resampled_spectra(spark, wins):
+    """Replicate by replicate with Python's whole numbers, by two families; a window without power is null or flat."""
+    from strandline.operators import evaluation
+
+    def pick(counter):
+        h = counter % (2**31 - 1)
+        for a, b, shift in ((1103515245, 12345, 16), (69069, 1, 13), (48271, 11, 15)):
+            h = (h * a + b) % (2**31 - 1)
+            h ^= h >> shift
+        return h
+
+    for family in ("haar", "db4"):
+        found = evaluation.resampled_spectra(wins, 6, 3, 2, family).collect()
+        assert len(found) == 20 and len(found[0]) == 17
+        for r in found[:4]:
+            x = np.array(wins.where(f"window_id = {r['window_id']}").first()["x"])
+            rows = np.array([[x[pick(r["window_id"] * 6 * 64 + b * 64 + i + 3 * 7919) % 64] for i in range(64)] for b in range(6)])
+            width = evaluation.scaling(rows, 2, evaluation.NOISE, True, family)["alpha_width"]
+            assert r["alpha_width_mean"] == pytest.approx(width.mean()) and r["alpha_width_upper"] == pytest.approx(np.quantile(width, 0.975))
+    at = evaluation.drawn(np.arange(200_000)) % 1000
+    assert abs(np.bincount(at, minlength=1000) - 200).max() < 100  # about even
+    assert evaluation.resampled_spectra(wins.limit(0)).count() == 0
+
+
 def test_a_smaller_bank_gives_its_own_levels(spark, wins):
     out = training.train(wins, 3, (Stage(5, 5e-3, "haar"), Stage(5, 5e-3, "haar", levels=2))).first()
     assert len(out["filters"]) == 2 and [(h["levels"], h["init"]) for h in out["history"]] == [(3, "haar"), (2, "haar")]
