@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: What each family is called, after lower-casing and dropping spaces, hyphens and dots.
 ALIASES = {
@@ -34,6 +36,15 @@ def canonical(name: str) -> str:
     raise ValueError(f"unknown wavelet {name!r}")
 
 
+def canonical_column(name: Column) -> Column:
+    """The family of each name of a column in any of its spellings; null for an unknown one."""
+    key = F.regexp_replace(F.lower(F.trim(name)), "[ .-]", "")
+    out = F.lit(None).cast("string")
+    for family, names in ALIASES.items():
+        out = F.when(key.isin(*names), family).otherwise(out)
+    return out
+
+
 def baseline_list(names: str) -> list[str]:
     """Families of a comma-separated list, each once, and then the mandatory ones."""
     return list(dict.fromkeys([canonical(n) for n in names.split(",") if n.strip()] + list(MANDATORY)))

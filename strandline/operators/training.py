@@ -54,13 +54,14 @@ PIPELINE_SCHEDULE = (Stage(50, 5e-3, "haar"), Stage(50, 2.5e-3))
 
 
 def isometry_project(a: np.ndarray, axis: int = -1) -> np.ndarray:
-    """The nearest tensor whose slices along axis are orthonormal: A V L^(-1/2) V^T of its matrix, tiny eigenvalues dropped."""
+    """The nearest tensor, real or complex, whose slices along axis are orthonormal: A V L^(-1/2) V* of its matrix, tiny
+    eigenvalues dropped."""
     moved = np.moveaxis(np.where(np.isfinite(a), a, 0.0), axis, -1)
     m = moved.reshape(-1, moved.shape[-1])
-    values, vectors = np.linalg.eigh(m.T @ m)
+    values, vectors = np.linalg.eigh(m.conj().T @ m)
     cut = values.max(initial=0.0) * np.finfo(float).eps
     inverse = np.where(values > cut, 1 / np.sqrt(np.where(values > cut, values, 1.0)), 0.0)
-    return np.moveaxis((m @ (vectors * inverse) @ vectors.T).reshape(moved.shape), -1, axis)
+    return np.moveaxis((m @ (vectors * inverse) @ vectors.conj().T).reshape(moved.shape), -1, axis)
 
 
 def project_blocks(w: np.ndarray) -> np.ndarray:

@@ -9,12 +9,13 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import wavelets
-from ..operators import compression, long_series, metrics, series, spectral, stats, training
+from ..operators import complex_banks, compression, long_series, metrics, series, spectral, stats, training
 from ..operators.evaluation import drawn_sql, evaluated, resampled_spectra
 from ..operators.transforms import REALS, add_columns, coefficients, lists, dwt, idwt, two_tap_analyze, two_tap_synthesize
 from ..sources import runs
@@ -208,11 +209,16 @@ def _(spark, sf_dir):
 # Wavelets
 
 
-@query("wavelet_alias", "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'haar' ELSE 'c3' END AS family FROM events GROUP BY event_type")
+SPELLINGS = (" Daubechies-1 ", "HAAR", "db.4", "Daubechies 4", "Coif.6", "coiflet-3", "Sym8", "SYMMLET 8", "Bior4.4", "CDF97", "biorthogonal 4.4", "nope")
+SPELT = ("haar", "haar", "db4", "db4", "c3", "c3", "s8", "s8", "bior4.4", "bior4.4", "bior4.4")
+
+
+@query("wavelet_alias", f"SELECT event_type, coalesce(family, 'unknown') AS family, count(*) AS n FROM (SELECT event_type, ({list(SPELT)})[user_id % {len(SPELLINGS)} + 1] AS family FROM events) GROUP BY ALL")
 def _(spark, sf_dir):
-    """The family of a spelling by event type."""
-    family = F.when(F.col("event_type").isin("click", "view"), wavelets.canonical(" Daubechies-1 ")).otherwise(wavelets.canonical("Coif.6"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.first(family).alias("family"))
+    """How many events of each type have a spelling of each family, which follows from the user; a wrong one is of none."""
+    spelling = F.concat(F.get(F.array(*map(F.lit, SPELLINGS)), (F.col("user_id") % len(SPELLINGS)).cast("int")), F.when(F.col("user_id") % 2 == 0, "").otherwise(" "))
+    rows = table(spark, sf_dir, "events").select("event_type", F.coalesce(wavelets.canonical_column(spelling), F.lit("unknown")).alias("family"))
+    return rows.groupBy("event_type", "family").agg(F.count("*").alias("n"))
 
 
 FAMILIES = {f: f for f in wavelets.baseline_list("haar")}
@@ -846,6 +852,13 @@ def _(spark, sf_dir):
     return tidy(reports.external_compare(r.where("method = 'haar_bank'"), r.where("method = 'haar'")))
 
 
+@query("external_summary", f", ec AS (SELECT retain_ppm, avg(psnr) FILTER (WHERE method = 'haar_bank') AS p, avg(psnr) FILTER (WHERE method = 'haar' AND retain_ppm >= 50000) AS q FROM res GROUP BY retain_ppm), xx AS (SELECT max(CASE WHEN retain_ppm = 800000 THEN p END) AS p8, max(CASE WHEN retain_ppm = 800000 THEN q END) AS q8 FROM ec) SELECT count(q) AS shares, {r6('arg_max(p, retain_ppm) AS psnr_ours_at_most', 'arg_max(q, retain_ppm) AS psnr_theirs_at_most', 'avg(p - q) AS mean_gain', 'avg((p - p8) - (q - q8)) AS mean_delta_gain')} FROM ec, xx WHERE q IS NOT NULL")
+def _(spark, sf_dir):
+    """One row about two tables that share only some of their shares."""
+    r = results(spark, sf_dir)
+    return tidy(reports.external_summary(r.where("method = 'haar_bank'"), r.where("method = 'haar' and retain_ppm >= 50000")))
+
+
 @query("zoom_filter", f"SELECT method, window_id, retain_ppm, {r6('psnr')} FROM res WHERE retain_ppm <= 100000")
 def _(spark, sf_dir):
     return tidy(results(spark, sf_dir).where("retain_ppm <= 100000"), "method", "window_id", "retain_ppm", "psnr")
@@ -1042,20 +1055,56 @@ def _(spark, sf_dir):
     return tidy(out)
 
 
-POLAR_SQL = """SELECT window_id, {cols} FROM (SELECT *, sqrt(t + 2 * e) AS z FROM (SELECT *, a * a + b * b + c * c + d * d AS t, abs(a * d - b * c) AS e FROM (
-  SELECT window_id, max(CASE i WHEN 0 THEN x END) AS a, max(CASE i WHEN 1 THEN x END) AS b, max(CASE i WHEN 2 THEN x END) AS c, max(CASE i WHEN 3 THEN x END) AS d FROM win WHERE i < 4 GROUP BY window_id)))"""
+GRAM = "gm AS (SELECT *, sqrt(p + r + 2 * e) AS z FROM (SELECT *, sqrt(p * r - qr * qr - qi * qi) AS e FROM (SELECT window_id, sum(ar * ar + ai * ai) AS p, sum(br * br + bi * bi) AS r, sum(ar * br + ai * bi) AS qr, sum(ar * bi - ai * br) AS qi FROM pr GROUP BY window_id)))"
+PAIRS = f", pr AS (SELECT window_id, i // 2 AS k, max(CASE i % 2 WHEN 0 THEN x END) AS ar, 0.0 AS ai, max(CASE i % 2 WHEN 1 THEN x END) AS br, 0.0 AS bi FROM win GROUP BY window_id, i // 2), {GRAM}\n"
+FOURS = f", pr AS (SELECT window_id, i // 4 AS k, max(CASE i % 4 WHEN 0 THEN x END) AS ar, max(CASE i % 4 WHEN 1 THEN x END) AS ai, max(CASE i % 4 WHEN 2 THEN x END) AS br, max(CASE i % 4 WHEN 3 THEN x END) AS bi FROM win GROUP BY window_id, i // 4), {GRAM}\n"
 
 
-@query("isometry_project", POLAR_SQL.format(cols=r6(*(f"(({u} * ({q2}) - {v} * (a * b + c * d))) / (z * e) AS {n}" for n, u, v, q2 in (("w00", "a", "b", "b * b + d * d + e"), ("w01", "b", "a", "a * a + c * c + e"), ("w10", "c", "d", "b * b + d * d + e"), ("w11", "d", "c", "a * a + c * c + e"))))))
+@query("isometry_project", PAIRS + f"SELECT window_id, CAST(k AS INTEGER) AS k, {r6('(ar * (r + e) - br * qr) / (z * e) AS w0', '(br * (p + e) - ar * qr) / (z * e) AS w1')} FROM pr JOIN gm USING (window_id)")
 def _(spark, sf_dir):
-    """The nearest isometry of each window's first four samples as a block; SQL inverts the root of A^T A."""
+    """The nearest isometry to each window as a matrix of two columns; SQL inverts the root of A^T A."""
+    w = complex_banks.with_polar_factor(windows(spark, sf_dir), 2).select("window_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIZE // 2 - 1)), lambda k: F.struct(F.get("w", 2 * k).alias("w0"), F.get("w", 2 * k + 1).alias("w1")))).alias("k", "w"))
+    return tidy(w.select("window_id", "k", "w.w0", "w.w1"))
+
+
+@query("isometry_project_complex", FOURS + f"SELECT window_id, CAST(k AS INTEGER) AS k, {r6('(ar * (r + e) - (br * qr + bi * qi)) / (z * e) AS w0_re', '(ai * (r + e) - (bi * qr - br * qi)) / (z * e) AS w0_im', '(br * (p + e) - (ar * qr - ai * qi)) / (z * e) AS w1_re', '(bi * (p + e) - (ar * qi + ai * qr)) / (z * e) AS w1_im')} FROM pr JOIN gm USING (window_id)")
+def _(spark, sf_dir):
+    """The same for complex matrices: samples in fours are the parts of a row's two entries."""
+    w = complex_banks.with_polar_factor(windows(spark, sf_dir), 2, True)
+    at = lambda part, o: (lambda k: F.get(f"w_{part}", 2 * k + o))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(SIZE // 4 - 1)), lambda k: F.struct(*(at(p, o)(k).alias(f"w{o}_{p}") for o in (0, 1) for p in ("re", "im"))))
+    return tidy(w.select("window_id", F.posexplode(rows).alias("k", "w")).select("window_id", "k", "w.*"))
+
+
+TURNS = "tn AS (SELECT window_id, mu / sqrt(mu * mu + sigma * sigma) AS c, sigma / sqrt(mu * mu + sigma * sigma) AS s, cos(atan2(sigma, mu)) AS pc, sin(atan2(sigma, mu)) AS ps FROM st)"
+
+
+def complex_sql(level: int, source: str) -> str:
+    pair = f"(SELECT window_id, k // 2 AS k, max(CASE k % 2 WHEN 0 THEN re END) AS ur, max(CASE k % 2 WHEN 0 THEN im END) AS ui, max(CASE k % 2 WHEN 1 THEN re END) AS vr, max(CASE k % 2 WHEN 1 THEN im END) AS vi FROM {source} GROUP BY window_id, k // 2)"
+    return f"z{level} AS (SELECT window_id, k, c * ur + s * (pc * vr + ps * vi) AS re, c * ui + s * (pc * vi - ps * vr) AS im, s * (pc * ur - ps * ui) - c * vr AS dr, s * (pc * ui + ps * ur) - c * vi AS di FROM {pair} JOIN tn USING (window_id))"
+
+
+@query("mera_analyze_complex", f", {TURNS}, {complex_sql(1, '(SELECT window_id, i AS k, x AS re, 0.0 AS im FROM win)')}, {complex_sql(2, 'z1')}, {complex_sql(3, 'z2')} " + " UNION ALL ".join(f"SELECT window_id, CAST({j} AS INTEGER) AS level, CAST(k AS INTEGER) AS k, {r6('dr AS re', 'di AS im')} FROM z{j}" for j in (1, 2, 3)))
+def _(spark, sf_dir):
+    """Three levels of a complex bank whose filter turns by the angle of a window's mean and deviation, in length and in phase;
+    the second filter is its quadrature mirror."""
 
     def run(b):
-        blocks = [training.isometry_project(np.array(x[:4]).reshape(2, 2)).ravel() for x in b.column("x").to_pylist()]
-        return {"w": lists(np.array(blocks).reshape(-1, 4))}
+        turn = np.arctan2(*(b.column(c).to_numpy() for c in ("sigma", "mu")))
+        rows = np.stack([np.cos(turn), np.sin(turn) * np.exp(1j * turn)], -1)
+        bank = complex_banks.complex_filters(np.stack([rows, np.zeros_like(rows)], -2))
+        return {"bank": pa.array([complex_banks.flat(np.stack([w] * 3)) for w in bank], pa.list_(pa.list_(pa.float64())))}
+
+    w = add_columns(windows(spark, sf_dir), {"bank": complex_banks.BANKS}, run)
+    return tidy(complex_banks.long(complex_banks.analyze(w, 3), 3).drop("series_id"))
 
-    w = add_columns(windows(spark, sf_dir).select("window_id", "x"), {"w": REALS}, run)
-    return tidy(w, "window_id", *(F.get("w", i).alias(n) for i, n in enumerate(("w00", "w01", "w10", "w11"))))
+
+@query("mera_synthesize_complex", f"SELECT window_id, CAST(i AS INTEGER) AS i, {r6('x AS re')}, 0.0::DOUBLE AS im FROM win")
+def _(spark, sf_dir):
+    """Windows back from the complex coefficients of random tensors' filters, other ones for each window."""
+    w = complex_banks.with_random_bank(windows(spark, sf_dir), BANK, 4, 4)
+    out = complex_banks.synthesize(complex_banks.analyze(w, BANK), BANK)
+    return tidy(out.select("window_id", F.posexplode(F.arrays_zip(F.col("recon_re").alias("re"), F.col("recon_im").alias("im"))).alias("i", "z")).select("window_id", "i", "z.re", "z.im"))
 
 
 @query("init_random_tensors")

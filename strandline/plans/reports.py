@@ -137,3 +137,12 @@ def external_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     right = stats.delta_vs_reference(b.join(a, "retain_ppm", "left_semi"), "psnr").select("retain_ppm", F.col("psnr").alias("psnr_theirs"), F.col("delta").alias("delta_theirs"))
     return left.join(right, "retain_ppm")
 
+
+def external_summary(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """One row: how many shares both tables have, each one's mean PSNR at the largest of these, and by how much ours is
+    better on the mean, as it is and from the reference share on."""
+    both = external_compare(ours, theirs)
+    at_most = lambda c: F.max_by(c, "retain_ppm").alias(f"{c}_at_most")
+    gain = lambda c: F.avg(F.col(f"{c}_ours") - F.col(f"{c}_theirs"))
+    return both.agg(F.count("*").alias("shares"), at_most("psnr_ours"), at_most("psnr_theirs"), gain("psnr").alias("mean_gain"), gain("delta").alias("mean_delta_gain"))
+
