@@ -124,14 +124,6 @@ def with_arrow_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict[str,
     return out.toDF(*(shown.get(n, n) for n in schema.fieldNames())) if plain != names else out
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where it isn't installed on their path."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it from being that of a column of df."""
     taken, out = {c.lower() for c in df.columns}, []

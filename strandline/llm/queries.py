@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import divergence, media, mixing, packing, pii, quality, simhash, spelling, substrings, token_files, toxicity, warc, winnowing
-from .common import ship, table
+from ..cluster import ship
+from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 

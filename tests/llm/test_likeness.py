@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from strandline.llm import simhash
+from strandline.llm import likeness, simhash
+from strandline.llm.common import stored
 from tests.llm.conftest import KIND, prose
 
 
@@ -68,3 +69,30 @@ def test_rows_that_share_an_id_or_have_none(spark):
     kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs, least=0.8).collect()))
     assert kept == sorted([(1, a), (1, b), (0, prose(3, 50))])
     assert simhash.keep_one(spark.createDataFrame([], KIND), least=0.8).count() == 0
+
+
+def test_one_shingle_in_every_text(spark):
+    """A passage that all texts share, in batches so small that it is counted many times, and a low limit of what is sent out."""
+    shared = prose(77, 12)
+    texts = [f"{shared} {prose(i % 60, 30 + i % 7)}" for i in range(240)] + [edited(f"{shared} {prose(5, 90)}", i, 0.01) for i in range(60)]
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").repartition(6)
+    base = stored(likeness.with_node(base), "test-base").cache()
+    nodes = {r["row"]: r["node"] for r in base.select("row", "node").collect()}
+    for limit in (1, 50, 40_000_000):
+        found = {r["node"]: r["component"] for r in likeness.alike(base, 0.8, broadcast=limit).collect()}
+        groups, by_component = {}, {}
+        for i, g in enumerate(brute(texts)):
+            groups.setdefault(g, set()).add(nodes[i])
+        for n in nodes.values():
+            by_component.setdefault(found.get(n, n), set()).add(n)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_component.values()))
+
+
+def test_common_shingles_are_counted_over_all_batches(spark):
+    from collections import Counter
+
+    texts = [f"{prose(1, 8)} {prose(i, 9)} {prose(i % 3, 7)}" for i in range(40)]
+    base = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts = Counter(h for t in texts for h in likeness.shingles(t).tolist())
+    for most in (1, 12, 39):
+        assert likeness.common(base, 5, most, 5).tolist() == sorted(h for h, n in counts.items() if n > most)
