@@ -43,7 +43,7 @@ class Ids:
     through the tokenizer whole, as loaded: a marker in a text is one id. `most` bounds what is kept.
     """
 
-    def __init__(self, path: str, end: int = 2, most: int = 1_000_000):
+    def __init__(self, path: str, end: int = 2, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
