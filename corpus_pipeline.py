@@ -28,10 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by a likeness of 0.8 or more of their 5-word shingles: that with the smallest
-    doc_id, of repeated rows the first. Null and wordless texts are one group; rows without doc_id come last in theirs. An
-    empty table stays empty; extra columns pass through."""
+    doc_id, of repeated rows the first. The Gray-order index over fingerprints links those within 2 bits, each link confirmed
+    on the shingles; a prefix filter finds the links that lie further apart. Null and wordless texts are one group; rows
+    without doc_id come last in theirs. An empty table stays empty; extra columns pass through."""
     ship(spark)
-    return simhash.keep_one(docs, least=0.8)
+    return simhash.keep_one(docs, radius=2, least=0.8)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

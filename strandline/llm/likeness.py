@@ -9,6 +9,9 @@ the links so far leave in different components are compared, and of these only p
 share a rare shingle meet in its small file, since the first shingle in order that they share is in both prefixes, so
 those that meet under a common one only have common shingles to share, and the smaller number of these bounds what
 they have in common. Near copies with many changes of their own are thus not compared with each other at all.
+
+Pairs that an index over fingerprints has found may be given: they are confirmed before all others, and candidates that
+these links have joined already are not compared.
 """
 
 from __future__ import annotations
@@ -214,8 +217,8 @@ def candidates(texts: DataFrame, heavy: np.ndarray, bits: int, least: float, k:
     return dealt(texts, bits, k, rows, kinds).groupBy("bucket").applyInArrow(pairs, "a long, b long, h long, n long, c long")
 
 
-def confirmed(pairs: DataFrame, base: DataFrame, least: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of nodes whose whole sets are alike, and (node, set, bits) of the nodes; base has row, node, text."""
+def sets_of(pairs: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """node, set, bits of every node in the pairs (a, b); base has row, node, text."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = base.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi").select("row")
 
@@ -225,7 +228,11 @@ def confirmed(pairs: DataFrame, base: DataFrame, least: float, k: int) -> tuple[
         return {"set": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array([bitmap(s) for s in found], pa.binary())}
 
     sets = with_arrow_columns(base.join(one, "row", "left_semi").select("node", "text"), run, {"set": "binary", "bits": "binary"})
-    sets = stored(sets.select("node", "set", "bits"), "likeness-sets")
+    return stored(sets.select("node", "set", "bits"), "likeness-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are alike."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def values(data: bytes) -> np.ndarray:
@@ -243,7 +250,14 @@ def confirmed(pairs: DataFrame, base: DataFrame, least: float, k: int) -> tuple[
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "likeness-links"), sets
+    return stored(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "likeness-links")
+
+
+def joined_apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes do not stand in one component."""
+    for c in ("a", "b"):
+        pairs = pairs.join(group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    return pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
 
 
 def left_apart(rows: DataFrame, group: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -274,10 +288,11 @@ def left_apart(rows: DataFrame, group: DataFrame, sets: DataFrame, least: float)
     return labelled.groupBy("h").applyInArrow(run, "a long, b long").distinct()
 
 
-def alike(base: DataFrame, least: float = 0.8, k: int = 5, broadcast: int = 40_000_000) -> DataFrame:
+def alike(base: DataFrame, least: float = 0.8, k: int = 5, broadcast: int = 40_000_000, near: DataFrame | None = None) -> DataFrame:
     """node, component of every node that is linked with another one; base, a stored table, has row, node and text.
 
-    Common shingles are sent to every task, `broadcast` of them at most (8 bytes each), whatever the table's size.
+    near, a stored table, has the pairs (a, b) of nodes that an index found, whether alike or not. Common shingles are
+    sent to every task, `broadcast` of them at most (8 bytes each), whatever the table's size.
     """
     n = base.count()
     bits = max(5, math.ceil(math.log2(max(1, n / BUCKET_ROWS))))
@@ -286,10 +301,19 @@ def alike(base: DataFrame, least: float = 0.8, k: int = 5, broadcast: int = 40_0
     heavy = common(base, bits, max(COMMON, n // 50_000, -(-size // (2 * broadcast))), k)
     found = stored(candidates(base, heavy, bits, least, k), "likeness-candidates")
     first = found.where("n = 0").select("a", "b").distinct()
-    links, sets = confirmed(first, base, least, k)
+    if near is None:
+        sets = sets_of(first, base, k)
+        links = confirmed(first, sets, least)
+    else:
+        sets = sets_of(near, base, k)
+        links = confirmed(near, sets, least)
+        rest = stored(joined_apart(first, components(links)), "likeness-rest")
+        more = sets_of(rest, base, k)
+        links = links.unionByName(confirmed(rest, more, least))
+        sets = sets.unionByName(more).select("node", "bits").dropDuplicates(["node"])
     group, rows = components(links), found.where("n > 0")
     if rows.isEmpty():
         return group
     more = stored(left_apart(rows, group, sets, least).join(first, ["a", "b"], "left_anti"), "likeness-apart")
-    again, _ = confirmed(more, base, least, k)
+    again = confirmed(more, sets_of(more, base, k), least)
     return group if again.isEmpty() else components(links.unionByName(again))

@@ -243,24 +243,50 @@ def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def near_nodes(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a < b) of nodes by which the index connects all fingerprints within radius; rows has fp and node.
+
+    Nodes of one fingerprint go with the smallest of them, which stands for it in the index.
+    """
+    of = stored(rows.select("fp", "node").distinct(), "simhash-nodes")
+    reps = stored(of.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-reps")
+    same = of.join(reps, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = links(reps, radius).unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(pairs.distinct(), "simhash-links")
+
+
+def with_set_and_fingerprint(docs: DataFrame, node: str, fp: str) -> DataFrame:
+    """docs with the number of each text's set of 5-word shingles and its fingerprint."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts = batch.column("text").to_pylist()
+        values = np.array([fingerprint(t) for t in texts], np.uint64)
+        return {node: pa.array([likeness.node_of(likeness.shingles(t)) for t in texts], pa.int64()), fp: pa.array(values.view(np.int64))}
+
+    return with_arrow_columns(docs, run, {node: "long", fp: "long"})
+
+
 def keep_one(docs: DataFrame, radius: int = 2, least: float | None = None) -> DataFrame:
     """documents with one row of each component: that with the smallest doc_id, of equal ids the one with the smallest
     node and then the first one stored.
 
-    A node is a fingerprint, and fingerprints within radius are linked; with `least`, it is a set of 5-word shingles,
-    and sets with that Jaccard likeness or more are linked. Rows without doc_id belong to components like others and
-    stand last in them. Null and wordless texts share one node. Rows are told apart by a number stored with them.
+    A node is a fingerprint, and fingerprints within radius are linked. With `least`, a node is a set of 5-word shingles,
+    and sets with that Jaccard likeness or more are linked: the links that the index finds are confirmed on the sets, and
+    a prefix filter finds all others, as most pairs at 0.8 lie further apart than any radius at which an index prunes.
+    Rows without doc_id belong to components like others and stand last in them. Null and wordless texts share one node.
+    Rows are told apart by a number stored with them.
     """
-    row, node = unused(docs, "_row", "_node")
+    row, node, fp = unused(docs, "_row", "_node", "_fp")
     base = docs.withColumn(row, F.monotonically_increasing_id())
-    base = stored(with_fingerprint(base, out=node) if least is None else likeness.with_node(base, node), "keep-one")
+    base = stored(with_fingerprint(base, out=node) if least is None else with_set_and_fingerprint(base, node, fp), "keep-one")
     rows = base.select(F.col(row).alias("row"), F.col(node).alias("node"), "doc_id", "text")
     if least is None:
         reps = stored(rows.groupBy(F.col("node").alias("fp")).agg(F.min("row").alias("rep")), "simhash-reps")
         found = components(stored(links(reps, radius), "simhash-links"))
         found = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep").select(F.col("fp").alias("node"), "component")
     else:
-        found = likeness.alike(rows.drop("doc_id"), least)
+        near = near_nodes(base.select(F.col(fp).alias("fp"), F.col(node).alias("node")), radius)
+        found = likeness.alike(rows.drop("doc_id"), least, near=near)
     # a component is named by one of its nodes, or by a row where a fingerprint stands for it; the flag keeps these apart
     of = rows.drop("text").join(found, "node", "left")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row"))
