@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,20 @@ def encode(numbers: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), whole.view(np.uint8)[BYTES[codes.reshape(-1)].reshape(-1)].tobytes()
 
 
+def encode_each(many: list[np.ndarray]) -> list[bytes]:
+    """Control bytes and data behind them for each of several arrays, as encode() gives them, made all at once."""
+    sizes = np.array([len(x) for x in many], np.int64)
+    groups = -(-sizes // 4)
+    last = np.cumsum(groups)
+    whole = np.zeros(4 * int(groups.sum()), "<u4")
+    if len(whole):
+        whole[np.arange(sizes.sum()) + np.repeat(4 * (last - groups) - (np.cumsum(sizes) - sizes), sizes)] = np.concatenate(many)
+    control, data = encode(whole)
+    at = np.concatenate([[0], np.cumsum(TOTALS[np.frombuffer(control, np.uint8)])])
+    cuts = zip((last - groups).tolist(), last.tolist(), at[last - groups].tolist(), at[last].tolist())
+    return [control[a:b] + data[c:d] for a, b, c, d in cuts]
+
+
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n unsigned 32-bit numbers of encode(), by looking up each control byte's lengths and starts."""
     codes, held = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
@@ -87,40 +102,42 @@ class ByteIds:
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f).get("added_tokens") or []]
         self.width = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.letters, self.end, self.most, self.longest = self.whole.model, byte_letters(), end, most, longest
-        self.space = chr(self.letters[32])
+        self.model, self.end, self.most, self.longest = self.whole.model, end, most, longest
+        shown = byte_letters()
+        self.shown = np.array([shown[b] for b in range(256)], "<u4")
         self.forget()
         probe = "It's  a T\u00e9st, don't\tPANIC!!   x1-22\u00df \u00ff\n\n'Re ''ll #%a.b@c (\u00e9)\u00c0\u00d6  "
         self.parted = np.array_equal(self.laid_out([probe])[0], [*self.long(probe), end])
 
     def forget(self) -> None:
-        """Remembered parts: sorted hashes, second hashes, and where each part's ids are among `ids`."""
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        """Remembered parts: sorted hashes and each one's number, and by number second hashes and where the ids are among `ids`."""
+        self.keys, self.numbers, self.checks = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint64)
         self.at, self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.width)
 
     def long(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.width)
 
-    def merged(self, part: bytes) -> list[int]:
-        """The ids of one part in Latin-1; the zero byte behind a text is the end id."""
-        if part == b"\0":
-            return [self.end]
-        if part.isalpha() or part[:1] == b" " and part[1:].isalpha():  # ASCII letters stand for themselves
-            seen = part.decode().replace(" ", self.space)
-        else:
-            seen = part.decode("latin-1").encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(seen)]
-
     def learn(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
-        """Remember new parts data[first:last], which have these hashes."""
-        raw = data.tobytes()
-        made = [self.merged(raw[a:b]) for a, b in zip(first.tolist(), last.tolist())]
+        """Remember new parts data[first:last], which have these hashes; keys are sorted."""
+        lengths = last - first
+        stop = np.cumsum(lengths)
+        start = stop - lengths
+        held = data[np.arange(stop[-1]) + np.repeat(first - start, lengths)]
+        ends = np.cumsum(1 + (held >= 128))  # in UTF-8, each byte shown as a letter
+        wide, letters = held >= 128, np.empty(ends[-1], "<u4")
+        letters[ends - 1] = self.shown[np.where(wide, 0x80 | held & 0x3F, held)]
+        letters[ends[wide] - 2] = self.shown[0xC0 | held[wide] >> 6]
+        seen, cuts, tokenize = letters.tobytes().decode("utf-32-le"), [0, *ends[stop - 1].tolist()], self.model.tokenize
+        made = [[t.id for t in tokenize(seen[a:b])] for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(held[start] == 0).tolist():  # the zero byte behind a text is the end id
+            made[i] = [self.end]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         at = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), self.width, int(sizes.sum()))])
-        keys, checks, at, sizes = (np.concatenate(x) for x in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.sizes, sizes)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.checks, self.at, self.sizes = keys[order], checks[order], at[order], sizes[order]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), self.width, int(sizes.sum()))])
+        place = np.searchsorted(self.keys, keys)
+        numbers = np.arange(len(self.checks), len(self.checks) + len(keys), dtype=np.int32)
+        self.keys, self.numbers = np.insert(self.keys, place, keys), np.insert(self.numbers, place, numbers)
+        self.checks, self.at, self.sizes = (np.concatenate(x) for x in ((self.checks, checks), (self.at, at), (self.sizes, sizes)))
 
     def laid_out(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of plain texts, end ids included, and where each text's ids end."""
@@ -140,11 +157,12 @@ class ByteIds:
         if new.any():
             self.learn(data, first[sample[new]], last[sample[new]], keys[new], checks[new])
             at = np.searchsorted(self.keys, keys)
-        if not np.array_equal(self.checks[at], checks):
+        number = self.numbers[at]
+        if not np.array_equal(self.checks[number], checks):
             return self.one_by_one(texts)
-        sizes = self.sizes[at][which]
+        sizes = self.sizes[number][which]
         ends = np.cumsum(sizes)
-        out = self.ids[np.repeat(self.at[at][which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        out = self.ids[np.repeat(self.at[number][which] - (ends - sizes), sizes) + np.arange(ends[-1])]
         return out, ends[data[first] == 0]
 
     def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +253,8 @@ def ids_of(path: str, end: int = 2) -> ByteIds:
 
 
 def tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    """doc_id, ids: each document's token ids and the end id, in the tokenizer's width, little-endian; tally: null, but in
-    one more row for each task, which has no ids, how often each id occurs in the task (unsigned 64 bits)."""
+    """doc_id, ids, digest: each document's token ids and the end id, in the tokenizer's width, little-endian; tally: null, but
+    in one more row for each task, which has no ids, how often each id occurs in the task (unsigned 64 bits)."""
     small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +268,8 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in made], pa.binary()), pa.nulls(len(made), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, tally binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, tally binary")
+    return rows.withColumn("digest", F.xxhash64("ids"))
 
 
 def ranking(found: DataFrame) -> np.ndarray:
@@ -299,20 +318,6 @@ def documents_in(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray
         before += n
 
 
-def coded(found: DataFrame, ranks: np.ndarray, width: np.dtype) -> DataFrame:
-    """doc_id, n, coded, digest of each document: its number of ids, and the coding of their ranks."""
-    rank_of = found.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x.as_buffer(), width) for x in b.column("ids")]
-            made = [b"".join(encode(rank_of.value[x])) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", "coded"])
-
-    rows = found.where("tally is null").select("doc_id", "ids").mapInArrow(run, "doc_id long, n long, coded binary")
-    return rows.withColumn("digest", F.xxhash64("coded"))
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, ids_a_block: int = 65_536, ids_a_shard: int = 4_000_000, most_shards: int = 65_536) -> None:
     """Write the token ids of docs (doc_id, text) into the folder path, in ascending doc_id order.
 
@@ -328,12 +333,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, ids_a_block:
     spark.createDataFrame([(order.tobytes().hex(),)], "ids string").coalesce(1).write.text(f"{path}/vocabulary")
     ranks = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     ranks[order] = np.arange(len(order))
+    rank_of = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, held, n = TaskContext.get().partitionId(), 0, [], 0
         out = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["block"])
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "coded"))):
+            ids = [np.frombuffer(x.as_buffer(), width) for x in b.column("ids")]
+            for row in zip(b.column("doc_id").to_pylist(), map(len, ids), encode_each([rank_of.value[x] for x in ids])):
                 held.append(row)
                 n += row[1]
                 if n >= ids_a_block:
@@ -343,7 +350,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, ids_a_block:
             yield out(block(shard, before, held))
 
     keys = [F.asc_nulls_first("doc_id"), F.asc("digest")]
-    rows = coded(found, ranks, width).repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "coded")
+    # ranges are sampled from what is dealt, so it has no Python before it: ids are coded when they are in order
+    rows = found.where("tally is null").select("doc_id", "ids", "digest").repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     lines = rows.mapInArrow(run, "block binary").select(F.col("block").cast("string"))  # the writer takes a string's bytes as they are
     lines.write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(f"{path}/ids")
     discard(found)

@@ -110,3 +110,30 @@ def test_many_files_and_blocks(spark):
     assert found[-1][0] > 3 and [d for _, _, d, _ in found] == sorted(d for d, _ in table)
     want = {d: (n, c) for d, n, c in expected(table)}
     assert all((len(x) // 4, zlib.crc32(x)) == want[d] for _, _, d, x in found)
+
+
+def test_codings_of_several_at_once():
+    r = random.Random(3)
+    for lengths in ([], [1], [0, 3, 0], [4, 5, 1, 8, 0, 0, 7]):
+        many = [np.array([r.choice((r.randrange(256), r.randrange(70_000), r.randrange(2**32))) for _ in range(n)], np.uint32) for n in lengths]
+        assert token_files.encode_each(many) == [b"".join(token_files.encode(x)) for x in many]
+
+
+def test_rows_are_dealt_straight_from_the_stored_table(spark, monkeypatch):
+    dealt = []
+    real = type(spark.range(1)).repartitionByRange
+
+    def seen(df, *args):
+        dealt.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", seen)
+    token_files.write(spark.createDataFrame([(1, "one"), (2, None)], KIND), fresh_path(spark, "test-token-files"), PATH)
+    assert len(dealt) == 1 and "InArrow" not in dealt[0] and "doc_id" in dealt[0]
+
+
+def test_parts_learnt_in_any_order_are_found_again():
+    ids, texts = token_files.ByteIds(PATH), [prose(i, 60) + " é" * (i % 3) + " don't\t12" for i in range(40)]
+    for t in random.Random(2).sample(texts * 2, 80):
+        assert ids([t])[0].tolist() == [*ids.long(t), 2]
+    assert (ids.keys[1:] > ids.keys[:-1]).all() and sorted(ids.numbers.tolist()) == list(range(len(ids.keys)))
