@@ -301,16 +301,12 @@ def alike(base: DataFrame, least: float = 0.8, k: int = 5, broadcast: int = 40_0
     heavy = common(base, bits, max(COMMON, n // 50_000, -(-size // (2 * broadcast))), k)
     found = stored(candidates(base, heavy, bits, least, k), "likeness-candidates")
     first = found.where("n = 0").select("a", "b").distinct()
+    sets = sets_of(first if near is None else first.unionByName(near), base, k)
     if near is None:
-        sets = sets_of(first, base, k)
         links = confirmed(first, sets, least)
     else:
-        sets = sets_of(near, base, k)
         links = confirmed(near, sets, least)
-        rest = stored(joined_apart(first, components(links)), "likeness-rest")
-        more = sets_of(rest, base, k)
-        links = links.unionByName(confirmed(rest, more, least))
-        sets = sets.unionByName(more).select("node", "bits").dropDuplicates(["node"])
+        links = links.unionByName(confirmed(joined_apart(first, components(links)), sets, least))
     group, rows = components(links), found.where("n > 0")
     if rows.isEmpty():
         return group
